@@ -2,6 +2,6 @@
 
 
 def modules():
-    from suite import workorders
+    from suite import catalog, documents, workorders
 
-    return [workorders]
+    return [workorders, documents, catalog]

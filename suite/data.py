@@ -185,6 +185,7 @@ def document_manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_SYSTEM} AS sys",
         f"{_SUBSYSTEM} AS sub",
         f"split({_escaped('text')}, '\\n') AS lines",
+        _escaped("left(split(text, '\\n')[0], 100)") + " AS opening",
     )
     line = """CASE i % 5
         WHEN 0 THEN '<para>' || l || '</para>\\n'
@@ -193,7 +194,7 @@ def document_manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 3 THEN '<note>' || l || '</note>\\n'
         ELSE '<caution>' || l || '</caution>\\n' END"""
     dm_line, plain_line = (line.replace("step", f"'{s}'") for s in ("proceduralStep", "step"))
-    tail = """'<description>Reported failure: ' || left(lines[0], 100) || '</description>\\n'
+    tail = """'<description>Reported failure: ' || opening || '</description>\\n'
         || '<figure id="fig-' || cast(doc_id AS string) || '"><title>Figure of ' || code || '</title>'
         || CASE WHEN doc_id % 5 = 0 THEN '<legend>' ELSE '<caption>' END || 'View ' || cast(doc_id % 10 AS string)
         || CASE WHEN doc_id % 5 = 0 THEN '</legend>' ELSE '</caption>' END || '</figure>\\n'
