@@ -2,6 +2,6 @@
 
 
 def modules():
-    from suite import catalog, documents, workorders
+    from suite import catalog, documents, registry, results, vectors, workorders
 
-    return [workorders, documents, catalog]
+    return [workorders, documents, catalog, registry, vectors, results]
