@@ -12,16 +12,12 @@ TYPED = r"\b(TSM|FIM|AMM)\s*(\d{2})-(\d{2})-(\d{2})(?:-(\d{3}))?(?:-(\d{3}))?\b"
 COMPACT = r"\b(TSM|FIM|AMM)(\d{2})-?(\d{2})-?(\d{2})(?:-?(\d{3}))?(?:-?(\d{3}))?\b"
 STANDALONE = r"\b(\d{2})-(\d{2})-(\d{2})(?:-(\d{3}))?(?:-(\d{3}))?\b"
 KEYWORD = r"\b(?:task|ref|reference)\s*:?\s*(TSM|FIM|AMM)?\s*(\d{2})-?(\d{2})-?(\d{2})\b"
+PATTERNS = [TYPED, COMPACT, STANDALONE, KEYWORD]
 DEFAULT_TYPE = "TSM"
 # --- end of fixed values -----------------------------------------------------
 
-# (pattern, group holding the manual type or None, digit groups)
-_FORMS = [
-    (TYPED, 1, (2, 3, 4, 5, 6)),
-    (COMPACT, 1, (2, 3, 4, 5, 6)),
-    (STANDALONE, None, (1, 2, 3, 4, 5)),
-    (KEYWORD, 1, (2, 3, 4)),
-]
+# Position of the digits of a match: chapter, section, subject, two subsections.
+_DIGIT_CUTS = [(1, 2), (3, 2), (5, 2), (7, 3), (10, 3)]
 # Every form contains three digit pairs; texts without them skip all patterns.
 _HAS_DIGITS = r"(?U)\d{2}-?\d{2}-?\d{2}"
 
@@ -30,37 +26,46 @@ def _flagged(pattern: str) -> str:
     return "(?iU)" + pattern
 
 
-def _parse(raw: Column, form: tuple) -> Column:
-    """Citation struct from one raw match."""
-    pattern, type_group, digit_groups = form
-    pattern = _flagged(pattern)
-    if type_group is None:
+def _parse(raw: Column, pattern: str) -> Column:
+    """Citation struct from one raw match of ``pattern``.
+
+    A match holds no digits but those of the task number, whose parts have
+    fixed widths, so cutting them is enough.
+    """
+    if pattern == STANDALONE:
         manual_type = F.lit(DEFAULT_TYPE)
-    else:
-        named = null_if_empty(F.upper(F.regexp_extract(raw, pattern, type_group)))
+    elif pattern == KEYWORD:
+        named = null_if_empty(F.regexp_extract(F.upper(raw), "TSM|FIM|AMM", 0))
         manual_type = F.coalesce(named, F.lit(DEFAULT_TYPE))
-    digits = [null_if_empty(F.regexp_extract(raw, pattern, g)) for g in digit_groups]
-    digits += [F.lit(None).cast("string")] * (5 - len(digits))
-    return F.struct(
-        manual_type.alias("manual_type"),
-        F.concat_ws("-", *digits).alias("task_number"),
-        F.concat_ws("-", *digits[:2]).alias("ata04"),
-        digits[0].alias("chapter"),
-        digits[1].alias("section"),
-        digits[2].alias("subject"),
-        digits[3].alias("subsection1"),
-        digits[4].alias("subsection2"),
-        raw.alias("raw_match"),
-    )
+    else:
+        manual_type = F.upper(F.substring(raw, 1, 3))
+
+    def cut(digits: Column) -> Column:
+        parts = [null_if_empty(F.substring(digits, *where)) for where in _DIGIT_CUTS]
+        return F.struct(
+            manual_type.alias("manual_type"),
+            F.concat_ws("-", *parts).alias("task_number"),
+            F.concat_ws("-", *parts[:2]).alias("ata04"),
+            *[
+                part.alias(name)
+                for part, name in zip(
+                    parts, ("chapter", "section", "subject", "subsection1", "subsection2")
+                )
+            ],
+            raw.alias("raw_match"),
+        )
+
+    # The one-element array binds the digits to a lambda variable.
+    return F.element_at(F.transform(F.array(F.regexp_replace(raw, r"(?U)\D", "")), cut), 1)
 
 
 def extract_citations(text: Column) -> Column:
     """Array of citation structs: pattern order, then position, first per key wins."""
-    def parsed_matches(form: tuple) -> Column:
-        matches = F.regexp_extract_all(text, F.lit(_flagged(form[0])), F.lit(0))
-        return F.transform(matches, lambda raw: _parse(raw, form))
+    def parsed_matches(pattern: str) -> Column:
+        matches = F.regexp_extract_all(text, F.lit(_flagged(pattern)), F.lit(0))
+        return F.transform(matches, lambda raw: _parse(raw, pattern))
 
-    found = F.concat(*[parsed_matches(form) for form in _FORMS])
+    found = F.concat(*[parsed_matches(pattern) for pattern in PATTERNS])
 
     def key(citation: Column) -> Column:
         return F.concat(citation["manual_type"], F.lit("-"), citation["task_number"])
@@ -87,12 +92,12 @@ def first_citation(text: Column) -> Column:
     when the earlier ones found nothing.
     """
 
-    def attempt(form: tuple) -> Column:
-        raw = F.regexp_extract(text, _flagged(form[0]), 0)
-        parsed = F.transform(F.array(raw), lambda m: F.when(m != "", _parse(m, form)))
+    def attempt(pattern: str) -> Column:
+        raw = F.regexp_extract(text, _flagged(pattern), 0)
+        parsed = F.transform(F.array(raw), lambda m: F.when(m != "", _parse(m, pattern)))
         return F.element_at(parsed, 1)
 
-    return F.when(text.rlike(_HAS_DIGITS), F.coalesce(*[attempt(form) for form in _FORMS]))
+    return F.when(text.rlike(_HAS_DIGITS), F.coalesce(*[attempt(p) for p in PATTERNS]))
 
 
 def extract_ata04(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: phrase patterns of the non-defect filter ------------------
@@ -73,9 +73,22 @@ DEFECT_OVERRIDE_PATTERNS = [
 ]
 # --- end of fixed values -----------------------------------------------------
 
-# (?U) gives \b and \s their Unicode meaning.
-_NON_DEFECT = "(?U)" + "|".join(NON_DEFECT_PATTERNS)
-_OVERRIDE = "(?U)" + "|".join(DEFECT_OVERRIDE_PATTERNS)
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def _any_of(patterns: list[str]) -> str:
+    """One pattern for the whole list, in list order.
+
+    Every phrase starts and ends at a word boundary, so the boundary is checked
+    once per text position instead of once per phrase. (?U) gives \s its
+    Unicode meaning.
+    """
+    inner = "|".join(p.removeprefix(r"\b").removesuffix(r"\b") for p in patterns)
+    return f"(?U)(?<!{_WORD})(?:{inner})(?!{_WORD})"
+
+
+_NON_DEFECT = _any_of(NON_DEFECT_PATTERNS)
+_OVERRIDE = _any_of(DEFECT_OVERRIDE_PATTERNS)
 
 
 def non_defect_matches(text: Column) -> Column:
@@ -88,30 +101,43 @@ def defect_matches(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_OVERRIDE), F.lit(0))
 
 
-def is_technical_defect(description: Column, action: Column) -> Column:
-    """Struct ``(is_defect, reason)``; an indicator outranks a routine phrase."""
-    text = F.lower(
+def first_indicator(text: Column) -> Column:
+    """First defect indicator of a lower-case text, ``''`` when there is none."""
+    return F.regexp_extract(text, _OVERRIDE, 0)
+
+
+def first_routine(text: Column) -> Column:
+    """First routine phrase of a lower-case text, ``''`` when there is none."""
+    return F.regexp_extract(text, _NON_DEFECT, 0)
+
+
+def combined_text(description: Column, action: Column) -> Column:
+    return F.lower(
         F.concat(F.coalesce(description, F.lit("")), F.lit(" "), F.coalesce(action, F.lit("")))
     )
 
-    def verdict(hits: Column) -> Column:
-        indicator, routine = hits["indicator"], hits["routine"]
-        reason = (
-            F.when(indicator != "", F.concat(F.lit("Defect indicator found: '"), indicator, F.lit("'")))
-            .when(routine != "", F.concat(F.lit("Routine maintenance: '"), routine, F.lit("'")))
-            .otherwise(F.lit("Default: no non-defect pattern found"))
-        )
-        return F.struct(
-            ((indicator != "") | (routine == "")).alias("is_defect"),
-            reason.alias("reason"),
-        )
-
-    # The one-element array binds both regex results to a lambda variable, so
-    # each pattern runs once per row.
-    hits = F.array(
-        F.struct(
-            F.regexp_extract(text, _OVERRIDE, 0).alias("indicator"),
-            F.regexp_extract(text, _NON_DEFECT, 0).alias("routine"),
-        )
+
+def verdict_reason(indicator: Column, routine: Column) -> Column:
+    return (
+        F.when(indicator != "", F.concat(F.lit("Defect indicator found: '"), indicator, F.lit("'")))
+        .when(routine != "", F.concat(F.lit("Routine maintenance: '"), routine, F.lit("'")))
+        .otherwise(F.lit("Default: no non-defect pattern found"))
+    )
+
+
+def with_verdict(
+    df: DataFrame, description: str, action: str, flag: str = "is_defect", reason: str = "reason"
+) -> DataFrame:
+    """Add the defect flag and its reason; an indicator outranks a routine phrase.
+
+    The steps are separate columns, so each pattern runs at most once per row
+    inside generated code, and the routine pattern only where no indicator was found.
+    """
+    text, indicator, routine = F.col("_text"), F.col("_indicator"), F.col("_routine")
+    return (
+        df.withColumn("_text", combined_text(F.col(description), F.col(action)))
+        .withColumn("_indicator", first_indicator(text))
+        .withColumn("_routine", F.when(indicator == "", first_routine(text)).otherwise(F.lit("")))
+        .withColumns({flag: routine == "", reason: verdict_reason(indicator, routine)})
+        .drop("_text", "_indicator", "_routine")
     )
-    return F.element_at(F.transform(hits, verdict), 1)

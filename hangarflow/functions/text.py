@@ -21,11 +21,17 @@ such no nor not only own same so than too very can will just don should now
 # --- end of fixed values --------------------------------------------------------
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+# All white-space characters, as a set for trimming.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0 "
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "    　"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def tokens(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:

@@ -9,7 +9,6 @@ from hangarflow.functions.codes import ata_from_filename_loose
 from hangarflow.operators.documents import (
     WARNING_TAGS,
     dmc_children_ata,
-    first_text,
     lowered,
     raw_text,
 )
@@ -53,18 +52,21 @@ def catalog_code(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("ata04", code).where(F.col("ata04").isNotNull())
 
 
-def _texts(tags: list[str]) -> Column:
-    named = F.filter("elements", lambda e: e["name"].isin(lowered(tags)))
-    return F.transform(named, lambda e: raw_text(e["strings"]))
+def _raw_of(tags: list[str]) -> Column:
+    wanted = F.filter("_texts", lambda t: t["name"].isin(lowered(tags)))
+    return F.transform(wanted, lambda t: t["raw"])
 
 
 def _system_name() -> Column:
-    names = [first_text(F.col("elements"), tag) for tag in NAME_TAGS]
-    return F.coalesce(*[F.when(_longer_than(n, 5, 200), n) for n in names])
+    """First tag of each name tag, taken in tag order, when its length is plausible."""
+    firsts = F.array_compact(
+        F.array(*[F.try_element_at(_raw_of([tag]), F.lit(1)) for tag in NAME_TAGS])
+    )
+    return F.try_element_at(F.filter(firsts, lambda n: _longer_than(n, 5, 200)), F.lit(1))
 
 
 def _keywords() -> Column:
-    short = F.filter(_texts(KEYWORD_TAGS), lambda t: _longer_than(t, 0, 100))
+    short = F.filter(_raw_of(KEYWORD_TAGS), lambda t: _longer_than(t, 0, 100))
     words = F.transform(
         short,
         lambda t: F.slice(
@@ -75,7 +77,7 @@ def _keywords() -> Column:
 
 
 def _warnings() -> Column:
-    tagged = F.filter(_texts(WARNING_TAGS), lambda t: _longer_than(t, 0, 200))
+    tagged = F.filter(_raw_of(WARNING_TAGS), lambda t: _longer_than(t, 0, 200))
     whole = F.array_join(F.element_at("elements", 1)["strings"], "")
     alerts = F.filter(
         F.regexp_extract_all(whole, F.lit(CREW_ALERT), F.lit(0)),
@@ -88,7 +90,7 @@ def _descriptions() -> Column:
     symptom = "|".join(SYMPTOMS)
     return F.array_distinct(
         F.filter(
-            _texts(DESCRIPTION_TAGS),
+            _raw_of(DESCRIPTION_TAGS),
             lambda t: _longer_than(t, 20, 150) & F.lower(t).rlike(symptom),
         )
     )
@@ -101,6 +103,11 @@ def catalog_items(parsed: DataFrame) -> DataFrame:
     distinct, keyed by the value too, so a code that owns most documents
     spreads over all tasks.
     """
+    used = lowered([*NAME_TAGS, *KEYWORD_TAGS, *WARNING_TAGS])
+    texts = F.transform(
+        F.filter("elements", lambda e: e["name"].isin(used)),
+        lambda e: F.struct(e["name"].alias("name"), raw_text(e["strings"]).alias("raw")),
+    )
 
     def items(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
@@ -113,6 +120,7 @@ def catalog_items(parsed: DataFrame) -> DataFrame:
     )
     return (
         catalog_code(parsed)
+        .withColumn("_texts", texts)
         .select("ata04", "filename", F.explode(found).alias("item"))
         .groupBy("ata04", F.col("item.kind").alias("kind"), F.col("item.value").alias("value"))
         .agg(F.min("filename").alias("first_file"))

@@ -115,11 +115,6 @@ def _inside(elements: Column, outer: Column) -> Column:
     )
 
 
-def first_text(elements: Column, name: str) -> Column:
-    """Raw text of the first element with this name."""
-    return raw_text(_first(elements, name)["strings"])
-
-
 def doc_title(fmt: Column, elements: Column) -> Column:
     """Technical name, else information name, else the whole title."""
 
@@ -232,22 +227,25 @@ def doc_chunks(parsed: DataFrame, keep: list[str]) -> DataFrame:
     tags = F.when(
         F.col("format") == "S1000D", F.element_at(F.transform(pack, data_module), 1)
     ).otherwise(F.filter("elements", lambda e: e["name"].isin(ISPEC_CHUNK_TAGS)))
-    name = F.col("tag.name")
-    chunk_type = (
-        F.when(name.isin("warning", "caution", "note"), name)
-        .when(name.isin("proceduralstep", "step"), F.lit("procedure"))
-        .otherwise(F.lit("content"))
-    )
-    return (
-        parsed.select(*keep, F.posexplode(tags).alias("chunk_pos", "tag"))
-        .select(
-            *keep,
-            "chunk_pos",
+
+    def chunk(tag: Column) -> Column:
+        name = tag["name"]
+        chunk_type = (
+            F.when(name.isin("warning", "caution", "note"), name)
+            .when(name.isin("proceduralstep", "step"), F.lit("procedure"))
+            .otherwise(F.lit("content"))
+        )
+        return F.struct(
             chunk_type.alias("chunk_type"),
-            F.col("tag.title").alias("chunk_title"),
-            spaced_text(F.col("tag.strings")).alias("text"),
+            tag["title"].alias("chunk_title"),
+            spaced_text(tag["strings"]).alias("text"),
         )
-        .withColumn("length", F.length("text"))
+
+    # Texts are built inside the array, so the length filter works on finished
+    # values and does not build them again.
+    return (
+        parsed.select(*keep, F.posexplode(F.transform(tags, chunk)).alias("chunk_pos", "chunk"))
+        .select(*keep, "chunk_pos", "chunk.*", F.length("chunk.text").alias("length"))
         .where(F.col("length").between(CHUNK_MIN, CHUNK_MAX))
     )
 
@@ -259,10 +257,10 @@ def _tags(parsed: DataFrame, keep: list[str], tags: list[str]) -> DataFrame:
 
 def doc_warnings(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """Warning and caution texts of moderate length."""
-    return (
-        _tags(parsed, keep, WARNING_TAGS)
-        .select(*keep, "tag_pos", dense_text(F.col("tag.strings")).alias("warning"))
-        .where((F.length("warning") > WARNING_MIN) & (F.length("warning") < WARNING_MAX))
+    wanted = F.filter("elements", lambda e: e["name"].isin(lowered(WARNING_TAGS)))
+    texts = F.transform(wanted, lambda e: dense_text(e["strings"]))
+    return parsed.select(*keep, F.posexplode(texts).alias("tag_pos", "warning")).where(
+        (F.length("warning") > WARNING_MIN) & (F.length("warning") < WARNING_MAX)
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hangarflow.functions.codes import normalize_ata_echo, text_fingerprint
 from hangarflow.functions.decisions import NON_DEFECT_CONFIDENCE
-from hangarflow.functions.defects import is_technical_defect
+from hangarflow.functions.defects import with_verdict
 from hangarflow.schema import COLUMN_MAPPING, REQUIRED_COLUMNS, RESULT_COLUMNS
 from hangarflow.session import lookup_join
 
@@ -83,12 +83,8 @@ def flag_defects(df: DataFrame, filter_non_defect: bool = True) -> DataFrame:
                 "Non_Defect_Reason": F.lit(None).cast("string"),
             }
         )
-    verdict = is_technical_defect(F.col("Defect_Text"), F.col("Rectification_Text"))
-    return (
-        df.withColumn("_verdict", verdict)
-        .withColumn("Is_Technical_Defect", F.col("_verdict.is_defect"))
-        .withColumn("Non_Defect_Reason", F.col("_verdict.reason"))
-        .drop("_verdict")
+    return with_verdict(
+        df, "Defect_Text", "Rectification_Text", "Is_Technical_Defect", "Non_Defect_Reason"
     )
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hangarflow.functions.citations import first_citation
-from hangarflow.functions.codes import text_key
-from hangarflow.functions.decisions import DEFAULT_THRESHOLD, make_decision
+from hangarflow.functions.codes import normalize_ata, text_key
+from hangarflow.functions.decisions import DEFAULT_THRESHOLD, reconcile
 from hangarflow.functions.text import ENGLISH_STOP_WORDS, strip
 from hangarflow.operators import tfidf
 from hangarflow.operators.workorders import (
@@ -113,7 +113,10 @@ def process_work_orders(
     )
 
     if mode == "catalog" and derived is None and model is not None:
-        texts = distinct_texts(rows.where(F.col("text_key").isNotNull()), "text_key", "Defect_Text")
+        # Rows not to be scored share one NULL text, which has no terms. A filter
+        # instead would be pushed to the scan and run every pattern a second time.
+        texts = distinct_texts(rows.select(F.when(scorable, F.col("Defect_Text")).alias("Defect_Text")), "Defect_Text")
+        texts = texts.withColumn("text_key", text_key(F.col("Defect_Text")))
         derived = stored(derive_from_catalog(texts, model), "derived")
     rows = (
         _without_derived(rows)
@@ -139,13 +142,16 @@ def process_work_orders(
             F.when(F.col("Cited_Task").isNotNull(), F.coalesce("_known", F.lit(False))),
         )
 
-    decided = make_decision(
-        F.col("ATA04_Entered"),
-        F.col("ATA04_From_Cited"),
-        F.col("Cited_Exists"),
-        F.col("ATA04_Derived"),
-        F.col("Derived_Score"),
-        threshold,
+    # Codes first, rules second: two projections keep every code one expression.
+    rows = rows.withColumns(
+        {
+            "_e0": normalize_ata(F.col("ATA04_Entered")),
+            "_e1": F.when(F.col("Cited_Exists"), normalize_ata(F.col("ATA04_From_Cited"))),
+            "_e2": normalize_ata(F.col("ATA04_Derived")),
+        }
+    )
+    decided = reconcile(
+        F.col("_e0"), F.col("_e1"), F.col("_e2"), F.col("Derived_Score"), threshold
     )
     routine = non_defect_outcome(F.col("ATA04_Entered"), F.col("Non_Defect_Reason"))
     outcome = F.when(is_defect, decided).otherwise(routine)

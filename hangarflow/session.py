@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,11 +98,11 @@ def lookup_join(
     if max_broadcast_rows and is_small(right, max_broadcast_rows):
         return left.join(F.broadcast(right), on, "left")
 
+    any_null = reduce(or_, [F.col(name).isNull() for name in on])
+    # NULL keys count as no rows, so they never become hot keys.
     hot = (
-        left.select(*on)
-        .dropna("any")
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_copies"))
+        left.groupBy(*on)
+        .agg(F.count(F.when(~any_null, 1)).alias("_copies"))
         .where(F.col("_copies") > rows_per_salt)
         .orderBy(F.desc("_copies"), *on)
         .limit(MAX_HOT_KEYS)
@@ -109,9 +111,6 @@ def lookup_join(
     # At most MAX_HOT_KEYS rows by the limit above.
     hot = F.broadcast(hot)
 
-    any_null = F.lit(False)
-    for name in on:
-        any_null = any_null | F.col(name).isNull()
     row_hash = F.xxhash64(*spread_by)
     salted_left = left.join(hot, on, "left").withColumn(
         "_salt",

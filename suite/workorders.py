@@ -188,8 +188,8 @@ FLAG_SQL = f"""flagged AS (SELECT *, CASE WHEN o <> '' THEN 'Defect indicator fo
     f"WITH {WO_SQL}, {FLAG_SQL} SELECT wo_id, is_defect, why AS reason FROM flagged",
 )
 def is_technical_defect(spark, sf):
-    verdict = defects.is_technical_defect(F.col("defect_text"), F.col("action_text"))
-    return work_orders(spark, sf).select("wo_id", verdict.alias("v")).select("wo_id", "v.*")
+    flagged = defects.with_verdict(work_orders(spark, sf), "defect_text", "action_text")
+    return flagged.select("wo_id", "is_defect", "reason")
 
 
 def _both_texts():
@@ -249,9 +249,16 @@ def _form_sql(order, pattern, type_group, digit_groups):
         unnest(regexp_extract_all(action_text, '{p}', 0)) AS raw_match, {kind} AS kind, {', '.join(groups)} FROM wo"""
 
 
+# (pattern, group of the manual type or None, groups of the digits)
+_FORMS = [
+    (citations.TYPED, 1, (2, 3, 4, 5, 6)),
+    (citations.COMPACT, 1, (2, 3, 4, 5, 6)),
+    (citations.STANDALONE, None, (1, 2, 3, 4, 5)),
+    (citations.KEYWORD, 1, (2, 3, 4)),
+]
 CITES_SQL = (
     "found AS ("
-    + " UNION ALL ".join(_form_sql(i, *form) for i, form in enumerate(citations._FORMS))
+    + " UNION ALL ".join(_form_sql(i, *form) for i, form in enumerate(_FORMS))
     + """), cites AS (SELECT wo_id, CASE WHEN coalesce(kind, '') = '' THEN 'TSM' ELSE upper(kind) END AS manual_type,
         concat_ws('-', g0, g1, g2, nullif(g3, ''), nullif(g4, '')) AS task_number, g0 || '-' || g1 AS ata04,
         g0 AS chapter, g1 AS section, g2 AS subject, nullif(g3, '') AS subsection1, nullif(g4, '') AS subsection2,
