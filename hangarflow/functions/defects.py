@@ -80,8 +80,8 @@ def _any_of(patterns: list[str]) -> str:
     """One pattern for the whole list, in list order.
 
     Every phrase starts and ends at a word boundary, so the boundary is checked
-    once per text position instead of once per phrase. (?U) gives \s its
-    Unicode meaning.
+    once per text position instead of once per phrase. The U flag gives white
+    space its Unicode meaning.
     """
     inner = "|".join(p.removeprefix(r"\b").removesuffix(r"\b") for p in patterns)
     return f"(?U)(?<!{_WORD})(?:{inner})(?!{_WORD})"

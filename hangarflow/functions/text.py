@@ -17,6 +17,7 @@ until while of at by for with about against between into through during before
 after above below to from up down in out on off over under again further then
 once here there when where why how all any both each few more most other some
 such no nor not only own same so than too very can will just don should now
+cannot could ought would
 """.split()
 # --- end of fixed values --------------------------------------------------------
 

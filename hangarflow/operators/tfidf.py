@@ -22,13 +22,13 @@ TOP_K = 3
 MAX_BROADCAST_WEIGHTS = 1_000_000
 
 
-def text_terms(
+def text_grams(
     texts: DataFrame,
     key: str,
     text: str = "text",
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> DataFrame:
-    """Term counts ``(key, term, tf)`` of texts with one row per key.
+    """Every n-gram ``(key, term)`` of texts with one row per key.
 
     The texts are hashed by key before they are exploded. That moves each text
     once instead of its many n-grams, and every later step that groups by the
@@ -38,11 +38,43 @@ def text_terms(
         texts.select(key, text)
         .repartition(key)
         .select(key, F.explode(ngrams(tokens(F.col(text), stop_words))).alias("term"))
+    )
+
+
+def text_terms(
+    texts: DataFrame,
+    key: str,
+    text: str = "text",
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+) -> DataFrame:
+    """Term counts ``(key, term, tf)`` of texts with one row per key."""
+    return (
+        text_grams(texts, key, text, stop_words)
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
+def text_weights(
+    texts: DataFrame,
+    key: str,
+    vocabulary: DataFrame,
+    text: str = "text",
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+) -> DataFrame:
+    """L2-normalised ``(key, term, weight)`` of texts under a fitted vocabulary.
+
+    Terms outside the vocabulary leave before anything is counted.
+    """
+    counted = (
+        text_grams(texts, key, text, stop_words)
+        .join(broadcast_if_small(vocabulary.select("term", "idf")), "term")
+        .groupBy(key, "term", "idf")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    return _normalised(counted, key)
+
+
 def catalog_terms(
     lines: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS
 ) -> DataFrame:
@@ -135,12 +167,14 @@ def fit_vocabulary(
 def weigh(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """L2-normalised ``(key, term, weight)``; terms outside the vocabulary drop out.
 
-    The vocabulary is capped when it is fitted, which bounds both the broadcast
-    and the rows per key that the norm window sees.
+    The vocabulary is capped when it is fitted, which also bounds the rows per
+    key that the norm window sees.
     """
-    weighted = terms.join(F.broadcast(vocabulary), "term").select(
-        key, "term", (F.col("tf") * F.col("idf")).alias("raw")
-    )
+    return _normalised(terms.join(broadcast_if_small(vocabulary), "term"), key)
+
+
+def _normalised(counted: DataFrame, key: str) -> DataFrame:
+    weighted = counted.select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
@@ -202,7 +236,7 @@ def predict_ata(
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> DataFrame:
     """Best entry per text with the entry's name and keywords."""
-    weights = weigh(text_terms(texts, key, text, stop_words), vocabulary, key)
+    weights = text_weights(texts, key, vocabulary, text, stop_words)
     best = best_match(cosine_scores(weights, vectors, key), key, min_score)
     entries = broadcast_if_small(catalog.select("ata04", "system_name", "keywords"))
     return best.join(entries, "ata04", "left")

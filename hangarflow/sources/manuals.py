@@ -5,22 +5,17 @@ from __future__ import annotations
 import io
 import tarfile
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # --- fixed values: member names that count as markup -----------------------------
 EXTENSIONS = (".sgm", ".sgml")
 # --- end of fixed values ----------------------------------------------------------
 
-_DOCS = T.StructType(
-    [
-        T.StructField("archive", T.StringType()),
-        T.StructField("filename", T.StringType()),
-        T.StructField("markup", T.StringType()),
-    ]
-)
+_DOCS = "archive string, filename string, markup string"
+# Text handed to Spark at a time while an archive is read.
+_BATCH_CHARS = 16 * 1024 * 1024
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
@@ -38,10 +33,10 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("filename"), decode("content").alias("markup"))
 
 
-def decode(content: str):
+def decode(content: str) -> Column:
     """UTF-8 text of a binary column without its malformed bytes."""
-    text = F.decode(F.col(content), "UTF-8")
-    return F.regexp_replace(text, "�", "")
+    valid = F.make_valid_utf8(F.col(content).cast("string"))
+    return F.replace(valid, F.lit("\ufffd"), F.lit(""))
 
 
 def unpack_archives(archives: DataFrame) -> DataFrame:
@@ -51,24 +46,33 @@ def unpack_archives(archives: DataFrame) -> DataFrame:
     to be unpacked upstream and read with :func:`scan_files`. Unreadable
     archives and members are skipped.
     """
-    extensions = EXTENSIONS
-
-    def members(frames):
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                names, texts = [], []
+    extensions, batch_chars = EXTENSIONS, _BATCH_CHARS
+    schema = pa.schema([(name, pa.string()) for name in ("archive", "filename", "markup")])
+
+    def members(path, content):
+        with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+            for member in tar:
+                if member.isfile() and member.name.endswith(extensions):
+                    text = tar.extractfile(member).read().decode("utf-8", "ignore")
+                    yield {"archive": path, "filename": member.name, "markup": text}
+
+    def unpack(stream):
+        for batch in stream:
+            for archive in batch.to_pylist():
+                rows, chars = [], 0
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                        for member in tar:
-                            if member.isfile() and member.name.endswith(extensions):
-                                data = tar.extractfile(member).read()
-                                names.append(member.name)
-                                texts.append(data.decode("utf-8", "ignore"))
+                    for row in members(archive["path"], archive["content"]):
+                        rows.append(row)
+                        chars += len(row["markup"])
+                        if chars > batch_chars:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, chars = [], 0
                 except tarfile.TarError:
-                    pass
-                yield pd.DataFrame({"archive": path, "filename": names, "markup": texts})
+                    pass  # keep what was readable
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("path", "content").mapInPandas(members, _DOCS)
+    return archives.select("path", "content").mapInArrow(unpack, _DOCS)
 
 
 def scan_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -238,8 +238,7 @@ def model_sink(spark, sf):
 
 def _weights(spark, sf):
     vocabulary, vectors = tfidf.fit(_lines(spark, sf))
-    terms = tfidf.text_terms(table(spark, sf, "documents"), "doc_id")
-    return tfidf.weigh(terms, vocabulary, "doc_id"), vectors
+    return tfidf.text_weights(table(spark, sf, "documents"), "doc_id", vocabulary), vectors
 
 
 def _scores(spark, sf):
