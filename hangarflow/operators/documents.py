@@ -38,6 +38,9 @@ CHUNK_MIN, CHUNK_MAX = 20, 2000
 WARNING_MIN, WARNING_MAX = 10, 500
 # --- end of fixed values ----------------------------------------------------------
 
+# Markup read before its elements are handed back to Spark.
+_BATCH_CHARS = 16 * 1024 * 1024
+
 
 def lowered(tags: list[str]) -> list[str]:
     return [tag.lower() for tag in tags]
@@ -73,22 +76,31 @@ def parse_documents(docs: DataFrame, markup_col: str = "markup") -> DataFrame:
     read = _markup.read_elements
     arrow_elements = to_arrow_type(T.ArrayType(ELEMENT))
 
+    limit = _BATCH_CHARS
+
+    def emit(batch, elements):
+        formats = [
+            "S1000D" if any(e["name"] == "dmodule" for e in doc) else "iSpec2200"
+            for doc in elements
+        ]
+        columns = [batch.column(name) for name in names]
+        columns += [pa.array(formats, pa.string()), pa.array(elements, arrow_elements)]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "format", "elements"])
+
     def batches(stream):
         for batch in stream:
             batch = batch.filter(batch.column(markup_col).is_valid())
-            elements = [read(text.as_py()) for text in batch.column(markup_col)]
-            formats = [
-                "S1000D" if any(e["name"] == "dmodule" for e in doc) else "iSpec2200"
-                for doc in elements
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(name) for name in names],
-                    pa.array(formats, pa.string()),
-                    pa.array(elements, arrow_elements),
-                ],
-                names=[*names, "format", "elements"],
-            )
+            start, chars, elements = 0, 0, []
+            for row, markup in enumerate(batch.column(markup_col)):
+                text = markup.as_py()
+                elements.append(read(text))
+                chars += len(text)
+                # Long documents leave in small batches, whatever the row limit is.
+                if chars > limit:
+                    yield emit(batch.slice(start, len(elements)), elements)
+                    start, chars, elements = row + 1, 0, []
+            if elements:
+                yield emit(batch.slice(start, len(elements)), elements)
 
     return docs.select(*names, markup_col).mapInArrow(batches, schema)
 
