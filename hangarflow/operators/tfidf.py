@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hangarflow.functions.text import ENGLISH_STOP_WORDS, ngrams, tokens
-from hangarflow.session import broadcast_if_small, stored
+from hangarflow.session import broadcast_if_small, is_small, stored
 
 # --- fixed values: model parameters ---------------------------------------------
 MAX_FEATURES = 5000
@@ -20,6 +20,8 @@ TOP_K = 3
 
 # Entry weights are narrow rows (a term, a code, a double): about 60 bytes each.
 MAX_BROADCAST_WEIGHTS = 1_000_000
+# Tasks that share one frequent term when the catalog is too big to broadcast.
+TERM_SALTS = 32
 
 
 def text_grams(
@@ -76,12 +78,13 @@ def text_weights(
 
 
 def catalog_terms(
-    lines: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS
+    lines: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, range_digits: int = 2
 ) -> DataFrame:
     """Term counts ``(ata04, term, tf)`` of training texts given as ordered lines.
 
-    n-grams run across line ends. Each code is cut into 256 ranges of the line
-    order; a line finds the next two tokens inside its range, and the end of a
+    n-grams run across line ends. Each part of a code is cut into ranges by the
+    first ``range_digits`` hex digits of the line order (256 ranges for two
+    digits; use three when one code owns billions of values). A line finds the next two tokens inside its range, and the end of a
     range takes them from a table of range heads (two tokens per range), so no
     task holds a whole code.
     """
@@ -91,7 +94,7 @@ def catalog_terms(
             "part",
             "line_order",
             "text",
-            F.substring("line_order", 1, 2).alias("bucket"),
+            F.substring("line_order", 1, range_digits).alias("bucket"),
             tokens(F.col("text"), stop_words).alias("own"),
         )
         .where(F.size("own") > 0)
@@ -110,7 +113,7 @@ def catalog_terms(
     def head_of(rank: int) -> Column:
         return F.coalesce(F.max(F.when(F.col("rank") == rank, F.col("head"))), empty)
 
-    # At most 4 parts x 256 ranges per code, so this window stays small.
+    # One row per range: at most 4 x 16 ** range_digits rows per code.
     across = Window.partitionBy("ata04").orderBy("part", "bucket")
     heads = (
         rows.where(F.col("rank") <= 2)
@@ -179,18 +182,30 @@ def _normalised(counted: DataFrame, key: str) -> DataFrame:
     return weighted.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
-def cosine_scores(queries: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+def cosine_scores(
+    queries: DataFrame,
+    catalog: DataFrame,
+    key: str,
+    max_broadcast_rows: int = MAX_BROADCAST_WEIGHTS,
+    salts: int = TERM_SALTS,
+) -> DataFrame:
     """``(key, ata04, score)`` for every pair that shares a term.
 
-    An inverted-index join on the term. The catalog side is broadcast after a
-    count shows that it is small; then nothing shuffles, because the query side
-    is already hashed by its key.
+    An inverted-index join on the term. A catalog side that a count proves
+    small is broadcast; then nothing shuffles, because the query side is
+    already hashed by its key. A larger one is repeated once per salt and the
+    query terms are spread over the salts by their key, so a term that most
+    texts use is shared by many tasks.
     """
     side = catalog.select("term", "ata04", F.col("weight").alias("entry_weight"))
-    return (
-        queries.join(broadcast_if_small(side, MAX_BROADCAST_WEIGHTS), "term")
-        .groupBy(key, "ata04")
-        .agg(F.sum(F.col("weight") * F.col("entry_weight")).alias("score"))
+    if max_broadcast_rows and is_small(side, max_broadcast_rows):
+        pairs = queries.join(F.broadcast(side), "term")
+    else:
+        salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+        pairs = queries.withColumn("_salt", spread).join(salted, ["term", "_salt"])
+    return pairs.groupBy(key, "ata04").agg(
+        F.sum(F.col("weight") * F.col("entry_weight")).alias("score")
     )
 
 

@@ -30,15 +30,7 @@ CHUNK_BLOCK = 16_384
 # Query rows per matrix product, which bounds the product to tens of MB.
 _SLICE = 512
 
-_HITS = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("manual_type", T.StringType()),
-        T.StructField("chunk_id", T.LongType()),
-        T.StructField("ata04", T.StringType()),
-        T.StructField("distance", T.DoubleType()),
-    ]
-)
+_HIT_COLUMNS = ["query_id", "manual_type", "chunk_id", "ata04", "distance"]
 # Ship the helpers below with the task, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -61,9 +53,9 @@ def _block_hits(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     then summed from differences, so equal vectors get equal distances. The
     margin keeps every chunk that rounding could have pushed over the k-th place.
     """
-    frames = [pd.DataFrame({f.name: [] for f in _HITS.fields})]
+    frames = []
     if not len(q) or not len(c):
-        return frames[0]
+        return pd.DataFrame({name: [] for name in _HIT_COLUMNS})
     all_queries, all_chunks = _matrix(q["embedding"]), _matrix(c["embedding"])
     for _, rows in c.reset_index(drop=True).groupby("manual_type", sort=False):
         vectors = all_chunks[rows.index.to_numpy()]
@@ -81,13 +73,22 @@ def _block_hits(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
             found["query_id"] = q["query_id"].to_numpy()[start + row]
             found["distance"] = np.einsum("ij,ij->i", difference, difference)
             frames.append(_keep_nearest(found, k))
-    return pd.concat(frames[1:])[[f.name for f in _HITS.fields]]
+    return pd.concat(frames)[_HIT_COLUMNS]
 
 
 def _candidates(
     queries: DataFrame, chunks: DataFrame, k: int, query_block: int, chunk_block: int
 ) -> DataFrame:
     """The k nearest of every query and type, per split or block of the chunks."""
+    hit_schema = T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("manual_type", T.StringType()),
+            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
+            T.StructField("ata04", T.StringType()),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
     if is_small(queries, query_block):
         # At most query_block rows (counted just above), so every task may hold
         # them; the chunks stay where they are and are read once.
@@ -101,7 +102,7 @@ def _candidates(
             if best is not None:
                 yield best
 
-        return chunks.mapInPandas(scan, _HITS)
+        return chunks.mapInPandas(scan, hit_schema)
 
     # Both sides are cut into blocks of bounded size by row hash, and every
     # query block meets every chunk block in one task: rows move once per
@@ -120,7 +121,7 @@ def _candidates(
     def meet(left, right):
         return _block_hits(left, right, k)
 
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, _HITS)
+    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, hit_schema)
 
 
 def knn_per_type(
@@ -134,7 +135,7 @@ def knn_per_type(
     """The k nearest chunks per query and manual type by squared L2 distance.
 
     ``queries(query_id, embedding)``, ``chunks(chunk_id, manual_type, ata04,
-    embedding)`` with long ids. Queries without an embedding give no rows, types
+    embedding)``; ids are integers or strings. Queries without an embedding give no rows, types
     without chunks are absent, and ties go to the lower chunk id.
     """
     searched = chunks.where(F.col("manual_type").isin(manual_types or MANUAL_TYPES)).select(
@@ -220,11 +221,17 @@ def chunk_lookup(keys: DataFrame, chunks: DataFrame, **join) -> DataFrame:
 
 def index_statistics(chunks: DataFrame) -> DataFrame:
     """Vectors and dimension per manual type, and overall as type ``ALL``."""
+    # One row per type is left before the overall row is added.
+    per_type = (
+        chunks.select("manual_type", F.size("embedding").alias("n"))
+        .groupBy("manual_type")
+        .agg(F.count(F.lit(1)).alias("vectors"), F.max("n").alias("dimension"))
+    )
     return (
-        chunks.groupingSets([["manual_type"], []], "manual_type")
+        per_type.groupingSets([["manual_type"], []], "manual_type")
         .agg(
-            F.count(F.lit(1)).alias("vectors"),
-            F.max(F.size("embedding")).alias("dimension"),
+            F.sum("vectors").alias("vectors"),
+            F.max("dimension").alias("dimension"),
             F.grouping_id().alias("level"),
         )
         .select(

@@ -12,7 +12,7 @@ from hangarflow.functions.citations import first_citation
 from hangarflow.functions.codes import normalize_ata, text_key
 from hangarflow.functions.decisions import DEFAULT_THRESHOLD, reconcile
 from hangarflow.functions.text import ENGLISH_STOP_WORDS, strip
-from hangarflow.operators import tfidf
+from hangarflow.operators import tfidf, vectors
 from hangarflow.operators.workorders import (
     distinct_texts,
     fill_fields,
@@ -59,6 +59,25 @@ def derive_from_catalog(texts: DataFrame, model: CatalogModel) -> DataFrame:
     )
 
 
+def derive_from_chunks(text_vectors: DataFrame, chunks: DataFrame, **search) -> DataFrame:
+    """Derived columns from the nearest manual chunks, for ``mode='rag'``.
+
+    ``text_vectors(text_key, embedding)`` holds the vectors of the distinct
+    defect texts. The code is the majority of the nearest chunks over all
+    manual types.
+    """
+    queries = text_vectors.select(F.col("text_key").alias("query_id"), "embedding")
+    hits = vectors.knn_per_type(queries, chunks, k=vectors.DERIVE_TOP_K, **search)
+    return vectors.derive_ata(hits).select(
+        F.col("query_id").alias("text_key"),
+        F.col("ata04").alias("ATA04_Derived"),
+        F.lit("RAG").alias("Derived_DocType"),
+        F.col("score").alias("Derived_Score"),
+        F.lit("").alias("Evidence_Snippet"),
+        F.lit("Manual chunks").alias("Evidence_Source"),
+    )
+
+
 def _without_derived(df: DataFrame) -> DataFrame:
     nothing = F.lit(None)
     return df.withColumns(

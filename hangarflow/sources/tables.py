@@ -16,10 +16,16 @@ SHARD_SIZE = 5_000
 # --- end of fixed values ----------------------------------------------------------
 
 
-def read_work_orders(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Work orders from CSV or parquet. CSV cells stay text, so codes keep their zeros."""
+def read_work_orders(
+    spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True
+) -> DataFrame:
+    """Work orders from CSV or parquet. CSV cells stay text, so codes keep their zeros.
+
+    Texts in CSV may hold line breaks, which makes every file one task; turn
+    ``multi_line`` off for files without them and Spark splits the files.
+    """
     if fmt == "csv":
-        return spark.read.csv(path, header=True, multiLine=True, escape='"')
+        return spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     return spark.read.format(fmt).load(path)
 
 

@@ -51,9 +51,10 @@ def _line_frame(spark, lines, partitions=8):
     return spark.createDataFrame(lines, "ata04 string, part int, line_order string, text string").repartition(partitions)
 
 
-@pytest.mark.parametrize("partitions", [1, 8])
-def test_catalog_terms_cross_lines_and_ranges(spark, lines, partitions):
-    got = {(r.ata04, r.term): r.tf for r in tfidf.catalog_terms(_line_frame(spark, lines, partitions)).collect()}
+@pytest.mark.parametrize("partitions, digits", [(1, 2), (8, 2), (8, 1), (8, 3)])
+def test_catalog_terms_cross_lines_and_ranges(spark, lines, partitions, digits):
+    terms = tfidf.catalog_terms(_line_frame(spark, lines, partitions), range_digits=digits)
+    got = {(r.ata04, r.term): r.tf for r in terms.collect()}
     want = {
         (code, term): n
         for code, text in _running_texts(lines).items()
@@ -99,6 +100,8 @@ def test_model_and_scores(spark, lines):
                 want[i, code] = pytest.approx(sum(w * v.get(t, 0) for t, w in q.items()))
     assert scores == want
     assert all(0 < s <= 1 + 1e-9 for s in scores.values())
+    salted = tfidf.cosine_scores(weights, vectors, "id", max_broadcast_rows=0, salts=5)
+    assert {(r.id, r.ata04): r.score for r in salted.collect()} == want
 
     # The counted way and the vocabulary-first way agree.
     counted = tfidf.weigh(tfidf.text_terms(asked, "id"), vocabulary, "id")
@@ -199,6 +202,15 @@ def test_knn(spark, points, blocks, k):
         assert sorted(r[0] for r in vector_ops.index_types(chunks).collect()) == ["AMM", "FIM", "TSM"]
 
 
+def test_search_with_text_ids(spark, points):
+    rows = [(f"c{i:03}", "TSM", "21-00", p.tolist()) for i, p in enumerate(points[:20])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, manual_type string, ata04 string, embedding array<float>")
+    queries = chunks.selectExpr("chunk_id AS query_id", "embedding")
+    for blocks in ({}, {"query_block": 4, "chunk_block": 4}):
+        hits = vector_ops.knn_per_type(queries, chunks, 1, **blocks).collect()
+        assert sorted((r.query_id, r.chunk_id) for r in hits) == [(r[0], r[0]) for r in rows]
+
+
 def test_queries_without_vectors_and_absent_types(spark):
     schema = "chunk_id long, manual_type string, ata04 string, embedding array<float>"
     chunks = spark.createDataFrame([(1, "TSM", "21-00", [0.0, 1.0])], schema)

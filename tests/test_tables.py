@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hangarflow.operators import registry, reports, workorders
 from hangarflow.plans.build import build_catalog
-from hangarflow.plans.reconcile import process_work_orders
+from hangarflow.plans.reconcile import derive_from_chunks, process_work_orders
 from hangarflow.schema import RESULT_COLUMNS
 from hangarflow.session import lookup_join, new_path
 from hangarflow.sources import tables
@@ -78,6 +78,16 @@ def test_run_variants(orders, model):
     assert (always[5].Decision, always[5].Confidence) == ("REVIEW", 0.7)
     rag = _by_id(process_work_orders(orders, "wo_id", model, mode="rag"))
     assert all(r.ATA04_Derived is None for r in rag.values())
+    texts = orders.select(F.sha2("W/O Description", 256).alias("text_key")).distinct()
+    vectors = texts.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>"))
+    chunks = texts.sparkSession.createDataFrame(
+        [("a", "TSM", "21-26", [1.0, 0.0]), ("b", "AMM", "21-26", [1.0, 0.1]), ("c", "FIM", "29-11", [1.0, 0.0])],
+        "chunk_id string, manual_type string, ata04 string, embedding array<float>",
+    )
+    derived = derive_from_chunks(vectors, chunks)
+    by_vector = _by_id(process_work_orders(orders, "wo_id", mode="rag", derived=derived))
+    assert (by_vector[1].ATA04_Derived, by_vector[1].Derived_DocType) == ("21-26", "RAG")
+    assert by_vector[3].ATA04_Derived is None and by_vector[6].ATA04_Derived is None
     unfiltered = _by_id(process_work_orders(orders, "wo_id", model, filter_non_defect=False))
     assert unfiltered[3].Is_Technical_Defect and unfiltered[3].Non_Defect_Reason is None
     with pytest.raises(ValueError, match="unknown mode"):
