@@ -97,11 +97,12 @@ def _descriptions() -> Column:
 
 
 def catalog_items(parsed: DataFrame) -> DataFrame:
-    """Long catalog ``(ata04, kind, value, first_file)``, one row per distinct value.
+    """Long catalog of distinct ``(ata04, kind, value, name_file)`` rows.
 
-    A document yields all its values in one pass; the only shuffle is the
-    distinct, keyed by the value too, so a code that owns most documents
-    spreads over all tasks.
+    ``name_file`` tells which file a name comes from and is NULL for the other
+    kinds. A document yields all its values in one pass; the only shuffle is
+    the distinct, which hashes before and after it and is keyed by the value,
+    so a code that owns most documents spreads over all tasks.
     """
     used = lowered([*NAME_TAGS, *KEYWORD_TAGS, *WARNING_TAGS])
     texts = F.transform(
@@ -122,8 +123,13 @@ def catalog_items(parsed: DataFrame) -> DataFrame:
         catalog_code(parsed)
         .withColumn("_texts", texts)
         .select("ata04", "filename", F.explode(found).alias("item"))
-        .groupBy("ata04", F.col("item.kind").alias("kind"), F.col("item.value").alias("value"))
-        .agg(F.min("filename").alias("first_file"))
+        .select(
+            "ata04",
+            "item.kind",
+            "item.value",
+            F.when(F.col("item.kind") == NAME, F.col("filename")).alias("name_file"),
+        )
+        .distinct()
     )
 
 
@@ -137,7 +143,7 @@ def system_names(items: DataFrame) -> DataFrame:
     return (
         items.where(F.col("kind") == NAME)
         .groupBy("ata04")
-        .agg(F.min_by("value", "first_file").alias("system_name"))
+        .agg(F.min_by("value", "name_file").alias("system_name"))
     )
 
 

@@ -147,7 +147,7 @@ def catalog_descriptions(spark, sf):
     UNION ALL SELECT DISTINCT ata04, 'name', raw FROM names WHERE length(raw) BETWEEN 6 AND 199""",
 )
 def catalog_build(spark, sf):
-    return _items(spark, sf).drop("first_file")
+    return _items(spark, sf).select("ata04", "kind", "value").distinct()
 
 
 @query("catalog_sink", f"{_CATALOG} SELECT {_FLAT} FROM saved")
