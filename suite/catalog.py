@@ -245,6 +245,17 @@ def _scores(spark, sf):
     return tfidf.cosine_scores(*_weights(spark, sf), "doc_id")
 
 
+@query("model_source", f"{_SCORED} SELECT doc_id, ata04, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank = 1")
+def model_source(spark, sf):
+    """Documents scored with a model that was written and read back."""
+    path = new_path(spark, "model")
+    tables.write_model(*tfidf.fit(_lines(spark, sf)), path)
+    vocabulary, vectors = tables.read_model(spark, path)
+    weights = tfidf.text_weights(table(spark, sf, "documents"), "doc_id", vocabulary)
+    best = tfidf.top_matches(tfidf.cosine_scores(weights, vectors, "doc_id"), "doc_id", 1)
+    return best.withColumn("score", F.round("score", 6))
+
+
 @query("tfidf_transform", f"{_SCORED} SELECT doc_id, term, round(weight, 6) AS weight FROM qvec")
 def tfidf_transform(spark, sf):
     weights, _ = _weights(spark, sf)
