@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hangarflow.operators import documents
+
 DOCS = T.StructType(
     [
         T.StructField("manual_type", T.StringType()),
@@ -38,3 +41,17 @@ def ingest_available(stream: DataFrame, output: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+
+
+def index_available(stream: DataFrame, output: str, checkpoint: str, **split) -> None:
+    """Append chunks and references of the documents not indexed yet.
+
+    Reading, identity, chunking and splitting keep no state, so the operators
+    of the batch job run on the stream as they are. Chunks and references have
+    a checkpoint each; both end up as in one batch over all files.
+    """
+    identified = documents.identify(documents.parse_documents(stream))
+    references = documents.document_references(identified, F.col("manual_type"))
+    chunks = documents.manual_chunks(identified, **split)
+    ingest_available(references, f"{output}/references", f"{checkpoint}/references")
+    ingest_available(chunks, f"{output}/chunks", f"{checkpoint}/chunks")

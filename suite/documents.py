@@ -265,12 +265,25 @@ def split_chunks(spark, sf):
     return ops.split_chunks(whole.unionByName(pages)).select("id", "piece_pos", "text")
 
 
-@query(
-    "document_references",
-    f"""WITH {DOCS_SQL}, d AS (SELECT manual_type, filename, {_ATA} AS ata04, {_TASK} AS task_number, {_TITLE} AS title FROM docs)
+_REFERENCES_SQL = f"""WITH {DOCS_SQL}, d AS (SELECT manual_type, filename, {_ATA} AS ata04, {_TASK} AS task_number, {_TITLE} AS title FROM docs)
     SELECT manual_type, ata04, task_number, split_part(ata04, '-', 1) AS chapter, split_part(ata04, '-', 2) AS section,
-      CAST(NULL AS VARCHAR) AS subject, CAST(NULL AS VARCHAR) AS subsection1, CAST(NULL AS VARCHAR) AS subsection2, title, filename FROM d""",
-)
+      CAST(NULL AS VARCHAR) AS subject, CAST(NULL AS VARCHAR) AS subsection1, CAST(NULL AS VARCHAR) AS subsection2, title, filename FROM d"""
+
+
+@query("index_stream", _REFERENCES_SQL)
+def index_stream(spark, sf):
+    """References of all manuals, indexed in two arrivals with one checkpoint."""
+    source, output = new_path(spark, "manuals"), new_path(spark, "index")
+    checkpoint = new_path(spark, "index-checkpoint")
+    arriving = _manuals(spark, sf)
+    for half in (0, 1):
+        now = arriving.where(F.col("doc_id") % 2 == half).drop("doc_id")
+        now.write.mode("append").parquet(source)
+        ingest.index_available(ingest.new_files(spark, source), output, checkpoint)
+    return spark.read.parquet(f"{output}/references")
+
+
+@query("document_references", _REFERENCES_SQL)
 def document_references(spark, sf):
     return ops.document_references(_identified(spark, sf), F.col("manual_type"))
 

@@ -186,3 +186,15 @@ def test_build_index(spark):
     rows = chunks.collect()
     assert len({r.chunk_id for r in rows}) == len(rows) == 9
     assert {r.manual_type for r in rows} == {"TSM", "FIM"}
+
+
+def test_streamed_index_equals_batch(spark, tmp_path):
+    source, output, checkpoint = str(tmp_path / "in"), new_path(spark, "index"), new_path(spark, "checkpoint")
+    docs = [("TSM", "dm/a.sgm", DATA_MODULE), ("FIM", "fim/21-26-00.sgml", CHAPTER), ("AMM", "x.sgm", BROKEN)]
+    for doc in docs:
+        spark.createDataFrame([doc], ingest.DOCS).write.mode("append").parquet(source)
+        ingest.index_available(ingest.new_files(spark, source), output, checkpoint)
+    references, chunks = build_index(spark.createDataFrame(docs, ingest.DOCS))
+    for name, batch in (("references", references), ("chunks", chunks)):
+        streamed = spark.read.parquet(f"{output}/{name}").select(*batch.columns)
+        assert sorted(map(repr, streamed.collect())) == sorted(map(repr, batch.collect()))

@@ -134,8 +134,18 @@ def test_lookup_join_with_hot_and_null_keys(spark):
     salted = lookup_join(left, right, ["k"], ["id"], rows_per_salt=50, max_broadcast_rows=0)
     assert sorted(salted.select("id", "k", "v").collect(), key=lambda r: r.id) == sorted(want, key=lambda r: r.id)
     assert len(want) == len(keys)
-    parts = salted.select(F.spark_partition_id().alias("p"), "k").where("k = 'hot'").distinct().count()
-    assert parts >= 1
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        spread = lookup_join(left, right, ["k"], ["id"], rows_per_salt=50, max_broadcast_rows=0)
+        parts = spread.select(F.spark_partition_id().alias("p"), "k").distinct().groupBy("k").count()
+        used = {r.k: r["count"] for r in parts.collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert used["hot"] > 4 and used[None] > 4 and used["k1"] == 1
 
 
 def test_registry(spark, refs):
