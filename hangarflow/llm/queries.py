@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hangarflow.llm import byte_bpe, exact_dedup, mixture, token_files, url_rules
+from hangarflow.llm import byte_bpe, exact_dedup, language_id, mixture, token_files, toxicity, url_rules
+from hangarflow.llm.texts import bucket_of_id
 from hangarflow.session import new_path
 
 END_OF_DOCUMENT = 1
@@ -42,6 +43,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(bucket_of_id("doc_id", 4) == 2, F.lit(False))
+    filters = language_id.fit(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), language_id.predict(spark, filters).alias("p")).select(
+        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score")
+    )
+
+
 def op4_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixture.sizes(_table(spark, sf_dir, "documents"))
     sources = mixture.targets(sized, SOURCE_WEIGHTS, MIX_SHARE)
@@ -68,6 +78,13 @@ def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(bucket_of_id("doc_id", 5) == 0, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").where(~held_out)
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -78,7 +95,15 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op4_source_mixture, op5_byte_bpe, op6_content_sort, op9_url_rules)
+    for f in (
+        op1_token_files,
+        op2_language_filters,
+        op4_source_mixture,
+        op5_byte_bpe,
+        op6_content_sort,
+        op7_toxicity,
+        op9_url_rules,
+    )
 }
 
 ORACLES: dict[str, str] = {
