@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hangarflow.llm import byte_bpe, exact_dedup, language_id, mixture, token_files, toxicity, url_rules
+from hangarflow.llm import byte_bpe, exact_dedup, interpolation, language_id, mixture, token_files, toxicity, url_rules
 from hangarflow.llm.texts import bucket_of_id
 from hangarflow.session import new_path
 
@@ -52,6 +52,14 @@ def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(bucket_of_id("doc_id", 5) == 1, F.lit(False))
+    scored = interpolation.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op4_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixture.sizes(_table(spark, sf_dir, "documents"))
     sources = mixture.targets(sized, SOURCE_WEIGHTS, MIX_SHARE)
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_files,
         op2_language_filters,
+        op3_deleted_interpolation,
         op4_source_mixture,
         op5_byte_bpe,
         op6_content_sort,
