@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hangarflow.llm import byte_bpe, exact_dedup, interpolation, language_id, mixture, token_files, toxicity, url_rules
+from hangarflow.llm import byte_bpe, exact_dedup, interpolation, jaccard, language_id, mixture, token_files, toxicity, url_rules
 from hangarflow.llm.texts import bucket_of_id
 from hangarflow.session import new_path
 
@@ -101,6 +101,10 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.connect(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_content_sort,
         op7_toxicity,
         op9_url_rules,
+        op10_token_group_join,
     )
 }
 
