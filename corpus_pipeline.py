@@ -10,16 +10,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hangarflow.llm import byte_bpe, exact_dedup, mixture
+from hangarflow.llm import byte_bpe, exact_dedup, jaccard, language_id, mixture
 from hangarflow.llm.queries import MIX_SHARE, SOURCE_WEIGHTS
+from hangarflow.llm.texts import carried
 from hangarflow.session import stored
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; null texts and texts without a letter go.
+
+    Learned from the documents' own ``lang``. If no row has one, only texts without letters go.
+    """
+    filters = language_id.fit(docs)
+    if not filters.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows = carried(docs, lang=language_id.predict(spark, filters)["lang"])
+    return rows.where(F.col("lang") != language_id.UNDETERMINED).select("row.*")
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays: the one with the largest doc_id."""
     return exact_dedup.content_sort(docs, keep="largest").where("kept").select("row.*")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays: the one with the smallest doc_id."""
+    return jaccard.one_of_each(docs)
+
+
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number of copies."""
     sized = mixture.sizes(docs)
@@ -42,12 +60,14 @@ def byte_bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("language", known_language),
     ("exact dedup", exact_duplicates),
+    ("near duplicates", near_duplicates),
     ("source mixture", source_mixture),
     ("byte BPE", byte_bpe_ids),
 ]
 
-# Language prediction, hash-shuffled mixing and BPE cannot be said in SQL.
+# Language prediction, the mix's hash order and BPE cannot be said in SQL.
 ORACLE_SQL = None
 
 

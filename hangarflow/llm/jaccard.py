@@ -449,3 +449,10 @@ def _smallest(joined: DataFrame) -> DataFrame:
     """Name each component by its smallest document."""
     least = joined.groupBy("component").agg(F.min("id").alias("least"))
     return joined.join(least, "component").select(F.col("id").alias("node"), F.col("least").alias("component"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows of ``docs`` that name their component, and rows without identifier."""
+    named = connect(docs, id_column, text_column).where("component_id = doc_id").select(F.col("doc_id").alias("doc_id_"))
+    kept = docs.join(named.distinct(), F.col(id_column) == F.col("doc_id_"), "left_semi")
+    return kept.unionByName(docs.where(F.col(id_column).isNull()))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hangarflow.llm import byte_bpe, exact_dedup, interpolation, jaccard, language_id, mixture, token_files, toxicity, url_rules
+from hangarflow.llm import byte_bpe, dimension_scan, exact_dedup, interpolation, jaccard, language_id, mixture, token_files, toxicity, url_rules
 from hangarflow.llm.texts import bucket_of_id
 from hangarflow.session import new_path
 
@@ -93,6 +93,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimension_scan.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -115,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_byte_bpe,
         op6_content_sort,
         op7_toxicity,
+        op8_dimension_scan,
         op9_url_rules,
         op10_token_group_join,
     )
