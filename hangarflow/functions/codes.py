@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hangarflow.functions.text import strip
+
 
 def null_if_empty(col: Column) -> Column:
     return F.when(col != "", col)
@@ -21,7 +23,7 @@ def normalize_ata(code: Column) -> Column:
 
 def normalize_ata_echo(code: Column) -> Column:
     """Like :func:`normalize_ata`, but a short code comes back trimmed."""
-    return F.coalesce(normalize_ata(code), F.trim(code.cast("string")), F.lit(""))
+    return F.coalesce(normalize_ata(code), strip(code.cast("string")), F.lit(""))
 
 
 def validate_ata_format(code: Column) -> Column:
@@ -84,6 +86,11 @@ def text_fingerprint(defect: Column, action: Column) -> Column:
     return F.substring(F.sha1(F.concat(defect, F.lit("|"), action)), 1, 16)
 
 
+def pair_key(defect: Column, action: Column) -> Column:
+    """Full-length digest of a (defect, action) text pair; NULL when either is."""
+    return F.sha2(F.concat(F.length(defect).cast("string"), F.lit("|"), defect, action), 256)
+
+
 def text_key(text: Column) -> Column:
     """Full-length digest used as join key for texts."""
     return F.sha2(text, 256)

@@ -14,7 +14,7 @@ def exists(keys: DataFrame, registry: DataFrame, typed: bool = False, **join) ->
     on = ["task_number", "manual_type"] if typed else ["task_number"]
     known = registry.select(*on).dropna("any").distinct().withColumn("_known", F.lit(True))
     return (
-        lookup_join(keys, known, on, spread_by=keys.columns, **join)
+        lookup_join(keys, known, on, **join)
         .withColumn("ref_exists", F.col("_known").isNotNull())
         .drop("_known")
     )
@@ -34,7 +34,7 @@ def one_per_task(registry: DataFrame) -> DataFrame:
 def get_reference(keys: DataFrame, registry: DataFrame, **join) -> DataFrame:
     """Reference details per requested task number, NULL when unknown."""
     return lookup_join(
-        keys, one_per_task(registry), ["task_number"], spread_by=keys.columns, **join
+        keys, one_per_task(registry), ["task_number"], **join
     )
 
 

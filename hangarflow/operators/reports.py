@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hangarflow.functions.codes import validate_ata_format
+from hangarflow.functions.text import strip
 
 
 def _count_if(condition) -> "F.Column":
@@ -78,5 +79,5 @@ def input_quality(work_orders: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_wos"),
         _count_if(~validate_ata_format(F.col("ATA"))).alias("bad_code"),
         F.count_if(~F.coalesce(F.col("Issued") < F.col("Closed"), F.lit(False))).alias("bad_dates"),
-        F.count_if(F.trim(F.coalesce("W/O Description", F.lit(""))) == "").alias("no_description"),
+        F.count_if(strip(F.coalesce("W/O Description", F.lit(""))) == "").alias("no_description"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hangarflow.functions.text import ENGLISH_STOP_WORDS, ngrams, tokens
-from hangarflow.session import broadcast_if_small, is_small, stored
+from hangarflow.session import stored
 
 # --- fixed values: model parameters ---------------------------------------------
 MAX_FEATURES = 5000
@@ -18,11 +18,6 @@ MIN_SCORE = 0.2
 TOP_K = 3
 # --- end of fixed values ----------------------------------------------------------
 
-# Entry weights are narrow rows (a term, a code, a double): about 60 bytes each.
-MAX_BROADCAST_WEIGHTS = 1_000_000
-# Tasks that share one frequent term when the catalog is too big to broadcast.
-TERM_SALTS = 32
-
 
 def text_grams(
     texts: DataFrame,
@@ -70,7 +65,7 @@ def text_weights(
     """
     counted = (
         text_grams(texts, key, text, stop_words)
-        .join(broadcast_if_small(vocabulary.select("term", "idf")), "term")
+        .join(vocabulary.select("term", "idf"), "term")
         .groupBy(key, "term", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -173,7 +168,7 @@ def weigh(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     The vocabulary is capped when it is fitted, which also bounds the rows per
     key that the norm window sees.
     """
-    return _normalised(terms.join(broadcast_if_small(vocabulary), "term"), key)
+    return _normalised(terms.join(vocabulary, "term"), key)
 
 
 def _normalised(counted: DataFrame, key: str) -> DataFrame:
@@ -183,30 +178,28 @@ def _normalised(counted: DataFrame, key: str) -> DataFrame:
 
 
 def cosine_scores(
-    queries: DataFrame,
-    catalog: DataFrame,
-    key: str,
-    max_broadcast_rows: int = MAX_BROADCAST_WEIGHTS,
-    salts: int = TERM_SALTS,
+    queries: DataFrame, catalog: DataFrame, key: str, min_score: float = 0.0, shuffle: bool = False
 ) -> DataFrame:
-    """``(key, ata04, score)`` for every pair that shares a term.
+    """``(key, ata04, score)`` of every pair that shares a term and reaches ``min_score``.
 
-    An inverted-index join on the term. A catalog side that a count proves
-    small is broadcast; then nothing shuffles, because the query side is
-    already hashed by its key. A larger one is repeated once per salt and the
-    query terms are spread over the salts by their key, so a term that most
-    texts use is shared by many tasks.
+    An inverted-index join on the term. Spark broadcasts the catalog side when its
+    stored files are small; then nothing shuffles, because the query side is already
+    hashed by its key. In the shuffled join, adaptive execution splits a term that
+    many texts use. ``shuffle`` asks for that join.
+
+    A text whose terms cannot reach ``min_score`` even if each met the heaviest
+    entry of its term leaves before any pair is made.
     """
     side = catalog.select("term", "ata04", F.col("weight").alias("entry_weight"))
-    if max_broadcast_rows and is_small(side, max_broadcast_rows):
-        pairs = queries.join(F.broadcast(side), "term")
-    else:
-        salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-        pairs = queries.withColumn("_salt", spread).join(salted, ["term", "_salt"])
-    return pairs.groupBy(key, "ata04").agg(
-        F.sum(F.col("weight") * F.col("entry_weight")).alias("score")
-    )
+    if min_score > 0:
+        heaviest = side.groupBy("term").agg(F.max("entry_weight").alias("heaviest"))
+        reach = F.sum(F.col("weight") * F.coalesce("heaviest", F.lit(0.0))).over(Window.partitionBy(key))
+        queries = (
+            queries.join(heaviest, "term", "left").withColumn("reach", reach).where(F.col("reach") >= min_score)
+        ).drop("heaviest", "reach")
+    pairs = queries.join(side.hint("merge") if shuffle else side, "term")
+    scores = pairs.groupBy(key, "ata04").agg(F.sum(F.col("weight") * F.col("entry_weight")).alias("score"))
+    return scores.where(F.col("score") >= min_score) if min_score > 0 else scores
 
 
 def best_match(scores: DataFrame, key: str, min_score: float = MIN_SCORE) -> DataFrame:
@@ -252,6 +245,6 @@ def predict_ata(
 ) -> DataFrame:
     """Best entry per text with the entry's name and keywords."""
     weights = text_weights(texts, key, vocabulary, text, stop_words)
-    best = best_match(cosine_scores(weights, vectors, key), key, min_score)
-    entries = broadcast_if_small(catalog.select("ata04", "system_name", "keywords"))
+    best = best_match(cosine_scores(weights, vectors, key, min_score), key, min_score)
+    entries = catalog.select("ata04", "system_name", "keywords")
     return best.join(entries, "ata04", "left")

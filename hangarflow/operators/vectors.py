@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from hangarflow.functions.vectors import distance_to_score, embedding_or_zero
 from hangarflow.schema import MANUAL_TYPES
-from hangarflow.session import is_small, lookup_join
 
 # --- fixed values: search defaults ------------------------------------------------
 TOP_K = 5
@@ -23,27 +22,33 @@ DERIVE_TOP_K = 3
 DIMENSION = 1536
 # --- end of fixed values ------------------------------------------------------------
 
-# Queries whose vectors one task holds at a time (1536 floats: about 25 MB).
+# Rows per block of either side (1536 floats: about 25 MB and 100 MB).
 QUERY_BLOCK = 4_096
-# Chunk rows per block when both sides are cut into blocks.
 CHUNK_BLOCK = 16_384
-# Query rows per matrix product, which bounds the product to tens of MB.
-_SLICE = 512
+# Distances of one matrix product, and vector components refined at a time.
+_CELLS = 1 << 20
+_COMPONENTS = 1 << 22
 
 _HIT_COLUMNS = ["query_id", "manual_type", "chunk_id", "ata04", "distance"]
 # Ship the helpers below with the task, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_HIT_ORDER = ["query_id", "manual_type", "distance", "chunk_id"]
-
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _keep_nearest(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = hits.sort_values(_HIT_ORDER)
-    return ordered.groupby(["query_id", "manual_type"], sort=False).head(k)
+def _exact_distances(
+    queries: np.ndarray, chunks: np.ndarray, row: np.ndarray, col: np.ndarray
+) -> np.ndarray:
+    """Squared distances of pairs, summed from differences a bounded number of components at a time."""
+    found = np.empty(len(row))
+    step = max(1, _COMPONENTS // max(1, chunks.shape[1]))
+    for start in range(0, len(row), step):
+        part = slice(start, start + step)
+        difference = queries[row[part]] - chunks[col[part]]
+        found[part] = np.einsum("ij,ij->i", difference, difference)
+    return found
 
 
 def _block_hits(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -52,34 +57,56 @@ def _block_hits(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     A matrix product finds the candidates; the distances of the candidates are
     then summed from differences, so equal vectors get equal distances. The
     margin keeps every chunk that rounding could have pushed over the k-th place.
+    Any number of ties costs index numbers only, never copies of vectors.
     """
-    frames = []
+    frames = [pd.DataFrame({name: [] for name in _HIT_COLUMNS})]
     if not len(q) or not len(c):
-        return pd.DataFrame({name: [] for name in _HIT_COLUMNS})
+        return frames[0]
     all_queries, all_chunks = _matrix(q["embedding"]), _matrix(c["embedding"])
-    for _, rows in c.reset_index(drop=True).groupby("manual_type", sort=False):
+    for manual_type, rows in c.reset_index(drop=True).groupby("manual_type", sort=False):
+        rows = rows.sort_values("chunk_id")
         vectors = all_chunks[rows.index.to_numpy()]
+        ids, codes = rows["chunk_id"].to_numpy(), rows["ata04"].to_numpy()
         norms = np.einsum("ij,ij->i", vectors, vectors)
         last = min(k, len(rows)) - 1
-        for start in range(0, len(q), _SLICE):
-            queries = all_queries[start : start + _SLICE]
+        height = max(1, _CELLS // len(rows))
+        for start in range(0, len(q), height):
+            queries = all_queries[start : start + height]
             query_norms = np.einsum("ij,ij->i", queries, queries)
             product = query_norms[:, None] + norms[None, :] - 2.0 * (queries @ vectors.T)
             limit = np.partition(product, last, axis=1)[:, last]
             margin = 1e-9 * (1.0 + query_norms + norms.max())
             row, col = np.nonzero(product <= (limit + margin)[:, None])
-            difference = queries[row] - vectors[col]
-            found = rows.iloc[col][["manual_type", "chunk_id", "ata04"]].reset_index(drop=True)
-            found["query_id"] = q["query_id"].to_numpy()[start + row]
-            found["distance"] = np.einsum("ij,ij->i", difference, difference)
-            frames.append(_keep_nearest(found, k))
-    return pd.concat(frames)[_HIT_COLUMNS]
+            distance = _exact_distances(queries, vectors, row, col)
+            # Chunks are in order of their ids, so the column number breaks ties.
+            order = np.lexsort((col, distance, row))
+            row, col, distance = row[order], col[order], distance[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            near = place < k
+            frames.append(
+                pd.DataFrame(
+                    {
+                        "query_id": q["query_id"].to_numpy()[start + row[near]],
+                        "manual_type": manual_type,
+                        "chunk_id": ids[col[near]],
+                        "ata04": codes[col[near]],
+                        "distance": distance[near],
+                    }
+                )
+            )
+    return pd.concat(frames[1:])[_HIT_COLUMNS]
 
 
 def _candidates(
-    queries: DataFrame, chunks: DataFrame, k: int, query_block: int, chunk_block: int
+    queries: DataFrame, chunks: DataFrame, k: int, query_block: int, chunk_block: int, within: list[str]
 ) -> DataFrame:
-    """The k nearest of every query and type, per split or block of the chunks."""
+    """The k nearest of every query and type, per block of the chunks.
+
+    Both sides are cut into blocks of bounded size by row hash, and every query
+    block meets every chunk block in one task, whatever the sizes: rows move once
+    per opposite block, and only k hits per query, type and block come out.
+    ``within`` names columns that must be equal on both sides.
+    """
     hit_schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -89,25 +116,7 @@ def _candidates(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    if is_small(queries, query_block):
-        # At most query_block rows (counted just above), so every task may hold
-        # them; the chunks stay where they are and are read once.
-        held = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
-
-        def scan(frames):
-            best = None
-            for c in frames:
-                hits = _block_hits(held.value, c, k)
-                best = hits if best is None else _keep_nearest(pd.concat([best, hits]), k)
-            if best is not None:
-                yield best
-
-        return chunks.mapInPandas(scan, hit_schema)
-
-    # Both sides are cut into blocks of bounded size by row hash, and every
-    # query block meets every chunk block in one task: rows move once per
-    # opposite block, and only k hits per query, type and block come out.
-    n_query_blocks = -(-queries.count() // query_block)
+    n_query_blocks = max(1, -(-queries.count() // query_block))
     n_chunk_blocks = max(1, -(-chunks.count() // chunk_block))
 
     def blocked(df, key, own, n_own, other, n_other):
@@ -121,7 +130,8 @@ def _candidates(
     def meet(left, right):
         return _block_hits(left, right, k)
 
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, hit_schema)
+    keys = [*within, "qb", "cb"]
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(meet, hit_schema)
 
 
 def knn_per_type(
@@ -131,18 +141,23 @@ def knn_per_type(
     manual_types: list[str] | None = None,
     query_block: int = QUERY_BLOCK,
     chunk_block: int = CHUNK_BLOCK,
+    within: list[str] | None = None,
 ) -> DataFrame:
     """The k nearest chunks per query and manual type by squared L2 distance.
 
     ``queries(query_id, embedding)``, ``chunks(chunk_id, manual_type, ata04,
     embedding)``; ids are integers or strings. Queries without an embedding give no rows, types
-    without chunks are absent, and ties go to the lower chunk id.
+    without chunks are absent, and ties go to the lower chunk id. Chunks without an embedding,
+    or flagged by ``is_fallback``, are not searched: a zero vector says nothing about its text.
+    ``within`` searches only chunks that agree with the query in these columns.
     """
-    searched = chunks.where(F.col("manual_type").isin(manual_types or MANUAL_TYPES)).select(
-        "chunk_id", "manual_type", "ata04", "embedding"
-    )
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    hits = _candidates(asked, searched, k, query_block, chunk_block)
+    within = within or []
+    usable = F.col("manual_type").isin(manual_types or MANUAL_TYPES) & F.col("embedding").isNotNull()
+    if "is_fallback" in chunks.columns:
+        usable &= ~F.coalesce("is_fallback", F.lit(False))
+    searched = chunks.where(usable).select("chunk_id", "manual_type", "ata04", "embedding")
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", *within)
+    hits = _candidates(asked, searched, k, query_block, chunk_block, within)
     order = Window.partitionBy("query_id", "manual_type").orderBy("distance", "chunk_id")
     return (
         hits.withColumn("rank", F.row_number().over(order))
@@ -162,14 +177,17 @@ def knn_by_ata(
     chunks: DataFrame,
     k: int = TOP_K_BY_ATA,
     manual_types: list[str] | None = None,
+    prefilter: bool = False,
     **blocks,
 ) -> DataFrame:
     """Hits of the query's own ``ata04`` among its best overall hits.
 
     The list is ranked first and filtered afterwards, so a query may get fewer
-    than ``k`` rows.
+    than ``k`` rows. ``prefilter`` searches only chunks of that code instead.
     """
     types = manual_types or MANUAL_TYPES
+    if prefilter:
+        return knn_merged(knn_per_type(queries, chunks, k, types, within=["ata04"], **blocks), k)
     wide = k * POST_FILTER_FACTOR
     merged = knn_merged(knn_per_type(queries, chunks, wide, types, **blocks), wide * len(types))
     wanted = queries.select("query_id", F.col("ata04").alias("wanted"))
@@ -199,24 +217,9 @@ def derive_ata(hits: DataFrame) -> DataFrame:
     )
 
 
-def chunk_lookup(keys: DataFrame, chunks: DataFrame, **join) -> DataFrame:
-    """Chunks by ``(chunk_id, manual_type)``; unknown keys give no row.
-
-    Chunk rows carry vectors, so they are never broadcast here.
-    """
-    known = chunks.withColumn("_known", F.lit(True))
-    return (
-        lookup_join(
-            keys,
-            known,
-            ["chunk_id", "manual_type"],
-            spread_by=keys.columns,
-            max_broadcast_rows=0,
-            **join,
-        )
-        .where("_known")
-        .drop("_known")
-    )
+def chunk_lookup(keys: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks by ``(chunk_id, manual_type)``; unknown keys give no row."""
+    return keys.join(chunks, ["chunk_id", "manual_type"])
 
 
 def index_statistics(chunks: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hangarflow.functions.codes import normalize_ata_echo, text_fingerprint
+from hangarflow.functions.codes import normalize_ata_echo, pair_key
 from hangarflow.functions.decisions import NON_DEFECT_CONFIDENCE
 from hangarflow.functions.defects import with_verdict
+from hangarflow.functions.text import strip
 from hangarflow.schema import COLUMN_MAPPING, REQUIRED_COLUMNS, RESULT_COLUMNS
 from hangarflow.session import lookup_join
 
@@ -34,7 +35,7 @@ def column_report(df: DataFrame) -> DataFrame:
     counts = df.agg(
         F.count(F.lit(1)).alias("_rows"),
         *[
-            F.count_if(F.trim(F.col(f"`{n}`").cast("string")) != "").alias(n) for n in present
+            F.count_if(strip(F.col(f"`{n}`").cast("string")) != "").alias(n) for n in present
         ],
     )
     rows = [
@@ -112,19 +113,15 @@ def first_row_decision(
 ) -> DataFrame:
     """Give rows with equal texts the decision of the first of them.
 
-    The first row per fingerprint is found by a partial aggregate and joined
-    back with the frequent fingerprints spread out.
+    The first row per pair of texts is found by a partial aggregate and joined back.
+    Texts are told apart by their full digests; the short fingerprint is too short for that.
     """
-    keyed = results.withColumn(
-        "_print", text_fingerprint(F.col("Defect_Text"), F.col("Rectification_Text"))
-    )
+    keyed = results.withColumn("_print", pair_key(F.col("Defect_Text"), F.col("Rectification_Text")))
     first = (
         keyed.groupBy("_print")
         .agg(F.min_by(F.struct(*decision_columns), order).alias("_first"))
     )
-    joined = lookup_join(
-        keyed.drop(*decision_columns), first, ["_print"], spread_by=[order], **join
-    )
+    joined = lookup_join(keyed.drop(*decision_columns), first, ["_print"], **join)
     return joined.select(
         *[
             F.col(f"_first.{name}").alias(name) if name in decision_columns else F.col(name)

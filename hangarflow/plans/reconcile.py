@@ -108,7 +108,7 @@ def process_work_orders(
 
     Only distinct texts of technical defects are scored, and the scores are
     written to the shared folder before they meet the work orders again, so
-    the join knows their true size.
+    the join knows their true size. The flagged rows are written too.
     """
     if mode not in ("catalog", "rag"):
         raise ValueError(f"unknown mode: {mode}")
@@ -131,16 +131,17 @@ def process_work_orders(
         .drop("_citation")
     )
 
-    if mode == "catalog" and derived is None and model is not None:
-        # Rows not to be scored share one NULL text, which has no terms. A filter
-        # instead would be pushed to the scan and run every pattern a second time.
-        texts = distinct_texts(rows.select(F.when(scorable, F.col("Defect_Text")).alias("Defect_Text")), "Defect_Text")
-        texts = texts.withColumn("text_key", text_key(F.col("Defect_Text")))
+    scores = mode == "catalog" and derived is None and model is not None
+    if scores or derived is not None or registry is not None:
+        # Patterns and citations run once; every branch below reads what it needs.
+        rows = stored(rows, "cited")
+    if scores:
+        texts = distinct_texts(rows.where("text_key IS NOT NULL").select("text_key", "Defect_Text"), "text_key", "Defect_Text")
         derived = stored(derive_from_catalog(texts, model), "derived")
     rows = (
         _without_derived(rows)
         if derived is None
-        else lookup_join(rows, derived, ["text_key"], spread_by=[key], **join)
+        else lookup_join(rows, derived, ["text_key"], **join)
     )
 
     if registry is None:
@@ -155,7 +156,7 @@ def process_work_orders(
             .distinct()
             .withColumn("_known", F.lit(True))
         )
-        rows = lookup_join(rows, known, ["Cited_Task", "Cited_Manual"], spread_by=[key], **join)
+        rows = lookup_join(rows, known, ["Cited_Task", "Cited_Manual"], **join)
         rows = rows.withColumn(
             "Cited_Exists",
             F.when(F.col("Cited_Task").isNotNull(), F.coalesce("_known", F.lit(False))),

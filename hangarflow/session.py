@@ -11,16 +11,6 @@ from operator import or_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup table up to this many rows may be broadcast.
-BROADCAST_ROWS = 200_000
-# A key with more rows than this is split over several salts in a lookup join.
-ROWS_PER_SALT = 1_000_000
-# Only this many heaviest keys are salted; a lighter key cannot hold more than
-# 1/MAX_HOT_KEYS of the rows, which one task can take.
-MAX_HOT_KEYS = 1_000
-# Rows whose key is NULL are spread over this many salts.
-NULL_SALTS = 4_096
-
 
 def local_session(cores: str | int = 8, app_name: str = "hangarflow") -> SparkSession:
     """A local session for tests and benchmarks."""
@@ -71,62 +61,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; otherwise leave the join to Spark."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], shuffle: bool = False) -> DataFrame:
+    """Left join to a table with one row per key, safe for very frequent and for NULL keys.
 
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    rows_per_salt: int = ROWS_PER_SALT,
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Left join to a table with one row per key, safe for very frequent keys.
-
-    ``right`` is broadcast when a count proves it small. Otherwise both sides
-    shuffle on the key plus a salt: the heaviest left keys get as many salts as
-    their row count asks for and their ``right`` row is repeated once per salt,
-    NULL keys (which match nothing) are spread out, and every other key keeps
-    salt 0. ``spread_by`` names left columns that tell the rows apart.
+    Rows with a NULL key match nothing: they are split off by a filter and never
+    shuffled. The others take one plain join. Spark chooses its kind from the size
+    of ``right``; in a shuffled join, adaptive execution splits the partition of a
+    key that many left rows share. ``left`` appears once per branch, so callers
+    store a left side that is expensive to compute. ``shuffle`` asks for the
+    shuffled join, as for a table too big to broadcast.
     """
     on = list(on)
-    if max_broadcast_rows and is_small(right, max_broadcast_rows):
-        return left.join(F.broadcast(right), on, "left")
-
     any_null = reduce(or_, [F.col(name).isNull() for name in on])
-    # NULL keys count as no rows, so they never become hot keys.
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count(F.when(~any_null, 1)).alias("_copies"))
-        .where(F.col("_copies") > rows_per_salt)
-        .orderBy(F.desc("_copies"), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_copies") / rows_per_salt).cast("int").alias("_salts"))
-    )
-    # At most MAX_HOT_KEYS rows by the limit above.
-    hot = F.broadcast(hot)
-
-    row_hash = F.xxhash64(*spread_by)
-    salted_left = left.join(hot, on, "left").withColumn(
-        "_salt",
-        F.when(any_null, F.pmod(row_hash, F.lit(NULL_SALTS)))
-        .when(F.col("_salts").isNotNull(), F.pmod(row_hash, F.col("_salts")))
-        .otherwise(F.lit(0))
-        .cast("int"),
-    )
-    salted_right = right.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    )
-    return (
-        salted_left.drop("_salts")
-        .join(salted_right.drop("_salts"), [*on, "_salt"], "left")
-        .drop("_salt")
-    )
+    known = right.hint("merge") if shuffle else right
+    added = [
+        F.lit(None).cast(field.dataType).alias(field.name) for field in right.schema if field.name not in on
+    ]
+    found = left.where(~any_null).join(known, on, "left")
+    return found.unionByName(left.where(any_null).select("*", *added))

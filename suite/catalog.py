@@ -231,7 +231,7 @@ def model_sink(spark, sf):
     path = new_path(spark, "model")
     tables.write_model(*tfidf.fit(_lines(spark, sf)), path)
     vocabulary, vectors = tables.read_model(spark, path)
-    return vectors.join(F.broadcast(vocabulary), "term").select(
+    return vectors.join(vocabulary, "term").select(
         "ata04", "term", F.round("weight", 6).alias("weight"), F.round("idf", 6).alias("idf")
     )
 
@@ -262,9 +262,19 @@ def tfidf_transform(spark, sf):
     return weights.withColumn("weight", F.round("weight", 6))
 
 
-@query("cosine_scores", f"{_SCORED} SELECT doc_id, ata04, round(score, 6) AS score FROM scores")
+@query(
+    "cosine_scores",
+    f"""{_SCORED} SELECT doc_id, count(*) AS codes, round(max(score), 6) AS best,
+    list_aggregate(list_sort(list(ata04) FILTER (WHERE score >= 0.2)), 'string_agg', '|') AS reached FROM scores GROUP BY doc_id""",
+)
 def cosine_scores(spark, sf):
-    return _scores(spark, sf).withColumn("score", F.round("score", 6))
+    """Codes each text shares a term with, and those that reach the least score."""
+    reached = F.array_join(F.array_sort(F.collect_list(F.when(F.col("score") >= tfidf.MIN_SCORE, F.col("ata04")))), "|")
+    return _scores(spark, sf).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("codes"),
+        F.round(F.max("score"), 6).alias("best"),
+        F.when(reached != "", reached).alias("reached"),
+    )
 
 
 @query(

@@ -111,7 +111,7 @@ def process_table(spark, sf):
 @query("process_table_salted", f"{_RUN} SELECT {_COLUMNS} FROM results")
 def process_table_salted(spark, sf):
     """The same run with the joins taken the way of tables too big to broadcast."""
-    return _rounded(_run(spark, sf, max_broadcast_rows=0, rows_per_salt=200))
+    return _rounded(_run(spark, sf, shuffle=True))
 
 
 @query("mode_switch", f"WITH {run_sql(_IN_REGISTRY, _NO_DERIVE)} SELECT {_COLUMNS} FROM results")

@@ -72,6 +72,18 @@ def knn_blocked(spark, sf):
     return _rounded(hits)
 
 
+@query(
+    "knn_prefiltered",
+    f"""{_PAIRS}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id, manual_type ORDER BY d, chunk_id) AS place
+      FROM pairs WHERE ata04 = wanted), near AS (SELECT * EXCLUDE (place), 1 / (1 + d) AS score, row_number() OVER
+      (PARTITION BY query_id ORDER BY 1 / (1 + d) DESC, manual_type, chunk_id) AS rank FROM own WHERE place <= 3)
+    SELECT {_OUT} FROM near WHERE rank <= 3""",
+)
+def knn_prefiltered(spark, sf):
+    """Only chunks of the query's own code are searched."""
+    return _rounded(ops.knn_by_ata(vector_queries(spark, sf), vector_chunks(spark, sf), prefilter=True))
+
+
 @query("knn_merged", f"{_PAIRS}, {_per_type(5)}, {_MERGED} SELECT {_OUT} FROM merged WHERE rank <= 15")
 def knn_merged(spark, sf):
     hits = ops.knn_per_type(vector_queries(spark, sf), vector_chunks(spark, sf))
@@ -101,17 +113,23 @@ def rag_derive_ata(spark, sf):
 
 @query(
     "chunk_lookup",
-    f"""WITH {CHUNKS_SQL} SELECT e.event_id, c.chunk_id, c.manual_type, c.ata04 FROM
-      (SELECT event_id, event_id % 700 AS chunk_id, CASE WHEN event_id % 2 = 0 THEN 'TSM' ELSE 'FIM' END AS manual_type FROM events) e
+    f"""WITH {CHUNKS_SQL} SELECT k.key_id, c.chunk_id, c.manual_type, c.ata04 FROM
+      (SELECT vec_id AS key_id, vec_id + vec_id % 2 * (SELECT count(*) FROM embeddings) AS chunk_id,
+         CASE (vec_id + vec_id % 2) % 3 WHEN 0 THEN 'TSM' WHEN 1 THEN 'FIM' ELSE 'AMM' END AS manual_type FROM embeddings
+       UNION ALL SELECT -1 - chunk_id, chunk_id, manual_type FROM chunks) k
       JOIN chunks c USING (chunk_id, manual_type)""",
 )
 def chunk_lookup(spark, sf):
-    keys = table(spark, sf, "events").selectExpr(
-        "event_id",
-        "event_id % 700 AS chunk_id",
-        "CASE WHEN event_id % 2 = 0 THEN 'TSM' ELSE 'FIM' END AS manual_type",
+    """Every chunk is asked for, besides keys of unknown ids and of wrong types."""
+    chunks = vector_chunks(spark, sf).drop("embedding")
+    many = table(spark, sf, "embeddings").count()
+    wrong = table(spark, sf, "embeddings").selectExpr(
+        "vec_id AS key_id",
+        f"vec_id + vec_id % 2 * {many} AS chunk_id",
+        "CASE (vec_id + vec_id % 2) % 3 WHEN 0 THEN 'TSM' WHEN 1 THEN 'FIM' ELSE 'AMM' END AS manual_type",
     )
-    return ops.chunk_lookup(keys, vector_chunks(spark, sf).drop("embedding"))
+    right = chunks.selectExpr("-1 - chunk_id AS key_id", "chunk_id", "manual_type")
+    return ops.chunk_lookup(wrong.unionByName(right), chunks)
 
 
 @query(

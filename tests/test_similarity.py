@@ -100,7 +100,7 @@ def test_model_and_scores(spark, lines):
                 want[i, code] = pytest.approx(sum(w * v.get(t, 0) for t, w in q.items()))
     assert scores == want
     assert all(0 < s <= 1 + 1e-9 for s in scores.values())
-    salted = tfidf.cosine_scores(weights, vectors, "id", max_broadcast_rows=0, salts=5)
+    salted = tfidf.cosine_scores(weights, vectors, "id", shuffle=True)
     assert {(r.id, r.ata04): r.score for r in salted.collect()} == want
 
     # The counted way and the vocabulary-first way agree.

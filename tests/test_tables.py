@@ -53,7 +53,7 @@ def _by_id(df):
     return {r.wo_id: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("join", [{}, {"max_broadcast_rows": 0, "rows_per_salt": 1}])
+@pytest.mark.parametrize("join", [{}, {"shuffle": True}])
 def test_run(orders, model, refs, join):
     df = process_work_orders(orders, "wo_id", model, registry=refs, **join)
     assert df.columns == [*RESULT_COLUMNS, "wo_id"]
@@ -130,22 +130,24 @@ def test_lookup_join_with_hot_and_null_keys(spark):
     keys = ["hot"] * 700 + [None] * 500 + [f"k{rng.randint(0, 99)}" for _ in range(900)]
     left = spark.createDataFrame(list(enumerate(keys)), "id long, k string").repartition(6)
     right = spark.createDataFrame([("hot", 0)] + [(f"k{i}", i) for i in range(0, 100, 2)], "k string, v int")
-    want = sorted(lookup_join(left, right, ["k"], ["id"]).select("id", "k", "v").collect())
-    salted = lookup_join(left, right, ["k"], ["id"], rows_per_salt=50, max_broadcast_rows=0)
-    assert sorted(salted.select("id", "k", "v").collect(), key=lambda r: r.id) == sorted(want, key=lambda r: r.id)
-    assert len(want) == len(keys)
-    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
-    before = {name: spark.conf.get(name) for name in settings}
-    try:
-        for name, value in settings.items():
-            spark.conf.set(name, value)
-        spread = lookup_join(left, right, ["k"], ["id"], rows_per_salt=50, max_broadcast_rows=0)
-        parts = spread.select(F.spark_partition_id().alias("p"), "k").distinct().groupBy("k").count()
-        used = {r.k: r["count"] for r in parts.collect()}
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
-    assert used["hot"] > 4 and used[None] > 4 and used["k1"] == 1
+    known = {r.k: r.v for r in right.collect()}
+    for shuffle in (False, True):
+        joined = lookup_join(left, right, ["k"], shuffle=shuffle)
+        got = sorted(joined.select("id", "k", "v").collect())
+        assert [tuple(r) for r in got] == [(i, k, known.get(k)) for i, k in enumerate(keys)]
+
+
+def test_lookup_join_with_many_heavy_keys(spark):
+    """Over a thousand heavy keys; rows with a NULL key are never shuffled."""
+    left = spark.range(60_000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('k', id % 1500) END AS k"
+    )
+    right = spark.range(2_000).selectExpr("concat('k', id) AS k", "id AS v")
+    joined = lookup_join(left, right, ["k"], shuffle=True)
+    assert joined.where("k IS NOT NULL AND v <> id % 1500").isEmpty() and joined.count() == 60_000
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
 
 
 def test_registry(spark, refs):
