@@ -11,10 +11,13 @@ the sets themselves.
    corpus in packed form and documents below the bound are done.
 2. *Order.* The sets of what is left, one per class, are built again and all their
    shingles counted. Ordered by document frequency, rare ones first, linked documents
-   share one of their first ``n - ceil(3n/4) + 1`` shingles: their prefixes.
-3. *Groups.* Documents with the same smallest shingle hash are compared with a few
-   leaders and join the group of one that they truly link to, in several rounds with
-   other hashes for the leaders. Groups of thousands of near copies come down to few.
+   share one of their first ``n - ceil(3n/4) + 1`` shingles: their prefixes. A set with
+   ``s`` shingles that occur elsewhere overlaps nothing by more than s, so it links to no set
+   of more than ``7s/3 - n`` shingles: its reach.
+3. *Groups.* Documents with the same smallest shingle hash are compared with its few most
+   central ones (those with the most frequent shingles) and join the group of one that they
+   truly link to, in several rounds with other hashes for the heads of the groups. Groups of
+   thousands of near copies come down to few.
 4. *Matrix.* The token-group matrix holds a row for each shingle and group with that
    shingle in a member's prefix. Only groups that share a token of it meet, and only
    if their sizes are compatible.
@@ -40,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hangarflow.llm import key_counts as K
@@ -219,7 +222,10 @@ def _half_entries(held: list[tuple], sequence: int, bits: int) -> Iterator[pa.Re
 # 2. Order
 # ---------------------------------------------------------------------------
 def _ordered(chosen: DataFrame, bits: int) -> DataFrame:
-    """id, n, tokens (those another set has too) and prefix, of sets whose shared part can reach the bound."""
+    """id, n, tokens (those another set has too), prefix and weight, of sets whose shared part can reach the bound.
+
+    The weight is the mean logarithm of the document frequencies: high for the middle of a group of near copies.
+    """
 
     def packed(held: list[tuple[int, np.ndarray]], sequence: int) -> pa.RecordBatch:
         block = (TaskContext.get().partitionId() << 24) + sequence
@@ -266,7 +272,7 @@ def _ordered(chosen: DataFrame, bits: int) -> DataFrame:
             tokens = np.frombuffer(row["tokens"], np.uint64)
             keys, place = np.unique(tokens, return_inverse=True)
             frequency = K.replies_in_order(row["replies"], 0)[place]
-            ids, sizes, shared, firsts = [], [], [], []
+            ids, sizes, shared, firsts, weights = [], [], [], [], []
             ends = np.cumsum(row["sizes"])
             for doc_id, n, end in zip(row["ids"], row["sizes"], ends.tolist(), strict=True):
                 own, often = tokens[end - n : end], frequency[end - n : end]
@@ -278,13 +284,22 @@ def _ordered(chosen: DataFrame, bits: int) -> DataFrame:
                 sizes.append(n)
                 shared.append(own[common].view(np.int64))
                 firsts.append(own[first[often[first] > 1]].view(np.int64))
+                weights.append(float(np.log(often).mean()))
             many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shared, many), pa.array(firsts, many)],
-                ["id", "n", "tokens", "prefix"],
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(shared, many),
+                    pa.array(firsts, many),
+                    pa.array(weights, pa.float64()),
+                ],
+                ["id", "n", "tokens", "prefix", "weight"],
             )
 
-    return blocks.join(per_block, "block").mapInArrow(prefixes, "id long, n long, tokens array<long>, prefix array<long>")
+    return blocks.join(per_block, "block").mapInArrow(
+        prefixes, "id long, n long, tokens array<long>, prefix array<long>, weight double"
+    )
 
 
 # ---------------------------------------------------------------------------
@@ -292,33 +307,64 @@ def _ordered(chosen: DataFrame, bits: int) -> DataFrame:
 # ---------------------------------------------------------------------------
 def _linked(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
     """Whether two sorted sets link; the sizes count unshared shingles too."""
-    if WHOLE * min(n_a, n_b) < PART * max(n_a, n_b):
+    # The arrays hold the shared shingles only, so they bound the overlap.
+    if (PART + WHOLE) * min(len(a), len(b)) < PART * (n_a + n_b):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return WHOLE * both >= PART * (n_a + n_b - both)
 
 
+def _calls(spark) -> int:
+    """Python calls that small groups share: four for each shuffle partition."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _rows(table: pa.Table) -> Iterator[dict]:
+    for batch in table.to_batches(max_chunksize=256):
+        for row in batch.to_pylist():
+            yield row | {"tokens": np.sort(np.array(row["tokens"], np.int64))}
+
+
 def _lead(sets: DataFrame, seed: int) -> DataFrame:
-    """id and leader: a document with the same smallest hash that it links to, or itself."""
+    """id and leader: a central document with the same smallest hash that it links to, or itself."""
     key = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(seed))))
-    keyed = sets.select("id", "n", "tokens", key.alias("key"))
-    parts = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SUBGROUP).alias("parts"))
-    split = keyed.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-
-    def follow(group: pa.Table) -> pa.Table:
-        ids, sizes = group.column("id").to_pylist(), group.column("n").to_pylist()
-        tokens = [np.sort(np.asarray(t, np.int64)) for t in group.column("tokens").to_numpy()]
-        leaders: list[int] = []
+    keyed = stored(sets.select("id", "n", "tokens", "weight", key.alias("key")), "jaccard-keyed")
+    parts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / SUBGROUP))
+    narrow = keyed.select("id", "weight", "key").join(parts, "key").withColumn("part", part)
+    # The most central documents of each part first, then those of the key: never a whole key at once.
+    for within in (["key", "part"], ["key"]):
+        central = Window.partitionBy(*within).orderBy(F.desc("weight"), "id")
+        narrow = narrow.withColumn("place", F.row_number().over(central)).where(F.col("place") <= LEADERS)
+    leaders = narrow.select("id", "key", "place", "many").join(keyed.select("id", "n", "tokens"), "id")
+
+    call = F.pmod(F.xxhash64("key", "part"), F.lit(_calls(sets.sparkSession))).alias("call")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("many") / SUBGROUP) - 1)).alias("part")
+    asked = keyed.join(parts, "key").select("id", "n", "tokens", "key", part.alias("part")).select("*", call)
+    asked = asked.repartition("call")
+    heads = leaders.select("id", "n", "tokens", "key", "place", every).select("*", call)
+    heads = heads.toDF(*heads.columns)  # columns of its own, though both sides come from one table
+
+    def follow(left: pa.Table, right: pa.Table) -> pa.Table:
+        known: dict[tuple[int, int], list[dict]] = {}
+        for row in sorted(_rows(right), key=lambda row: row["place"]):
+            known.setdefault((row["key"], row["part"]), []).append(row)
+        for heads_ in known.values():
+            for at, row in enumerate(heads_):
+                before = (h for h in heads_[:at] if _linked(row["tokens"], row["n"], h["tokens"], h["n"]))
+                row["root"] = next((h["root"] for h in before), row["id"])
         chosen: dict[int, int] = {}
-        for at in sorted(range(len(ids)), key=lambda at: ids[at]):
-            found = next((k for k in leaders if _linked(tokens[at], sizes[at], tokens[k], sizes[k])), at)
-            if found == at and len(leaders) < LEADERS:
-                leaders.append(at)
-            chosen.setdefault(ids[at], ids[found])
+        for row in _rows(left):
+            own = known.get((row["key"], row["part"]), [])
+            near = [h for h in own if h["id"] == row["id"]] or (
+                h for h in own if _linked(row["tokens"], row["n"], h["tokens"], h["n"])
+            )
+            chosen[row["id"]] = next((h["root"] for h in near), row["id"])
         return pa.table({"id": pa.array(list(chosen), pa.int64()), "leader": pa.array(list(chosen.values()), pa.int64())})
 
-    alone = split.groupBy("key", "part")
-    return alone.applyInArrow(follow, "id long, leader long")
+    found = asked.groupBy("call").cogroup(heads.groupBy("call")).applyInArrow(follow, "id long, leader long")
+    everyone = keyed.select("id").distinct()
+    return everyone.join(found, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def _groups(sets: DataFrame) -> DataFrame:
@@ -337,25 +383,42 @@ def _groups(sets: DataFrame) -> DataFrame:
 def _open(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """Links between groups: ``a`` and ``b``."""
     spark = sets.sparkSession
-    grouped = stored(sets.join(groups, "id"), "jaccard-grouped")
+    reach = (PART + WHOLE) * F.size("tokens") - PART * F.col("n")  # PART times the largest partner
+    grouped = stored(sets.join(groups, "id").withColumn("reach", reach), "jaccard-grouped")
     about = grouped.groupBy("group").agg(
-        F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most")
+        F.count(F.lit(1)).alias("members"),
+        F.min("n").alias("least"),
+        F.max("n").alias("most"),
+        F.max("reach").alias("reach"),
     )
     matrix = grouped.select("group", F.explode("prefix").alias("token")).distinct()
     several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
     rows = stored(matrix.join(several, "token").join(about, "group"), "jaccard-matrix")
-    compatible = (F.col("x.most") * WHOLE >= F.col("y.least") * PART) & (F.col("y.most") * WHOLE >= F.col("x.least") * PART)
+    compatible = (
+        (F.col("x.most") * WHOLE >= F.col("y.least") * PART)
+        & (F.col("y.most") * WHOLE >= F.col("x.least") * PART)
+        & (F.col("x.reach") >= F.col("y.least") * PART)
+        & (F.col("y.reach") >= F.col("x.least") * PART)
+    )
     larger = (F.col("y.members") > F.col("x.members")) | (
         (F.col("y.members") == F.col("x.members")) & (F.col("y.group") > F.col("x.group"))
     )
     meeting = (
         rows.alias("x")
         .join(rows.alias("y"), (F.col("x.token") == F.col("y.token")) & larger & compatible)
-        .select(F.col("x.group").alias("asking"), F.col("y.group").alias("opened"), F.col("y.members").alias("members"))
+        .select(
+            F.col("x.group").alias("asking"),
+            F.col("y.group").alias("opened"),
+            F.col("y.members").alias("members"),
+            F.col("y.least").alias("least"),
+            F.col("y.most").alias("most"),
+        )
         .distinct()
     )
+    asking = grouped.select("id", "n", "reach", F.col("group").alias("asking"))
+    fits = (F.col("reach") >= F.col("least") * PART) & (F.col("most") * WHOLE >= F.col("n") * PART)
     queries = stored(
-        meeting.join(grouped.select("id", "n", F.col("group").alias("asking")), "asking"), "jaccard-queries"
+        meeting.join(asking, "asking").where(fits).select("id", "n", "asking", "opened", "members"), "jaccard-queries"
     )
 
     # The union of a group's shingles bounds the overlap with each member.
@@ -385,23 +448,18 @@ def _open(sets: DataFrame, groups: DataFrame) -> DataFrame:
         grouped.join(qualifying.select(F.col("opened").alias("group"), "members").distinct(), "group")
         .select("id", "n", "tokens", F.col("group").alias("opened"), F.pmod(F.xxhash64("id"), chunks).alias("chunk"))
     )
-    # Chunks share Python calls; there are as many calls as shuffle partitions ask for, four each.
-    calls = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    call = F.pmod(F.xxhash64("opened", "chunk"), F.lit(calls))
+    call = F.pmod(F.xxhash64("opened", "chunk"), F.lit(_calls(spark)))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         members: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-        for row in right.to_pylist():
-            members.setdefault((row["opened"], row["chunk"]), []).append((row["n"], np.sort(np.array(row["tokens"], np.int64))))
+        for row in _rows(right):
+            members.setdefault((row["opened"], row["chunk"]), []).append((row["n"], row["tokens"]))
         links: set[tuple[int, int]] = set()
-        for batch in left.to_batches(max_chunksize=256):
-            for row in batch.to_pylist():
-                link = (row["asking"], row["opened"])
-                if link in links:
-                    continue
-                own = np.sort(np.array(row["tokens"], np.int64))
-                if any(_linked(own, row["n"], other, n) for n, other in members.get((row["opened"], row["chunk"]), ())):
-                    links.add(link)
+        for row in _rows(left):
+            link, own, n = (row["asking"], row["opened"]), row["tokens"], row["n"]
+            held = members.get((row["opened"], row["chunk"]), ())
+            if link not in links and any(_linked(own, n, other, m) for m, other in held):
+                links.add(link)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return asks.groupBy(call.alias("call")).cogroup(holds.groupBy(call.alias("call"))).applyInArrow(compare, "a long, b long")
