@@ -41,7 +41,7 @@ from hangarflow.llm import key_counts as K
 from hangarflow.llm.texts import lower_ascii, text_or_empty, words
 from hangarflow.session import stored
 
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 WORDS, PAIRS = 0, 1
 WIDTHS = {WORDS: 56, PAIRS: 40}
 GRID = 4
@@ -49,7 +49,7 @@ NOTHING = -10_000  # stands for the log ratio of an estimate of 0
 EM_STEPS = 100
 BLOCK_SCHEMA = (
     "block long, n_tokens long, n_train long, doc_ids array<long>, lengths array<int>, train array<boolean>, "
-    "vocabulary binary, places binary"
+    "n_words long, vocabulary binary, places binary"
 )
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _FINISH = np.uint64(0xD6E8FEB86659FD93)
@@ -60,27 +60,37 @@ def hashed_words(text: Column) -> Column:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Documents packed into blocks: sorted distinct tokens, and the place of every token among them."""
+    """Documents packed into blocks: distinct tokens, and the place of every token among them.
+
+    Frequent tokens come first and equally frequent ones in order of their hashes, so
+    places are small numbers and neighbouring hashes have small differences.
+    """
 
     def packed(held: list[np.ndarray], doc_ids: list, train: list, sequence: int) -> pa.RecordBatch:
         end = np.zeros(1, np.uint64)
         tokens = np.concatenate([part for words_ in held for part in (words_, end)])
-        vocabulary, places = np.unique(tokens, return_inverse=True)
+        vocabulary, places, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        del tokens
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        places = rank[places]
+        differences = np.diff(vocabulary[order], prepend=np.uint64(0))
         lengths = [len(one) + 1 for one in held]
         n_train = sum(n for n, learns in zip(lengths, train, strict=True) if learns)
         block = (TaskContext.get().partitionId() << 24) + sequence
-        compressed = pa.compress(K.planes(places, 4), codec="zstd", asbytes=True)
+        compressed = [pa.compress(K.planes(v, w), codec="zstd", asbytes=True) for v, w in ((differences, 8), (places, 4))]
         columns = [
             pa.array([block], pa.int64()),
-            pa.array([len(tokens)], pa.int64()),
+            pa.array([len(places)], pa.int64()),
             pa.array([n_train], pa.int64()),
             pa.array([doc_ids], pa.list_(pa.int64())),
             pa.array([lengths], pa.list_(pa.int32())),
             pa.array([train], pa.list_(pa.bool_())),
-            pa.array([vocabulary.astype("<u8").tobytes()], pa.binary()),
-            pa.array([compressed], pa.binary()),
+            pa.array([len(vocabulary)], pa.int64()),
+            *(pa.array([one], pa.binary()) for one in compressed),
         ]
-        names = "block n_tokens n_train doc_ids lengths train vocabulary places".split()
+        names = "block n_tokens n_train doc_ids lengths train n_words vocabulary places".split()
         return pa.RecordBatch.from_arrays(columns, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,21 +118,32 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary, place of each token and of its predecessor, and which tokens train."""
-    n = row["n_tokens"]
-    places = K.from_planes(pa.decompress(row["places"], 4 * n, codec="zstd", asbytes=True), 4).astype(np.int64)
-    vocabulary = np.frombuffer(row["vocabulary"], "<u8")
+    """Sorted vocabulary, place of each token and of its predecessor, and which tokens train."""
+
+    def planes(name: str, count: int, width: int) -> np.ndarray:
+        return K.from_planes(pa.decompress(row[name], width * count, codec="zstd", asbytes=True), width)
+
+    stored_order = np.cumsum(planes("vocabulary", row["n_words"], 8), dtype=np.uint64)
+    order = np.argsort(stored_order)
+    sorted_place = np.empty(len(order), np.int32)
+    sorted_place[order] = np.arange(len(order), dtype=np.int32)
+    vocabulary = stored_order[order]
+    places = sorted_place[planes("places", row["n_tokens"], 4).astype(np.int32)]
     # Every document ends with the end token, so the token before a first word is an end already;
     # only the first document of the block needs one in front.
-    before = np.r_[np.searchsorted(vocabulary, np.uint64(0)), places[:-1]]
+    before = np.empty_like(places)
+    before[0], before[1:] = np.searchsorted(vocabulary, np.uint64(0)), places[:-1]
     return vocabulary, places, before, np.repeat(np.array(row["train"], bool), row["lengths"])
 
 
 def _pairs(vocabulary: np.ndarray, places: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of the block's word pairs, and the place of each token's pair among them."""
-    key = (vocabulary[before] + _PAIR) * _FINISH
-    key = (key ^ (key >> np.uint64(32))) + vocabulary[places]
-    key = (key ^ (key >> np.uint64(29))) * _FINISH
+    front = (vocabulary + _PAIR) * _FINISH
+    front ^= front >> np.uint64(32)
+    key = front[before]
+    key += vocabulary[places]
+    key ^= key >> np.uint64(29)
+    key *= _FINISH
     key ^= key >> np.uint64(32)
     return np.unique(key, return_inverse=True)
 
@@ -201,7 +222,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     summaries = counted.where("block < 0").select(F.explode("replies").alias("r"))
     words_only = summaries.where(F.col("r.bucket") < K.KIND)
     distinct = sum(
-        int.from_bytes(row["counts"], "little") for row in words_only.select("r.counts").toLocalIterator()
+        int(K.unpack(row["counts"])[0]) for row in words_only.select("r.counts").toLocalIterator()
     )
     uniform = 1 / (distinct + 1)
     filled = counted.where("block >= 0")

@@ -46,6 +46,17 @@ def from_planes(packed: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Values in as many byte planes as the largest needs, the number of planes first."""
+    values = np.asarray(values)
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + planes(values, width)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return from_planes(packed[1:], packed[0])
+
+
 def entries(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int, width: int) -> pa.RecordBatch:
     """Entry rows of one block; ``keys`` are sorted and distinct."""
     many = 1 << bits
@@ -58,7 +69,7 @@ def entries(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: i
     for b in used:
         part = slice(cuts[b], cuts[b + 1])
         packed_keys.append(planes(np.diff(inside[part], prepend=np.uint64(0)), width // 8))
-        packed_counts.append(planes(counts[part], 4))
+        packed_counts.append(pack(counts[part]))
         sizes.append(cuts[b + 1] - cuts[b])
     return pa.RecordBatch.from_arrays(
         [
@@ -79,11 +90,11 @@ def merged(rows: DataFrame, widths: dict[int, int]) -> DataFrame:
         bucket = group.column("bucket")[0].as_py()
         width = widths[bucket // KIND] // 8
         keys = [np.cumsum(from_planes(k, width), dtype=np.uint64) for k in group.column("keys").to_pylist()]
-        counts = [from_planes(c, 4) for c in group.column("counts").to_pylist()]
+        counts = [unpack(c) for c in group.column("counts").to_pylist()]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=np.concatenate(counts).astype(np.float64)).astype(np.uint64)
         ends = np.cumsum([len(k) for k in keys])[:-1]
-        replies = [planes(total[part], 6) for part in np.split(place, ends)]
+        replies = [pack(total[part]) for part in np.split(place, ends)]
         seen = np.array([np.count_nonzero(total)], np.uint64)
         blocks = [*group.column("block").to_pylist(), -1 - bucket % SUMMARY_BLOCKS]
         return pa.table(
@@ -91,7 +102,7 @@ def merged(rows: DataFrame, widths: dict[int, int]) -> DataFrame:
                 "bucket": pa.array([bucket] * len(blocks), pa.int64()),
                 "block": pa.array(blocks, pa.int64()),
                 "n": pa.array([*(len(k) for k in keys), 1], pa.int64()),
-                "counts": pa.array([*replies, planes(seen, 6)], pa.binary()),
+                "counts": pa.array([*replies, pack(seen)], pa.binary()),
             }
         )
 
@@ -101,7 +112,7 @@ def merged(rows: DataFrame, widths: dict[int, int]) -> DataFrame:
 def replies_in_order(replies: list[dict], kind: int) -> np.ndarray:
     """Global counts of a block's keys of one kind, in the order of its sorted keys."""
     own = sorted((r["bucket"], r["counts"]) for r in replies if r["bucket"] // KIND == kind)
-    return np.concatenate([from_planes(c, 6) for _, c in own]).astype(np.int64) if own else np.zeros(0, np.int64)
+    return np.concatenate([unpack(c) for _, c in own]).astype(np.int64) if own else np.zeros(0, np.int64)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
