@@ -14,8 +14,10 @@ original vectors in double precision.
 
 Equal vectors are one class that carries its k + 1 smallest identifiers: more of them
 can never be asked for. So a vector that a third of all rows share is scanned once,
-and a query repeated many times is searched once. Large lists are cut into blocks, and
-the queries of a list that many queries probe are cut into parts.
+and a query repeated many times is searched once. Neighbouring lists share a shard of
+about SHARD_ROWS vectors, where a query visits its lists nearest first and carries its
+threshold from one to the next. Shards with larger lists are cut into blocks, and the
+queries of a shard into parts.
 
 Defined cases: vectors that are null, all zero, of another length than most, or hold
 a null or non-finite component take no part, as query or as candidate. Repeated rows
@@ -42,8 +44,9 @@ CENTRE_STEPS = 8
 LEAST_PROBES = 12
 TARGET_RECALL = 0.96
 CALIBRATION_ROWS = 512
-BLOCK_ROWS = 2_048
-PART_QUERIES = 1_024
+SHARD_ROWS = 8_192
+BLOCK_ROWS = 16_384
+PART_QUERIES = 512
 COLUMNS = 16
 SIGNIFICANCE = 2.1
 
@@ -109,15 +112,23 @@ def column_blocks(vectors: np.ndarray) -> list[np.ndarray]:
 
 
 def scan(
-    query: np.ndarray, candidates: list[np.ndarray], first: np.ndarray, threshold: float, keep: int
-) -> np.ndarray:
+    query: np.ndarray,
+    candidates: list[np.ndarray],
+    first: np.ndarray,
+    threshold: float,
+    keep: int,
+    distances: np.ndarray = np.zeros(0),  # noqa: B008
+) -> tuple[np.ndarray, np.ndarray]:
     """Places of the candidates that survive every block of columns, for one rotated query.
 
     ``first`` holds the squared distances over the first block and ``threshold`` is a squared
-    distance. Candidates come in slices of growing size; each can lower the threshold for the next.
+    distance. ``distances`` are the smallest found so far, up to ``keep`` of them, and come back
+    updated. Candidates come in slices of growing size; each can lower the threshold for the next.
     """
     dimensions = len(query)
-    found, distances = [], np.zeros(0)
+    found = []
+    if len(distances) == keep:
+        threshold = min(threshold, distances[-1])
     begin, width = 0, 4 * keep
     while begin < len(first):
         alive = np.arange(begin, min(begin + width, len(first)))
@@ -138,7 +149,7 @@ def scan(
             if len(distances) == keep:
                 threshold = min(threshold, distances[-1])
         begin, width = begin + width, 2 * width
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+    return np.concatenate(found) if found else np.zeros(0, np.int64), distances
 
 
 def needed_probes(sample: np.ndarray, centres: np.ndarray, most: float, k: int, target: float) -> int:
@@ -187,6 +198,7 @@ def search(
     centres = _centres(_lifted(sample, most), lists)
     probes = min(lists, max(LEAST_PROBES, needed_probes(sample, centres, most, k, target_recall)))
     threshold_ids = [list(row["ids"]) for row in drawn[:THRESHOLD_ROWS]]
+    shards = int(min(lists, max(1, rows // SHARD_ROWS)))
     shared = spark.sparkContext.broadcast((centres, sample[:THRESHOLD_ROWS], threshold_ids, _rotation(dimensions + 1)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +206,12 @@ def search(
         for batch in batches:
             for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
                 nearest = _squared(_lifted(_matrix(part.column("vector")), most), around).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nearest, pa.int32())], [*part.schema.names, "list"])
+                shard = nearest * shards // lists
+                columns = [*part.columns, pa.array(nearest, pa.int32()), pa.array(shard, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "list", "shard"])
 
     listed = stored(
-        classes.mapInArrow(assign, "class long, ids array<long>, vector array<double>, list int"), "scan-lists"
+        classes.mapInArrow(assign, "class long, ids array<long>, vector array<double>, list int, shard int"), "scan-lists"
     )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,20 +220,29 @@ def search(
             for part in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
                 own = _matrix(part.column("vector"))
                 lifted = np.c_[own, np.zeros(len(own))]
-                near = np.argpartition(_squared(lifted, around), probes - 1, axis=1)[:, :probes]
+                near = np.argsort(_squared(lifted, around), axis=1)[:, :probes]
                 if len(known) > k:
                     bound = np.partition(_squared(lifted, _lifted(known, most)), k, axis=1)[:, k]
                 else:
                     bound = np.full(len(own), np.inf)
-                times = pa.array(np.repeat(np.arange(len(own)), probes))
+                # One row for each shard with a probed list, its lists in order of their nearness.
+                row, shard, probed = [], [], []
+                for at, mine in enumerate(near):
+                    homes = mine * shards // lists
+                    for home in np.unique(homes):
+                        row.append(at)
+                        shard.append(home)
+                        probed.append(mine[homes == home])
+                times = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("class").take(times),
                         part.column("vector").take(times),
-                        pa.array(np.repeat(bound, probes)),
-                        pa.array(near.ravel(), pa.int32()),
+                        pa.array(bound[row]),
+                        pa.array(probed, pa.list_(pa.int32())),
+                        pa.array(shard, pa.int32()),
                     ],
-                    ["class", "vector", "bound", "list"],
+                    ["class", "vector", "bound", "lists", "shard"],
                 )
 
     # Equal query vectors are searched once.
@@ -230,32 +253,45 @@ def search(
         "scan-queries",
     )
     distinct = classes.join(asking.select("class").distinct(), "class", "left_semi").select("class", "vector")
-    probing = stored(distinct.mapInArrow(probe, "class long, vector array<double>, bound double, list int"), "scan-probes")
+    probes_schema = "class long, vector array<double>, bound double, lists array<int>, shard int"
+    probing = stored(distinct.mapInArrow(probe, probes_schema), "scan-probes")
 
-    # One row per list, at most MOST_LISTS.
+    # One row per shard, at most MOST_LISTS.
     cuts = (
-        listed.groupBy("list")
+        listed.groupBy("shard")
         .agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
-        .join(probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_QUERIES).alias("parts")), "list")
+        .join(probing.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART_QUERIES).alias("parts")), "shard")
     )
     cuts = F.broadcast(cuts)
     own_block, own_part = F.pmod(F.xxhash64("class"), F.col("blocks")), F.pmod(F.xxhash64("class"), F.col("parts"))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    held = listed.join(cuts, "list").select("class", "ids", "vector", "list", own_block.alias("block"), every("parts").alias("part"))
-    asked = probing.join(cuts, "list").select("class", "vector", "bound", "list", every("blocks").alias("block"), own_part.alias("part"))
+    held = listed.join(cuts, "shard").select("ids", "vector", "list", "shard", own_block.alias("block"), every("parts").alias("part"))
+    asked = probing.join(cuts, "shard").select(
+        "class", "vector", "bound", "lists", "shard", every("blocks").alias("block"), own_part.alias("part")
+    )
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         rotation = shared.value[3]
+        right = right.sort_by("list")
         names, own = left.column("class").to_pylist(), _matrix(left.column("vector").combine_chunks())
         others, ids = _matrix(right.column("vector").combine_chunks()), right.column("ids").to_pylist()
         out: dict[str, list] = {"query": [], "ids": [], "score": []}
         if len(own) and len(others):
+            cuts = np.searchsorted(right.column("list").to_numpy(), np.arange(lists + 1))
             turned = _lifted(others, most) @ rotation
             queries = np.c_[own, np.zeros(len(own))] @ rotation
             blocks = column_blocks(turned)
             first = _squared(queries[:, :COLUMNS], blocks[0])
-            for at, bound in enumerate(left.column("bound").to_pylist()):
-                near = scan(queries[at], blocks, first[at], bound, k + 1)
+            asked_of = zip(left.column("bound").to_pylist(), left.column("lists").to_pylist(), strict=True)
+            for at, (bound, probed) in enumerate(asked_of):
+                survivors, distances = [], np.zeros(0)
+                for one in probed:
+                    part = slice(cuts[one], cuts[one + 1])
+                    if part.start < part.stop:
+                        held_ = [block[part] for block in blocks]
+                        near, distances = scan(queries[at], held_, first[at, part], bound, k + 1, distances)
+                        survivors.append(near + part.start)
+                near = np.concatenate(survivors) if survivors else np.zeros(0, np.int64)
                 scores = np.einsum("ij,j->i", others[near], own[at])
                 # Whole classes only: a score shared with the last place stays in.
                 last = np.partition(-scores, k)[k] if len(scores) > k + 1 else np.inf
@@ -273,8 +309,8 @@ def search(
         )
 
     hits = (
-        asked.groupBy("list", "block", "part")
-        .cogroup(held.groupBy("list", "block", "part"))
+        asked.groupBy("shard", "block", "part")
+        .cogroup(held.groupBy("shard", "block", "part"))
         .applyInArrow(compare, "query long, ids array<long>, score double")
     )
     # The rows of the sample that set the first threshold are candidates themselves.
