@@ -41,7 +41,9 @@ from hangarflow.llm import key_counts as K
 from hangarflow.llm.texts import lower_ascii, text_or_empty, words
 from hangarflow.session import stored
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 3 << 19
+# Tokens whose estimates are worked out at a time.
+SLICE_TOKENS = 1 << 18
 WORDS, PAIRS = 0, 1
 WIDTHS = {WORDS: 56, PAIRS: 40}
 GRID = 4
@@ -148,6 +150,10 @@ def _pairs(vocabulary: np.ndarray, places: np.ndarray, before: np.ndarray) -> tu
     return np.unique(key, return_inverse=True)
 
 
+def _slices(count: int) -> Iterator[slice]:
+    return (slice(at, at + SLICE_TOKENS) for at in range(0, count, SLICE_TOKENS))
+
+
 def _counted(blocks: DataFrame, bits: int) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in K.rows_of(batches):
@@ -234,16 +240,18 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
                 continue
             _, pair = _pairs(vocabulary, places, before)
             word = K.replies_in_order(row["replies"], WORDS)
-            pair_count = K.replies_in_order(row["replies"], PAIRS)[pair[learns]]
-            context, own = word[before[learns]], word[places[learns]]
-            p2, p1 = deleted_estimates(pair_count, context, own, total)
-            cells = np.c_[_buckets(context - 1), _log_ratio(p2, uniform), _log_ratio(p1, uniform)]
-            code = (cells[:, 0] * 65_536 + cells[:, 1] + 32_768) * 65_536 + cells[:, 2] + 32_768
-            _, first, times = np.unique(code, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(cells[first, k], pa.int32()) for k in range(3)), pa.array(times, pa.int64())],
-                ["b", "r2", "r1", "tokens"],
-            )
+            pair_counts = K.replies_in_order(row["replies"], PAIRS)
+            for part in _slices(len(places)):
+                train = learns[part]
+                context, own = word[before[part][train]], word[places[part][train]]
+                p2, p1 = deleted_estimates(pair_counts[pair[part][train]], context, own, total)
+                cells = np.c_[_buckets(context - 1), _log_ratio(p2, uniform), _log_ratio(p1, uniform)]
+                code = (cells[:, 0] * 65_536 + cells[:, 1] + 32_768) * 65_536 + cells[:, 2] + 32_768
+                _, first, times = np.unique(code, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(cells[first, k], pa.int32()) for k in range(3)), pa.array(times, pa.int64())],
+                    ["b", "r2", "r1", "tokens"],
+                )
 
     grid = filled.mapInArrow(histogram, "b int, r2 int, r1 int, tokens long")
     # Bounded by the grid: frequency buckets times log ratios, never by the number of documents.
@@ -261,21 +269,26 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
             vocabulary, places, before, _ = _unpacked(row)
             _, pair = _pairs(vocabulary, places, before)
             word = K.replies_in_order(row["replies"], WORDS)
-            pair_count = K.replies_in_order(row["replies"], PAIRS)[pair]
-            context, own = word[before], word[places]
-            a = table[_buckets(context)]
-            chance = a[:, 0] * pair_count / np.maximum(context, 1) + a[:, 1] * own / max(total, 1) + a[:, 2] * uniform
-            base = np.log10((own + 0.5) / (total + 0.5 * (distinct + 1)))
+            pair_counts = K.replies_in_order(row["replies"], PAIRS)
+            known = word[places] > 0
+            base, model = np.empty(len(places)), np.empty(len(places))
+            for part in _slices(len(places)):
+                context, own = word[before[part]], word[places[part]]
+                a = table[_buckets(context)]
+                chance = a[:, 0] * pair_counts[pair[part]] / np.maximum(context, 1)
+                chance += a[:, 1] * own / max(total, 1) + a[:, 2] * uniform
+                model[part] = np.log10(chance)
+                base[part] = np.log10((own + 0.5) / (total + 0.5 * (distinct + 1)))
             starts = np.r_[0, np.cumsum(row["lengths"])[:-1]]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row["doc_ids"], pa.int64()),
                     pa.array(row["train"], pa.bool_()),
                     pa.array(row["lengths"], pa.int64()),
-                    pa.array(np.add.reduceat((own > 0).astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(known.astype(np.int64), starts)),
                     pa.array(np.full(len(starts), total), pa.int64()),
                     pa.array(np.add.reduceat(base, starts)),
-                    pa.array(np.add.reduceat(np.log10(chance), starts)),
+                    pa.array(np.add.reduceat(model, starts)),
                 ],
                 ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
