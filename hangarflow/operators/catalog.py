@@ -11,6 +11,7 @@ from hangarflow.operators.documents import (
     dmc_children_ata,
     lowered,
     raw_text,
+    strings_of,
 )
 
 # --- fixed values: tags, limits, patterns and symptom words -------------------
@@ -78,7 +79,7 @@ def _keywords() -> Column:
 
 def _warnings() -> Column:
     tagged = F.filter(_raw_of(WARNING_TAGS), lambda t: _longer_than(t, 0, 200))
-    whole = F.array_join(F.element_at("elements", 1)["strings"], "")
+    whole = F.array_join(strings_of(F.element_at("elements", 1)), "")
     alerts = F.filter(
         F.regexp_extract_all(whole, F.lit(CREW_ALERT), F.lit(0)),
         lambda m: _longer_than(m, 5, 50),
@@ -107,7 +108,7 @@ def catalog_items(parsed: DataFrame) -> DataFrame:
     used = lowered([*NAME_TAGS, *KEYWORD_TAGS, *WARNING_TAGS])
     texts = F.transform(
         F.filter("elements", lambda e: e["name"].isin(used)),
-        lambda e: F.struct(e["name"].alias("name"), raw_text(e["strings"]).alias("raw")),
+        lambda e: F.struct(e["name"].alias("name"), raw_text(strings_of(e)).alias("raw")),
     )
 
     def items(kind: str, values: Column) -> Column:

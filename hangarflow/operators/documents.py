@@ -46,6 +46,11 @@ def lowered(tags: list[str]) -> list[str]:
     return [tag.lower() for tag in tags]
 
 
+def strings_of(element: Column) -> Column:
+    """Text nodes of an element: a run of its document's ``nodes``."""
+    return F.slice(F.col("nodes"), element["first"], element["count"])
+
+
 def spaced_text(strings: Column) -> Column:
     """Text nodes stripped and joined by one space."""
     stripped = F.transform(strings, strip)
@@ -63,7 +68,9 @@ def raw_text(strings: Column) -> Column:
 
 
 def parse_documents(docs: DataFrame, markup_col: str = "markup") -> DataFrame:
-    """Replace the markup column by ``elements``; unreadable documents drop out.
+    """Replace the markup column by ``format``, ``nodes`` and ``elements``; NULL markup drops out.
+
+    Text is stored once per document, in ``nodes``; elements point into it.
 
     The only Python stage of document reading. It is narrow: every other column
     passes through in the same Arrow batch and nothing shuffles.
@@ -71,7 +78,8 @@ def parse_documents(docs: DataFrame, markup_col: str = "markup") -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name != markup_col]
     names = [f.name for f in kept]
     schema = T.StructType(
-        [*kept, T.StructField("format", T.StringType()), T.StructField("elements", T.ArrayType(ELEMENT))]
+        [*kept, T.StructField("format", T.StringType()),
+         T.StructField("nodes", T.ArrayType(T.StringType())), T.StructField("elements", T.ArrayType(ELEMENT))]
     )
     read = _markup.read_elements
     arrow_elements = to_arrow_type(T.ArrayType(ELEMENT))
@@ -81,11 +89,12 @@ def parse_documents(docs: DataFrame, markup_col: str = "markup") -> DataFrame:
     def emit(batch, elements):
         formats = [
             "S1000D" if any(e["name"] == "dmodule" for e in doc) else "iSpec2200"
-            for doc in elements
+            for _, doc in elements
         ]
         columns = [batch.column(name) for name in names]
-        columns += [pa.array(formats, pa.string()), pa.array(elements, arrow_elements)]
-        return pa.RecordBatch.from_arrays(columns, names=[*names, "format", "elements"])
+        columns += [pa.array(formats, pa.string()), pa.array([nodes for nodes, _ in elements], pa.list_(pa.string()))]
+        columns.append(pa.array([doc for _, doc in elements], arrow_elements))
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "format", "nodes", "elements"])
 
     def batches(stream):
         for batch in stream:
@@ -133,19 +142,19 @@ def doc_title(fmt: Column, elements: Column) -> Column:
     def s1000d(pack: Column) -> Column:
         title, inner = pack["title"], _inside(pack["elements"], pack["title"])
         node = F.coalesce(_first(inner, "techName"), _first(inner, "infoName"), title)
-        return F.coalesce(dense_text(node["strings"]), F.lit(""))
+        return F.coalesce(dense_text(strings_of(node)), F.lit(""))
 
     pack = F.array(
         F.struct(_first(elements, "dmTitle", "title").alias("title"), elements.alias("elements"))
     )
-    plain = F.coalesce(dense_text(_first(elements, "title")["strings"]), F.lit(""))
+    plain = F.coalesce(dense_text(strings_of(_first(elements, "title"))), F.lit(""))
     return F.when(fmt == "S1000D", F.element_at(F.transform(pack, s1000d), 1)).otherwise(plain)
 
 
 def _code_value(pack: Column, name: str) -> Column:
     """A code of the data-module code: child element, else attribute."""
     child = _first(pack["inner"], name)
-    return F.when(child.isNotNull(), dense_text(child["strings"])).otherwise(
+    return F.when(child.isNotNull(), dense_text(strings_of(child))).otherwise(
         pack["dmc"]["attrs"][name.lower()]
     )
 
@@ -155,7 +164,7 @@ def ata_from_dmc(pack: Column) -> Column:
     wanted = ("systemCode", "subSystemCode")
     children = [_first(pack["inner"], n) for n in wanted]
     attrs = [pack["dmc"]["attrs"][n.lower()] for n in wanted]
-    as_children = F.concat_ws("-", *[zero_fill(dense_text(c["strings"]), 2) for c in children])
+    as_children = F.concat_ws("-", *[zero_fill(dense_text(strings_of(c)), 2) for c in children])
     as_attrs = F.concat_ws("-", *[zero_fill(a, 2) for a in attrs])
     return F.when(children[0].isNotNull() & children[1].isNotNull(), as_children).when(
         attrs[0].isNotNull() & attrs[1].isNotNull(), as_attrs
@@ -188,7 +197,7 @@ def dmc_children_ata(elements: Column) -> Column:
         subsystem = _first(pack["inner"], "subSystemCode")
         return F.when(
             system.isNotNull() & subsystem.isNotNull(),
-            F.concat(raw_text(system["strings"]), F.lit("-"), raw_text(subsystem["strings"])),
+            F.concat(raw_text(strings_of(system)), F.lit("-"), raw_text(strings_of(subsystem))),
         )
 
     return F.element_at(F.transform(_with_dmc(elements, "dmc"), join), 1)
@@ -202,7 +211,7 @@ def identify(parsed: DataFrame) -> DataFrame:
         return F.struct(ata_from_dmc(pack).alias("ata04"), task_from_dmc(pack).alias("task"))
 
     dmc = F.element_at(F.transform(_with_dmc(elements, "dmCode", "dmc"), codes), 1)
-    task = dense_text(_first(elements, "task", "taskNumber")["strings"])
+    task = dense_text(strings_of(_first(elements, "task", "taskNumber")))
     return (
         parsed.withColumn("_dmc", F.when(is_dm, dmc))
         .withColumn(
@@ -250,7 +259,7 @@ def doc_chunks(parsed: DataFrame, keep: list[str]) -> DataFrame:
         return F.struct(
             chunk_type.alias("chunk_type"),
             tag["title"].alias("chunk_title"),
-            spaced_text(tag["strings"]).alias("text"),
+            spaced_text(strings_of(tag)).alias("text"),
         )
 
     # Texts are built inside the array, so the length filter works on finished
@@ -270,7 +279,7 @@ def _tags(parsed: DataFrame, keep: list[str], tags: list[str]) -> DataFrame:
 def doc_warnings(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """Warning and caution texts of moderate length."""
     wanted = F.filter("elements", lambda e: e["name"].isin(lowered(WARNING_TAGS)))
-    texts = F.transform(wanted, lambda e: dense_text(e["strings"]))
+    texts = F.transform(wanted, lambda e: dense_text(strings_of(e)))
     return parsed.select(*keep, F.posexplode(texts).alias("tag_pos", "warning")).where(
         (F.length("warning") > WARNING_MIN) & (F.length("warning") < WARNING_MAX)
     )
@@ -294,7 +303,7 @@ def doc_figures(parsed: DataFrame, keep: list[str]) -> DataFrame:
 def doc_references(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """Distinct cross-reference texts per document, removed inside the row."""
     wanted = F.filter("elements", lambda e: e["name"].isin(lowered(REFERENCE_TAGS)))
-    texts = F.array_distinct(F.transform(wanted, lambda e: dense_text(e["strings"])))
+    texts = F.array_distinct(F.transform(wanted, lambda e: dense_text(strings_of(e))))
     return parsed.select(*keep, F.explode(texts).alias("reference")).where(
         F.col("reference") != ""
     )
@@ -326,7 +335,7 @@ def split_chunks(
     size: int = _splitting.CHUNK_SIZE,
     overlap: int = _splitting.CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Pieces of at most ``size`` characters; short chunks stay as they are.
+    """Pieces of at most ``size`` characters, outer white space removed from all.
 
     Texts within the limit never leave the JVM: the Python call sees NULL for
     them.
@@ -337,7 +346,7 @@ def split_chunks(
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else split(t, size, overlap))
 
-    text = F.col(text_col)
+    text = strip(F.col(text_col))
     long_text = F.when(F.length(text) > size, text)
     return (
         chunks.where(F.length(text) >= CHUNK_MIN)

@@ -203,16 +203,20 @@ def knn_by_ata(
 
 
 def derive_ata(hits: DataFrame) -> DataFrame:
-    """Code of the majority of a query's hits; ties by best score, then lower code."""
+    """Code of the majority of a query's hits and its nearest chunk; ties by best score, then lower code."""
     votes = (
         hits.where(F.col("ata04").isNotNull())
         .groupBy("query_id", "ata04")
-        .agg(F.count(F.lit(1)).alias("votes"), F.max("score").alias("score"))
+        .agg(
+            F.count(F.lit(1)).alias("votes"),
+            F.max("score").alias("score"),
+            F.min_by("chunk_id", F.struct("distance", "chunk_id", "manual_type")).alias("chunk_id"),
+        )
     )
     cost = F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "ata04")
     return (
         votes.groupBy("query_id")
-        .agg(F.min_by(F.struct("ata04", "votes", "score"), cost).alias("best"))
+        .agg(F.min_by(F.struct("ata04", "votes", "score", "chunk_id"), cost).alias("best"))
         .select("query_id", "best.*")
     )
 

@@ -64,16 +64,22 @@ def derive_from_chunks(text_vectors: DataFrame, chunks: DataFrame, **search) ->
 
     ``text_vectors(text_key, embedding)`` holds the vectors of the distinct
     defect texts. The code is the majority of the nearest chunks over all
-    manual types.
+    manual types; the snippet is the text of its nearest chunk, or the chunk's
+    identifier when ``chunks`` has no text.
     """
     queries = text_vectors.select(F.col("text_key").alias("query_id"), "embedding")
     hits = vectors.knn_per_type(queries, chunks, k=vectors.DERIVE_TOP_K, **search)
-    return vectors.derive_ata(hits).select(
+    best = vectors.derive_ata(hits)
+    snippet = F.col("chunk_id").cast("string")
+    if "text" in chunks.columns:
+        texts = chunks.groupBy("chunk_id").agg(F.min("text").alias("_text"))
+        best, snippet = best.join(texts, "chunk_id", "left"), F.coalesce("_text", F.lit(""))
+    return best.select(
         F.col("query_id").alias("text_key"),
         F.col("ata04").alias("ATA04_Derived"),
         F.lit("RAG").alias("Derived_DocType"),
         F.col("score").alias("Derived_Score"),
-        F.lit("").alias("Evidence_Snippet"),
+        snippet.alias("Evidence_Snippet"),
         F.lit("Manual chunks").alias("Evidence_Source"),
     )
 

@@ -96,7 +96,8 @@ ELEMENT = T.StructType(
         T.StructField("pos", T.IntegerType()),
         T.StructField("last", T.IntegerType()),
         T.StructField("name", T.StringType()),
-        T.StructField("strings", T.ArrayType(T.StringType())),
+        T.StructField("first", T.IntegerType()),
+        T.StructField("count", T.IntegerType()),
         T.StructField("title", T.StringType()),
         T.StructField("caption", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),

@@ -1,25 +1,12 @@
-"""Manual files: single markup files and tar archives of them."""
+"""Manual files."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# --- fixed values: member names that count as markup -----------------------------
-EXTENSIONS = (".sgm", ".sgml")
-# --- end of fixed values ----------------------------------------------------------
-
-_DOCS = "archive string, filename string, markup string"
-# Text handed to Spark at a time while an archive is read.
-_BATCH_CHARS = 16 * 1024 * 1024
-
-
-def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(filename, markup)`` of the markup files below a folder, one row per file.
+def scan_files(spark: SparkSession, path: str, glob: str = "*.{sgm,sgml}") -> DataFrame:
+    """``(filename, markup)`` of the files below a folder whose names fit ``glob``, one row per file.
 
     Bytes that are no UTF-8 are dropped. Listing and reading are Spark's; small
     files are packed into splits by ``spark.sql.files.maxPartitionBytes``.
@@ -27,7 +14,7 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{sgm,sgml}")
+        .option("pathGlobFilter", glob)
         .load(path)
     )
     return files.select(F.col("path").alias("filename"), decode("content").alias("markup"))
@@ -39,53 +26,6 @@ def decode(content: str) -> Column:
     return F.replace(valid, F.lit("\ufffd"), F.lit(""))
 
 
-def unpack_archives(archives: DataFrame) -> DataFrame:
-    """Markup members of tar archives given as ``(path, content)`` rows.
-
-    One archive is one task's input, so an archive above the 2 GB row limit has
-    to be unpacked upstream and read with :func:`scan_files`. Unreadable
-    archives and members are skipped.
-    """
-    extensions, batch_chars = EXTENSIONS, _BATCH_CHARS
-    schema = pa.schema([(name, pa.string()) for name in ("archive", "filename", "markup")])
-
-    def members(path, content):
-        with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-            for member in tar:
-                if member.isfile() and member.name.endswith(extensions):
-                    text = tar.extractfile(member).read().decode("utf-8", "ignore")
-                    yield {"archive": path, "filename": member.name, "markup": text}
-
-    def unpack(stream):
-        for batch in stream:
-            for archive in batch.to_pylist():
-                rows, chars = [], 0
-                try:
-                    for row in members(archive["path"], archive["content"]):
-                        rows.append(row)
-                        chars += len(row["markup"])
-                        if chars > batch_chars:
-                            yield pa.RecordBatch.from_pylist(rows, schema)
-                            rows, chars = [], 0
-                except tarfile.TarError:
-                    pass  # keep what was readable
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return archives.select("path", "content").mapInArrow(unpack, _DOCS)
-
-
-def scan_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Markup members of the tar archives below a folder."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{tar,tar.gz,tgz}")
-        .load(path)
-    )
-    return unpack_archives(files)
-
-
 def not_processed(docs: DataFrame, ledger: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Documents whose ``(manual_type, filename)`` is not in the ledger of earlier runs."""
     keys = keys or ["manual_type", "filename"]

@@ -46,12 +46,31 @@ def ingest_available(stream: DataFrame, output: str, checkpoint: str) -> None:
 def index_available(stream: DataFrame, output: str, checkpoint: str, **split) -> None:
     """Append chunks and references of the documents not indexed yet.
 
-    Reading, identity, chunking and splitting keep no state, so the operators
-    of the batch job run on the stream as they are. Chunks and references have
-    a checkpoint each; both end up as in one batch over all files.
+    Each batch is parsed once and stored; references and chunks are written from
+    that table. All three folders carry the number of the batch and replace it when
+    a batch runs again, so a run that died leaves no gaps and no repeats.
     """
-    identified = documents.identify(documents.parse_documents(stream))
-    references = documents.document_references(identified, F.col("manual_type"))
-    chunks = documents.manual_chunks(identified, **split)
-    ingest_available(references, f"{output}/references", f"{checkpoint}/references")
-    ingest_available(chunks, f"{output}/chunks", f"{checkpoint}/chunks")
+
+    def index(batch: DataFrame, number: int) -> None:
+        folder = f"batch={number}"
+        parsed_path = f"{output}/parsed/{folder}"
+        identified = documents.identify(documents.parse_documents(batch))
+        identified.write.mode("overwrite").parquet(parsed_path)
+        parsed = batch.sparkSession.read.parquet(parsed_path)
+        references = documents.document_references(parsed, F.col("manual_type"))
+        references.write.mode("overwrite").parquet(f"{output}/references/{folder}")
+        chunks = documents.manual_chunks(parsed, **split)
+        chunks.write.mode("overwrite").parquet(f"{output}/chunks/{folder}")
+
+    (
+        stream.writeStream.foreachBatch(index)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+
+
+def read_index(spark: SparkSession, output: str) -> tuple[DataFrame, DataFrame]:
+    """References and chunks written by :func:`index_available`."""
+    return tuple(spark.read.parquet(f"{output}/{name}").drop("batch") for name in ("references", "chunks"))

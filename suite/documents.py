@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from hangarflow.functions import codes
@@ -41,40 +37,15 @@ def _identified(spark, sf):
 
 
 # --- scans ------------------------------------------------------------------------
-def _pack(frames):
-    """One tar archive per Arrow batch."""
-    for number, frame in enumerate(frames):
-        buffer = io.BytesIO()
-        with tarfile.open(fileobj=buffer, mode="w") as tar:
-            for name, text in zip(frame["filename"], frame["markup"]):
-                data = text.encode()
-                info = tarfile.TarInfo(name)
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
-        yield pd.DataFrame({"path": [f"part-{number}.tar"], "content": [buffer.getvalue()]})
-
-
-@query(
-    "manual_scan",
-    f"""WITH {DOCS_SQL} SELECT filename FROM docs""",
-)
+@query("manual_scan", f"""WITH {DOCS_SQL} SELECT filename FROM docs""")
 def manual_scan(spark, sf):
-    def pack(frames):
-        yield from packer(frames)
-
-    packer = _by_value(_pack)
-    archives = _manuals(spark, sf).select("filename", "markup").mapInPandas(pack, "path string, content binary")
-    return manuals.unpack_archives(archives).select("filename")
-
-
-def _by_value(fn):
-    """Ship a function of this module with the task."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return fn
+    """Manuals written as files of many documents each, scanned as files, and told apart by their first lines."""
+    folder = new_path(spark, "manual-files")
+    marked = F.concat(F.lit("<!-- file: "), "filename", F.lit(" -->\n"), "markup")
+    _manuals(spark, sf).select(marked.alias("value")).write.text(folder)
+    scanned = manuals.scan_files(spark, folder, glob="part-*.txt")
+    names = F.regexp_extract_all("markup", F.lit(r"(?m)^<!-- file: (.*) -->$"), F.lit(1))
+    return scanned.select(F.explode(names).alias("filename"))
 
 
 # Labelled documents count as read by an earlier run.
@@ -257,7 +228,7 @@ def doc_references(spark, sf):
 
 @query("split_chunks")
 def split_chunks(spark, sf):
-    """Whole documents and all manual chunks, cut into overlapping pieces."""
+    """Whole documents and all conversation turns, cut into overlapping pieces."""
     whole = table(spark, sf, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("id"), "text")
     pages = table(spark, sf, "conversations").select(
         F.concat_ws("/", F.lit("turn"), "conv_id", "turn").alias("id"), "text"
@@ -280,7 +251,8 @@ def index_stream(spark, sf):
         now = arriving.where(F.col("doc_id") % 2 == half).drop("doc_id")
         now.write.mode("append").parquet(source)
         ingest.index_available(ingest.new_files(spark, source), output, checkpoint)
-    return spark.read.parquet(f"{output}/references")
+    references, _ = ingest.read_index(spark, output)
+    return references
 
 
 @query("document_references", _REFERENCES_SQL)

@@ -45,11 +45,13 @@ def registry_append(spark, sf):
     )
 
 
-@query("registry_overwrite", f"WITH {REFS_SQL} SELECT {_FIELDS} FROM refs WHERE false")
+@query("registry_overwrite", f"WITH {REFS_SQL} SELECT {_FIELDS} FROM refs WHERE manual_type = 'TSM'")
 def registry_overwrite(spark, sf):
+    """All references, cleared, then one manual type again: only that type is left."""
     path = new_path(spark, "registry")
     tables.append_references(references(spark, sf), path)
     tables.clear_registry(spark, path)
+    tables.append_references(references(spark, sf).where("manual_type = 'TSM'"), path)
     return tables.read_registry(spark, path).drop("created_at", "is_active")
 
 

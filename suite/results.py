@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hangarflow.functions.codes import text_fingerprint
+from hangarflow.functions.codes import text_fingerprint, text_key
 from hangarflow.operators import reports
 from hangarflow.operators.workorders import distinct_texts, first_row_decision
 from hangarflow.plans.build import build_catalog
-from hangarflow.plans.reconcile import process_work_orders
+from hangarflow.plans.reconcile import derive_from_chunks, process_work_orders
 from hangarflow.schema import RESULT_COLUMNS
 from hangarflow.session import new_path, stored
 from hangarflow.sources import tables
 from suite.catalog import ITEMS_SQL, MODEL_SQL, scoring_sql, tokens_sql
 from suite.data import (
+    CHUNKS_SQL,
     PART_TAGS_SQL,
     REFS_SQL,
     WO_SQL,
     interface_work_orders,
     part_manuals,
     references,
+    vector_chunks,
+    vector_queries,
     work_orders,
 )
 from suite.workorders import CITES_SQL, ECHO_SQL, FLAG_SQL, decision_sql
@@ -45,10 +48,22 @@ _DERIVE = f"""{PART_TAGS_SQL}, {ITEMS_SQL}, {MODEL_SQL},
     FROM top LEFT JOIN system_names USING (ata04) WHERE rank = 1 AND score >= 0.2)"""
 _NO_DERIVE = """derived AS (SELECT CAST(NULL AS VARCHAR) AS defect_text, CAST(NULL AS VARCHAR) AS ata04,
     CAST(NULL AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS system_name WHERE false)"""
+# Every distinct defect text takes the vector that its digest points to.
+_RAG = f"""{CHUNKS_SQL}, asked AS (SELECT DISTINCT defect_text FROM flagged WHERE is_defect AND trim(defect_text) <> ''),
+  vectors AS (SELECT a.defect_text, q.embedding FROM asked a JOIN queries q
+    ON q.query_id = CAST('0x' || sha256(a.defect_text)[1:8] AS BIGINT) % (SELECT count(*) FROM embeddings)),
+  rag_pairs AS (SELECT v.defect_text, c.chunk_id, c.manual_type, c.ata04, list_sum(list_transform(range(1, len(c.embedding) + 1),
+    lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)) ** 2)) AS d FROM vectors v CROSS JOIN chunks c),
+  near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY defect_text, manual_type ORDER BY d, chunk_id) AS n FROM rag_pairs) WHERE n <= 3),
+  votes AS (SELECT defect_text, ata04, count(*) AS votes, 1 / (1 + min(d)) AS score,
+    arg_min(chunk_id, (d, chunk_id)) AS chunk_id FROM near GROUP BY defect_text, ata04),
+  derived AS (SELECT defect_text, ata04, score, CAST(chunk_id AS VARCHAR) AS system_name FROM
+    (SELECT *, row_number() OVER (PARTITION BY defect_text ORDER BY votes DESC, score DESC, ata04) AS n FROM votes) WHERE n = 1)"""
 _ALL_DEFECTS = "flagged AS (SELECT *, CAST(NULL AS VARCHAR) AS why, true AS is_defect FROM wo)"
 
 
-def run_sql(validity: str = "true", derive: str = _DERIVE, flags: str = FLAG_SQL, threshold: float = 0.75) -> str:
+def run_sql(validity: str = "true", derive: str = _DERIVE, flags: str = FLAG_SQL, threshold: float = 0.75,
+            doc_type: str = "CATALOG", source: str = "ATA Catalog") -> str:
     """CTE list ending in ``results`` with wo_id, true_ata and the result columns."""
     d4 = "regexp_replace(echo, '[^0-9]', '', 'g')"
     return f"""{WO_SQL}, {flags}, {CITES_SQL}, {REFS_SQL}, {derive},
@@ -67,8 +82,8 @@ def run_sql(validity: str = "true", derive: str = _DERIVE, flags: str = FLAG_SQL
       strftime(closed, '%Y-%m-%d %H:%M:%S') AS "Close_Date", is_defect AS "Is_Technical_Defect", why AS "Non_Defect_Reason",
       cited_ata AS "ATA04_From_Cited", cited_manual AS "Cited_Manual", cited_task AS "Cited_Task", cited_exists AS "Cited_Exists",
       derived_ata AS "ATA04_Derived", CAST(NULL AS VARCHAR) AS "Derived_Task",
-      CASE WHEN derived_ata IS NOT NULL THEN 'CATALOG' END AS "Derived_DocType", round(score, 6) AS "Derived_Score",
-      snippet AS "Evidence_Snippet", CASE WHEN derived_ata IS NOT NULL THEN 'ATA Catalog' END AS "Evidence_Source",
+      CASE WHEN derived_ata IS NOT NULL THEN '{doc_type}' END AS "Derived_DocType", round(score, 6) AS "Derived_Score",
+      snippet AS "Evidence_Snippet", CASE WHEN derived_ata IS NOT NULL THEN '{source}' END AS "Evidence_Source",
       CASE WHEN is_defect THEN decision ELSE 'NON_DEFECT' END AS "Decision",
       CASE WHEN is_defect THEN d.ata04_final ELSE echo END AS "ATA04_Final",
       CASE WHEN is_defect THEN confidence ELSE CAST(0.99 AS DOUBLE) END AS "Confidence",
@@ -119,6 +134,22 @@ def mode_switch(spark, sf):
     return _run(spark, sf, mode="rag")
 
 
+@query(
+    "process_table_rag",
+    f"WITH {run_sql(_IN_REGISTRY, _RAG, doc_type='RAG', source='Manual chunks')} SELECT {_COLUMNS} FROM results",
+)
+def process_table_rag(spark, sf):
+    """Codes derived from the nearest manual chunks of every distinct defect text."""
+    orders = interface_work_orders(spark, sf)
+    many = vector_queries(spark, sf).count()
+    place = F.conv(F.substring(F.sha2("Defect_Text", 256), 1, 8), 16, 10).cast("long") % many
+    texts = work_orders(spark, sf).select(F.col("defect_text").alias("Defect_Text")).distinct()
+    asked = texts.select(text_key(F.col("Defect_Text")).alias("text_key"), place.alias("query_id"))
+    vectors = asked.join(vector_queries(spark, sf).select("query_id", "embedding"), "query_id")
+    derived = stored(derive_from_chunks(vectors.select("text_key", "embedding"), vector_chunks(spark, sf)), "derived")
+    return _rounded(process_work_orders(orders, "wo_id", mode="rag", registry=references(spark, sf), derived=derived))
+
+
 @query(
     "filter_switch",
     f"WITH {run_sql(_IN_REGISTRY, _DERIVE, _ALL_DEFECTS, 0.85)} SELECT {_COLUMNS} FROM results",

@@ -108,7 +108,7 @@ def knn_by_ata(spark, sf):
 )
 def rag_derive_ata(spark, sf):
     hits = ops.knn_per_type(vector_queries(spark, sf), vector_chunks(spark, sf), k=ops.DERIVE_TOP_K)
-    return ops.derive_ata(hits).withColumn("score", F.round("score", 6))
+    return ops.derive_ata(hits).select("query_id", "ata04", "votes", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -1,8 +1,7 @@
-"""Markup reading, chunks, splitting, archives, and incremental scans."""
+"""Markup reading, chunks, splitting, and incremental scans."""
 
-import io
 import random
-import tarfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,12 +95,32 @@ def test_reader_survives_any_text():
     rng = random.Random(3)
     parts = ["<p>", "</p>", "<para", ">", "<", "</", "&amp;", "&", "text ", '"', "<!--", "-->", "<![CDATA[", "]]>", "<script>", "<a b='", "/>"]
     for _ in range(2000):
-        elements = read_elements("".join(rng.choice(parts) for _ in range(rng.randint(0, 25))))
+        _, elements = read_elements("".join(rng.choice(parts) for _ in range(rng.randint(0, 25))))
         assert elements[0]["name"] == "#document"
         for e in elements:
             assert e["pos"] <= e["last"]
 
 
+@pytest.mark.parametrize(
+    "markup",
+    ["<?" * 100_000, "<!" * 100_000, "<![x" * 100_000 + ">", "<para>" * 50_000 + "x", "<para>" * 30_000 + "</note>" * 30_000,
+     "<title>a" * 20_000, "<para>word &amp; word</para>\n" * 180_000],
+    ids=["instructions", "declarations", "subsets", "nested", "mismatched", "titles", "long"],
+)
+def test_reading_takes_linear_time(markup):
+    start = time.monotonic()
+    nodes, elements = read_elements(markup)
+    assert time.monotonic() - start < 10
+    assert sum(map(len, nodes)) <= len(markup) and elements[0]["count"] == len(nodes)
+
+
+def test_text_is_stored_once():
+    nodes, elements = read_elements("<content><para>one <p>two</p></para> three</content>")
+    assert nodes == ["one ", "two", " three"]
+    runs = {e["name"]: nodes[e["first"] - 1 : e["first"] - 1 + e["count"]] for e in elements}
+    assert runs["content"] == nodes and runs["para"] == ["one ", "two"] and runs["p"] == ["two"]
+
+
 def _splits(text, size, overlap):
     """What has to hold for any split of a text without double line breaks."""
     pieces = split_text(text, size, overlap)
@@ -135,27 +154,15 @@ def test_split_chunks_keeps_short_texts(spark):
     assert len(long) == 3 and all(len(t) <= 1000 for t in long)
 
 
-def _tar(members):
-    buffer = io.BytesIO()
-    with tarfile.open(fileobj=buffer, mode="w") as tar:
-        for name, data in members:
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-    return buffer.getvalue()
-
-
 def test_scans(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "a.sgm").write_bytes("<p>é\xe9</p>".encode("latin-1") + "é".encode())
     (tmp_path / "m" / "b.sgml").write_text("<p>b</p>")
     (tmp_path / "m" / "c.txt").write_text("no")
-    (tmp_path / "m" / "d.tar").write_bytes(_tar([("x/e.sgm", b"<p>\xffe</p>"), ("f.xml", b"no"), ("g.sgml", b"g")]))
-    (tmp_path / "m" / "bad.tar").write_bytes(b"this is no archive at all")
     files = {r.filename.rsplit("/", 1)[1]: r.markup for r in manuals.scan_files(spark, str(tmp_path)).collect()}
     assert files == {"a.sgm": "<p></p>é", "b.sgml": "<p>b</p>"}
-    members = {r.filename: r.markup for r in manuals.scan_archives(spark, str(tmp_path)).collect()}
-    assert members == {"x/e.sgm": "<p>e</p>", "g.sgml": "g"}
+    texts = manuals.scan_files(spark, str(tmp_path), glob="*.txt").collect()
+    assert [r.markup for r in texts] == ["no"]
 
 
 def test_incremental_equals_batch(spark, tmp_path):
@@ -195,6 +202,6 @@ def test_streamed_index_equals_batch(spark, tmp_path):
         spark.createDataFrame([doc], ingest.DOCS).write.mode("append").parquet(source)
         ingest.index_available(ingest.new_files(spark, source), output, checkpoint)
     references, chunks = build_index(spark.createDataFrame(docs, ingest.DOCS))
-    for name, batch in (("references", references), ("chunks", chunks)):
-        streamed = spark.read.parquet(f"{output}/{name}").select(*batch.columns)
+    for streamed, batch in zip(ingest.read_index(spark, output), (references, chunks), strict=True):
+        streamed = streamed.select(*batch.columns)
         assert sorted(map(repr, streamed.collect())) == sorted(map(repr, batch.collect()))
