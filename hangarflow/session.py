@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
-from functools import cache, reduce
+from functools import reduce
 from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(cores: str | int = 8, app_name: str = "hangarflow") -> SparkSession:
-    """A local session for tests and benchmarks."""
-    return (
+# Session setting: spread each given table over so many partitions before anything else.
+# For small test files of one row group, which Spark cannot split; unset on a cluster.
+INPUT_PARTITIONS = "spark.hangarflow.inputPartitions"
+
+
+def local_session(
+    cores: str | int = 8, app_name: str = "hangarflow", shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and benchmarks; ``shared`` is its folder for stored results."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", "8")
@@ -22,26 +28,24 @@ def local_session(cores: str | int = 8, app_name: str = "hangarflow") -> SparkSe
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
+        .config(INPUT_PARTITIONS, str(cores))
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a local master may go without: its stored results lie in the warehouse folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return _local_folder(spark.sparkContext.applicationId)
-
-
-@cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="hangarflow-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
