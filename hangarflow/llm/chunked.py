@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -54,7 +55,7 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         pieces = self._cut(text)
-        found = [self._young.get(piece) for piece in pieces]
+        found = list(map(self._young.get, pieces))
         if None in found:
             for at, packed in enumerate(found):
                 if packed is None:
@@ -64,7 +65,7 @@ class PieceEncoder:
     def _missing(self, piece: str) -> bytes:
         packed = self._young.get(piece) or self._old.get(piece)
         if packed is None:
-            packed = np.array(self._encode_piece(piece), "<u4").tobytes()
+            packed = array("I", self._encode_piece(piece)).tobytes()
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self._young) >= REMEMBERED_PIECES:
                 self._old, self._young = self._young, {}
