@@ -59,13 +59,21 @@ def _parse(raw: Column, pattern: str) -> Column:
     return F.element_at(F.transform(F.array(F.regexp_replace(raw, r"(?U)\D", "")), cut), 1)
 
 
-def extract_citations(text: Column) -> Column:
-    """Array of citation structs: pattern order, then position, first per key wins."""
-    def parsed_matches(pattern: str) -> Column:
-        matches = F.regexp_extract_all(text, F.lit(_flagged(pattern)), F.lit(0))
+def extract_citations(text: Column, dedup_by_span: bool = False) -> Column:
+    """Array of citation structs: pattern order, then position, first per key wins.
+
+    ``dedup_by_span`` lets a later pattern see only what earlier ones have not
+    matched, so one mention gives one citation.
+    """
+
+    def parsed_matches(pattern: str, rest: Column) -> Column:
+        matches = F.regexp_extract_all(rest, F.lit(_flagged(pattern)), F.lit(0))
         return F.transform(matches, lambda raw: _parse(raw, pattern))
 
-    found = F.concat(*[parsed_matches(pattern) for pattern in PATTERNS])
+    rests = [text]
+    for pattern in PATTERNS[:-1]:
+        rests.append(F.regexp_replace(rests[-1], _flagged(pattern), "|") if dedup_by_span else text)
+    found = F.concat(*[parsed_matches(pattern, rest) for pattern, rest in zip(PATTERNS, rests)])
 
     def key(citation: Column) -> Column:
         return F.concat(citation["manual_type"], F.lit("-"), citation["task_number"])

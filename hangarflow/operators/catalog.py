@@ -66,12 +66,12 @@ def _system_name() -> Column:
     return F.try_element_at(F.filter(firsts, lambda n: _longer_than(n, 5, 200)), F.lit(1))
 
 
-def _keywords() -> Column:
+def _keywords(per_tag: int) -> Column:
     short = F.filter(_raw_of(KEYWORD_TAGS), lambda t: _longer_than(t, 0, 100))
     words = F.transform(
         short,
         lambda t: F.slice(
-            F.regexp_extract_all(F.lower(t), F.lit(KEYWORD), F.lit(0)), 1, KEYWORDS_PER_TAG
+            F.regexp_extract_all(F.lower(t), F.lit(KEYWORD), F.lit(0)), 1, per_tag
         ),
     )
     return F.array_distinct(F.flatten(words))
@@ -97,7 +97,7 @@ def _descriptions() -> Column:
     )
 
 
-def catalog_items(parsed: DataFrame) -> DataFrame:
+def catalog_items(parsed: DataFrame, keywords_per_tag: int = KEYWORDS_PER_TAG) -> DataFrame:
     """Long catalog of distinct ``(ata04, kind, value, name_file)`` rows.
 
     ``name_file`` tells which file a name comes from and is NULL for the other
@@ -116,7 +116,7 @@ def catalog_items(parsed: DataFrame) -> DataFrame:
 
     found = F.concat(
         items(NAME, F.array_compact(F.array(_system_name()))),
-        items(KEYWORD_KIND, _keywords()),
+        items(KEYWORD_KIND, _keywords(keywords_per_tag)),
         items(WARNING, _warnings()),
         items(DESCRIPTION, _descriptions()),
     )
@@ -208,19 +208,18 @@ def saved_catalog(
     )
 
 
-def training_lines(items: DataFrame) -> DataFrame:
+def training_lines(items: DataFrame, descriptions: int = TRAINING_DESCRIPTIONS) -> DataFrame:
     """The training text of each code as ordered lines ``(ata04, part, line_order, text)``.
 
     The text of a code is its lines joined by blanks in ``(part, line_order)``
-    order: the name, all keywords, all warnings, and the first five
-    descriptions. Keywords and warnings are sets without an order of their own;
+    order: the name, all keywords, all warnings, and the first descriptions. Keywords and warnings are sets without an order of their own;
     they are ordered by MD5, which cuts into equal ranges however the values
     are spelled. Nothing is gathered per code.
     """
     name = system_names(items).select(
         "ata04", F.lit(NAME).alias("kind"), F.col("system_name").alias("value")
     )
-    described = first_values(items, {DESCRIPTION: TRAINING_DESCRIPTIONS}).select(
+    described = first_values(items, {DESCRIPTION: descriptions}).select(
         "ata04", "kind", "value"
     )
     sets = items.where(F.col("kind").isin(KEYWORD_KIND, WARNING)).select("ata04", "kind", "value")

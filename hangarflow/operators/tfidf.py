@@ -17,6 +17,8 @@ MAX_DF = 0.8
 MIN_SCORE = 0.2
 TOP_K = 3
 # --- end of fixed values ----------------------------------------------------------
+# Hex digits that cut a code's lines into ranges.
+RANGE_DIGITS = 2
 
 
 def text_grams(
@@ -73,7 +75,7 @@ def text_weights(
 
 
 def catalog_terms(
-    lines: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, range_digits: int = 2
+    lines: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, range_digits: int = RANGE_DIGITS
 ) -> DataFrame:
     """Term counts ``(ata04, term, tf)`` of training texts given as ordered lines.
 
@@ -220,7 +222,10 @@ def top_matches(scores: DataFrame, key: str, k: int = TOP_K) -> DataFrame:
 
 
 def fit(
-    lines: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, **limits
+    lines: DataFrame,
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    range_digits: int = RANGE_DIGITS,
+    **limits,
 ) -> tuple[DataFrame, DataFrame]:
     """Vocabulary and entry vectors of a catalog given as training lines.
 
@@ -228,7 +233,7 @@ def fit(
     shared folder instead of being computed again.
     """
     n_docs = lines.agg(F.count_distinct("ata04")).scalar()
-    terms = stored(catalog_terms(lines, stop_words), "catalog-terms")
+    terms = stored(catalog_terms(lines, stop_words, range_digits), "catalog-terms")
     vocabulary = stored(fit_vocabulary(terms, "ata04", n_docs=n_docs, **limits), "vocabulary")
     return vocabulary, stored(weigh(terms, vocabulary, "ata04"), "catalog-vectors")
 

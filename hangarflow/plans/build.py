@@ -11,16 +11,23 @@ from hangarflow.plans.reconcile import CatalogModel
 from hangarflow.session import stored
 
 
-def build_catalog(docs: DataFrame, **fit) -> CatalogModel:
+def build_catalog(
+    docs: DataFrame,
+    keywords_per_tag: int = catalog_ops.KEYWORDS_PER_TAG,
+    training_descriptions: int = catalog_ops.TRAINING_DESCRIPTIONS,
+    saved_caps: dict[str, int] | None = None,
+    **fit,
+) -> CatalogModel:
     """Catalog and model of markup documents ``(filename, markup)``.
 
     The manuals are read once: their distinct values are written to the shared
-    folder, and the catalog and the model are both made from that table.
+    folder, and the catalog and the model are both made from that table. ``fit``
+    takes ``stop_words``, ``range_digits`` and the limits of the vocabulary.
     """
     parsed = documents.parse_documents(docs)
-    items = stored(catalog_ops.catalog_items(parsed), "catalog-items")
-    vocabulary, vectors = tfidf.fit(catalog_ops.training_lines(items), **fit)
-    saved = stored(catalog_ops.saved_catalog(items), "catalog")
+    items = stored(catalog_ops.catalog_items(parsed, keywords_per_tag), "catalog-items")
+    vocabulary, vectors = tfidf.fit(catalog_ops.training_lines(items, training_descriptions), **fit)
+    saved = stored(catalog_ops.saved_catalog(items, caps=saved_caps), "catalog")
     stop_words = fit.get("stop_words", tfidf.ENGLISH_STOP_WORDS)
     return CatalogModel(saved, vocabulary, vectors, tuple(stop_words))
 

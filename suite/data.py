@@ -35,22 +35,22 @@ _WORK_ORDER = {
             || lpad(cast((o_custkey * 7) % 60 AS string), 2, '0')
             || CASE WHEN o_orderkey % 5 = 0 THEN '-00' ELSE '' END END""",
     "defect_text": """CASE o_orderkey % 8
-       WHEN 0 THEN 'Cabin cleaning required'
-       WHEN 1 THEN 'Oil leak observed from engine ' || cast(1 + o_custkey % 2 AS string)
-       WHEN 2 THEN 'ECAM HYD SYS 1 LO LEVEL'
-       WHEN 3 THEN 'Scheduled inspection due'
-       WHEN 4 THEN 'Warning light illuminated'
+       WHEN 0 THEN 'Cabin cleaning asked for before the next leg'
+       WHEN 1 THEN 'Hydraulic leak seen below engine ' || cast(1 + o_custkey % 2 AS string)
+       WHEN 2 THEN 'Pump of the green system shows low pressure'
+       WHEN 3 THEN 'Scheduled inspection of the galley'
+       WHEN 4 THEN 'Warning light stays on after start'
        WHEN 5 THEN 'Reading lamp flickers at row ' || cast(o_custkey % 40 AS string)
-       WHEN 6 THEN 'Routine lubrication required'
-       ELSE 'Unusual noise from landing gear' END""",
+       WHEN 6 THEN 'Routine lubrication of the seat rails'
+       ELSE 'Loud noise from the nose gear' END""",
     "action_text": """CASE o_orderkey % 7
-       WHEN 0 THEN 'Performed general inspection'
-       WHEN 1 THEN 'Rectified per TSM ' || code || '-00'
-       WHEN 2 THEN 'Performed FIM ' || code || '-00-860-801'
-       WHEN 3 THEN 'Replaced unit per AMM ' || code || '-00 and TSM 21-26-00'
-       WHEN 4 THEN 'Per TSM' || replace(code, '-', '') || '00'
-       WHEN 5 THEN 'Completed task: ' || code || '-00'
-       ELSE 'Inspected system, NFF' END""",
+       WHEN 0 THEN 'Did a walk around'
+       WHEN 1 THEN 'Fixed as in TSM ' || code || '-00'
+       WHEN 2 THEN 'Followed FIM ' || code || '-00-860-801'
+       WHEN 3 THEN 'Swapped the valve, see AMM ' || code || '-00 and TSM 24-11-00'
+       WHEN 4 THEN 'Done by TSM' || replace(code, '-', '') || '00'
+       WHEN 5 THEN 'Closed with task: ' || code || '-00'
+       ELSE 'Nothing found' END""",
     "wo_type": "o_orderpriority",
     "ac_registration": "'AC-' || lpad(cast(o_custkey % 50 AS string), 3, '0')",
     "issued": "o_orderdate",
@@ -135,13 +135,13 @@ REFS_SQL = (
 # ---------------------------------------------------------------------------
 _PHRASE = """CASE p_partkey % 8
        WHEN 0 THEN 'Cabin door seal damaged at row ' || cast(p_size AS string)
-       WHEN 1 THEN 'Oil leak observed from engine ' || cast(1 + p_size % 2 AS string)
-       WHEN 2 THEN 'ECAM HYD SYS ' || cast(1 + p_size % 3 AS string) || ' LO LEVEL'
+       WHEN 1 THEN 'Hydraulic leak seen below engine ' || cast(1 + p_size % 2 AS string)
+       WHEN 2 THEN 'Pump failure with low pressure in system ' || cast(1 + p_size % 3 AS string)
        WHEN 3 THEN 'Scheduled inspection finding on ' || p_name
-       WHEN 4 THEN 'Warning light illuminated on panel ' || cast(p_size AS string)
+       WHEN 4 THEN 'Warning light fault on panel ' || cast(p_size AS string)
        WHEN 5 THEN 'Reading lamp flickers at row ' || cast(p_size % 40 AS string)
        WHEN 6 THEN 'Lubrication fitting error at ' || p_name
-       ELSE 'Unusual noise from landing gear defect' END"""
+       ELSE 'Loud noise from the nose gear is a defect' END"""
 _PART_TITLE = "p_name || ' ' || p_type"
 _PART_WARNING = "'WARNING CHECK ' || upper(p_name) || ' before work'"
 
@@ -190,7 +190,7 @@ def document_manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_SYSTEM} AS sys",
         f"{_SUBSYSTEM} AS sub",
         f"split({_escaped('text')}, '\\n') AS lines",
-        _escaped("left(split(text, '\\n')[0], 100)") + " AS opening",
+        "cast(doc_id AS string) || ' of ' || source AS opening",
     )
     line = """CASE i % 5
         WHEN 0 THEN '<para>' || l || '</para>\\n'
@@ -233,15 +233,15 @@ def strip_sql(expr: str) -> str:
 
 
 DOCS_SQL = f"""
-docs AS (SELECT doc_id, text, {_DOC_TYPE} AS manual_type, {_DOC_CODE} AS code,
+docs AS (SELECT doc_id, text, source, {_DOC_TYPE} AS manual_type, {_DOC_CODE} AS code,
        {_SYSTEM} AS sys, {_SUBSYSTEM} AS sub, string_split(text, chr(10)) AS lines,
        CASE WHEN doc_id % 2 = 0 THEN 'dm/' || regexp_replace(cast(doc_id AS string), '([0-9])', '\\1.', 'g') || 'sgm'
             ELSE 'manual/' || {_DOC_CODE} || '-00_d' || cast(doc_id AS string) || '.sgml' END AS filename
   FROM documents),
 doc_lines AS (SELECT doc_id, filename, i - 1 AS i, lines[i] AS line
   FROM (SELECT doc_id, filename, lines, unnest(range(1, len(lines) + 1)) AS i FROM docs)),
-tails AS (SELECT doc_id, filename, len(lines) AS n_lines, code,
-       'Reported failure: ' || left(lines[1], 100) AS description,
+tails AS (SELECT doc_id, filename, source, len(lines) AS n_lines, code,
+       'Reported failure: ' || cast(doc_id AS string) || ' of ' || source AS description,
        'Figure of ' || code AS fig_title, 'View ' || cast(doc_id % 10 AS string) AS caption
   FROM docs)"""
 

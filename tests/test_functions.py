@@ -250,3 +250,22 @@ def test_vector_functions(spark):
     df = spark.createDataFrame([([1.0, 2.0], [4.0, 6.0])], "a array<float>, b array<float>")
     distance = vectors.squared_l2(F.col("a"), F.col("b"))
     assert df.select(distance, vectors.distance_to_score(distance)).collect()[0][:] == (25.0, 1 / 26)
+
+
+@pytest.mark.parametrize(
+    ("text", "tasks"),
+    [
+        ("Per TSM 21-26-00", ["TSM 21-26-00"]),
+        ("see FIM 32-47-00-860-801", ["FIM 32-47-00-860-801"]),
+        ("AMM 24-11-00 done", ["AMM 24-11-00"]),
+        ("task 21-26-00", ["TSM 21-26-00"]),
+        ("TSM 21-26-00 and FIM 32-47-00", ["TSM 21-26-00", "FIM 32-47-00"]),
+        ("TSM 21-26-00, AMM 21-26-00 and 21-26-00", ["TSM 21-26-00", "AMM 21-26-00"]),
+        ("ref: AMM 241100", ["AMM 24-11-00"]),
+        ("nothing", []),
+    ],
+)
+def test_one_citation_for_each_mention(spark, text, tasks):
+    df = spark.createDataFrame([(text,)], "t string")
+    found = df.select(citations.extract_citations(F.col("t"), dedup_by_span=True).alias("c")).first().c
+    assert [f"{c.manual_type} {c.task_number}" for c in found] == tasks
