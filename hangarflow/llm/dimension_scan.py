@@ -48,7 +48,7 @@ SHARD_ROWS = 8_192
 BLOCK_ROWS = 16_384
 PART_QUERIES = 512
 COLUMNS = 16
-SIGNIFICANCE = 2.1
+SIGNIFICANCE = 1.5
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -107,39 +107,40 @@ def _rotation(dimensions: int) -> np.ndarray:
 
 
 def column_blocks(vectors: np.ndarray) -> list[np.ndarray]:
-    """The columns in blocks of COLUMNS, each block contiguous."""
-    return [np.ascontiguousarray(vectors[:, at : at + COLUMNS]) for at in range(0, vectors.shape[1], COLUMNS)]
+    """The columns in blocks of COLUMNS, each block contiguous, in single precision: they only decide what to abandon."""
+    return [
+        np.ascontiguousarray(vectors[:, at : at + COLUMNS], dtype=np.float32)
+        for at in range(0, vectors.shape[1], COLUMNS)
+    ]
 
 
 def scan(
     query: np.ndarray,
     candidates: list[np.ndarray],
     first: np.ndarray,
+    places: np.ndarray,
     threshold: float,
     keep: int,
-    distances: np.ndarray = np.zeros(0),  # noqa: B008
-) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the candidates that survive every block of columns, for one rotated query.
+) -> np.ndarray:
+    """The ``places`` of candidates that survive every block of columns, for one rotated query.
 
     ``first`` holds the squared distances over the first block and ``threshold`` is a squared
-    distance. ``distances`` are the smallest found so far, up to ``keep`` of them, and come back
-    updated. Candidates come in slices of growing size; each can lower the threshold for the next.
+    distance. Candidates are visited in the order of ``places``, in slices of growing size;
+    each slice can lower the threshold for the next.
     """
     dimensions = len(query)
-    found = []
-    if len(distances) == keep:
-        threshold = min(threshold, distances[-1])
-    begin, width = 0, 4 * keep
-    while begin < len(first):
-        alive = np.arange(begin, min(begin + width, len(first)))
-        partial = first[begin : begin + width]
+    found, distances = [], np.zeros(0)
+    begin, width = 0, 8 * keep
+    while begin < len(places):
+        alive = places[begin : begin + width]
+        partial = first[alive]
         for number, block in enumerate(candidates):
             end = min((number + 1) * COLUMNS, dimensions)
             if number:
                 difference = block[alive] - query[end - block.shape[1] : end]
                 partial = partial + np.einsum("ij,ij->i", difference, difference)
-            slack = 1 + 1e-9 if end == dimensions else (1 + SIGNIFICANCE / np.sqrt(end)) ** 2 * end / dimensions
-            within = partial <= threshold * slack + 1e-12
+            slack = 1 + 1e-5 if end == dimensions else (1 + SIGNIFICANCE / np.sqrt(end)) ** 2 * end / dimensions
+            within = partial <= threshold * slack + 1e-6
             alive, partial = alive[within], partial[within]
             if not len(alive):
                 break
@@ -149,7 +150,7 @@ def scan(
             if len(distances) == keep:
                 threshold = min(threshold, distances[-1])
         begin, width = begin + width, 2 * width
-    return np.concatenate(found) if found else np.zeros(0, np.int64), distances
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def needed_probes(sample: np.ndarray, centres: np.ndarray, most: float, k: int, target: float) -> int:
@@ -278,20 +279,16 @@ def search(
         out: dict[str, list] = {"query": [], "ids": [], "score": []}
         if len(own) and len(others):
             cuts = np.searchsorted(right.column("list").to_numpy(), np.arange(lists + 1))
-            turned = _lifted(others, most) @ rotation
-            queries = np.c_[own, np.zeros(len(own))] @ rotation
+            # In units of the largest norm, so single precision neither overflows nor vanishes.
+            turned = _lifted(others, most) @ rotation / np.sqrt(most)
+            queries = (np.c_[own, np.zeros(len(own))] @ rotation / np.sqrt(most)).astype(np.float32)
             blocks = column_blocks(turned)
             first = _squared(queries[:, :COLUMNS], blocks[0])
             asked_of = zip(left.column("bound").to_pylist(), left.column("lists").to_pylist(), strict=True)
             for at, (bound, probed) in enumerate(asked_of):
-                survivors, distances = [], np.zeros(0)
-                for one in probed:
-                    part = slice(cuts[one], cuts[one + 1])
-                    if part.start < part.stop:
-                        held_ = [block[part] for block in blocks]
-                        near, distances = scan(queries[at], held_, first[at, part], bound, k + 1, distances)
-                        survivors.append(near + part.start)
-                near = np.concatenate(survivors) if survivors else np.zeros(0, np.int64)
+                # The lists' candidates, nearest list first.
+                places = np.concatenate([np.arange(cuts[one], cuts[one + 1]) for one in probed])
+                near = scan(queries[at], blocks, first[at], places, bound / most, k + 1)
                 scores = np.einsum("ij,j->i", others[near], own[at])
                 # Whole classes only: a score shared with the last place stays in.
                 last = np.partition(-scores, k)[k] if len(scores) > k + 1 else np.inf
