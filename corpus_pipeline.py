@@ -49,7 +49,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def byte_bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and whether decoding them gives the text back."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    decoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     text = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
     return decoded.select(
         F.col("row.doc_id").alias("doc_id"),

@@ -83,17 +83,36 @@ def text_encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(bpe_model(path, pattern), latin_cut, _CHUNK.findall)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text") -> DataFrame:
-    """``row`` with ``ids``. ``path`` must name the rank file on every executor."""
+def _decoded(ids: pa.ListArray, table: tuple[bytes, ...]) -> pa.Array:
+    """Bytes of each list of ids, joined over the whole list before anything reads them as characters."""
+    values, offsets = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    spans = zip(offsets[:-1], offsets[1:], strict=True)
+    return pa.array([b"".join([table[i] for i in values[a:b].tolist()]) for a, b in spans], pa.binary())
+
+
+def encode(
+    docs: DataFrame, path: str, pattern: str, text_column: str = "text", decoded: bool = False
+) -> DataFrame:
+    """``row`` with ``ids``, and with ``decoded`` also the bytes that these ids decode to.
+
+    ``path`` must name the rank file on every executor.
+    """
     source = carried(docs, content=text_or_empty(text_column))
-    schema = T.StructType([source.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    fields = [source.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
+    if decoded:
+        fields.append(T.StructField("decoded", T.BinaryType()))
+    schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path, pattern)
         for batch in batches:
             for part in slices(batch, "content"):
                 ids = id_lists([encoder.encode(text) for text in part.column("content").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("row"), ids], ["row", "ids"])
+                columns = [part.column("row"), ids]
+                if decoded:
+                    columns.append(_decoded(ids, token_bytes(path)))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -106,14 +125,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
         for batch in batches:
-            ids = batch.column(at)
-            values, offsets = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            joined = [
-                b"".join([table[i] for i in values[begin:end].tolist()])
-                for begin, end in zip(offsets[:-1], offsets[1:], strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(at), table)], schema.names)
 
     return encoded.mapInArrow(run, schema)
 

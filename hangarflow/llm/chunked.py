@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Pieces remembered in each of the two generations of a worker's table.
-REMEMBERED_PIECES = 300_000
+REMEMBERED_PIECES = 200_000
 # A longer piece is encoded but not remembered.
 LONGEST_REMEMBERED = 64
 # Text bytes encoded at a time.

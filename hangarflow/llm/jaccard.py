@@ -331,7 +331,7 @@ def _lead(sets: DataFrame, seed: int) -> DataFrame:
     keyed = stored(sets.select("id", "n", "tokens", "weight", key.alias("key")), "jaccard-keyed")
     parts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / SUBGROUP))
-    narrow = keyed.select("id", "weight", "key").join(parts, "key").withColumn("part", part)
+    narrow = keyed.select("id", "weight", "key").join(parts, "key").withColumn("part", part).repartition("key", "part")
     # The most central documents of each part first, then those of the key: never a whole key at once.
     for within in (["key", "part"], ["key"]):
         central = Window.partitionBy(*within).orderBy(F.desc("weight"), "id")

@@ -40,7 +40,7 @@ SLOTS_PER_GRAM = 16
 # Documents learned from per language, about: the bound of the fitting sample.
 FIT_DOCUMENTS = 8_192
 MIN_SHARE = 2e-5
-SLICE_CHARACTERS = 1 << 21
+SLICE_CHARACTERS = 1 << 19
 
 _SPACE = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)

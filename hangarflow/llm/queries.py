@@ -70,7 +70,7 @@ def op4_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    decoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return decoded.select(
         F.col("row.doc_id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

@@ -191,6 +191,14 @@ def test_byte_bpe(spark, odd_dir):
     assert counted(rows_of(spark, "op5_byte_bpe", odd_dir)) == counted(want)
 
 
+def test_decoding_stored_ids(spark, odd_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    encoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
+    rows = byte_bpe.decode(encoded, path).select("row.text", "decoded").collect()
+    assert len(rows) == len(document_rows()) and all((r["text"] or "").encode() == bytes(r["decoded"]) for r in rows)
+
+
 def test_spans_of_split_characters():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     text = "naïve 😀😀 漢"
