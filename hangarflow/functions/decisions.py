@@ -20,6 +20,23 @@ NON_DEFECT_CONFIDENCE = 0.99
 # --- end of fixed values -----------------------------------------------------
 
 
+# --- fixed values: reasons, in the order of the rules ---------------------------------
+ALL_AGREE = "All sources agree (E0=E1=E2)"
+AGREE_AGAINST_ENTERED = "Citation and derived agree on %s, differs from entered %s"
+CATALOG_CONFIRMS = "Catalog confirms entered ATA (score: %s)"
+CITATION_CONFIRMS = "Valid citation confirms entered ATA"
+CITATION_DIFFERS = "Valid citation %s differs from entered %s"
+CATALOG_SUGGESTS = "Catalog suggests %s (score: %s)"
+LOW_CONFIDENCE = "Low catalog confidence (score: %s)"
+CITATION_AGAINST_CATALOG = "Citation confirms E0=%s, catalog suggests %s"
+STRONG_CATALOG = "Strong catalog confirms E0=%s, citation suggests %s"
+CONFLICT = "Conflict: citation=%s, catalog=%s"
+ALL_DIFFER = "All differ: E0=%s, citation=%s, catalog=%s"
+NO_MATCH = "No citation or catalog match found"
+INSUFFICIENT = "Insufficient data for decision"
+# --- end of fixed values ----------------------------------------------------------------
+
+
 def e2_confidence(score: Column) -> Column:
     """Confidence band of a catalog score; NULL counts as the lowest band."""
     # Highest band first: when() keeps the first hit.
@@ -69,7 +86,7 @@ def reconcile(
     rules = [
         (
             has0 & e1_is_e2 & e0_is_e1,
-            _outcome("CONFIRM", e0, 0.97, say("All sources agree (E0=E1=E2)")),
+            _outcome("CONFIRM", e0, 0.97, say(ALL_AGREE)),
         ),
         (
             e1_is_e2,
@@ -77,41 +94,41 @@ def reconcile(
                 "CORRECT",
                 e1,
                 0.95,
-                say("Citation and derived agree on %s, differs from entered %s", e1, shown0),
+                say(AGREE_AGAINST_ENTERED, e1, shown0),
             ),
         ),
         (
             has0 & ~has1 & e0_is_e2,
             _outcome(
-                "CONFIRM", e0, confidence, say("Catalog confirms entered ATA (score: %s)", shown_score)
+                "CONFIRM", e0, confidence, say(CATALOG_CONFIRMS, shown_score)
             ),
         ),
         (
             has1 & no_usable_e2 & e0_is_e1,
-            _outcome("CONFIRM", e0, 0.92, say("Valid citation confirms entered ATA")),
+            _outcome("CONFIRM", e0, 0.92, say(CITATION_CONFIRMS)),
         ),
         (
             has1 & no_usable_e2,
             _outcome(
-                "CORRECT", e1, 0.90, say("Valid citation %s differs from entered %s", e1, shown0)
+                "CORRECT", e1, 0.90, say(CITATION_DIFFERS, e1, shown0)
             ),
         ),
         (
             e2_alone & (confidence >= threshold),
             _outcome(
-                "CORRECT", e2, confidence, say("Catalog suggests %s (score: %s)", e2, shown_score)
+                "CORRECT", e2, confidence, say(CATALOG_SUGGESTS, e2, shown_score)
             ),
         ),
         (
             e2_alone,
             _outcome(
-                "REVIEW", e0, confidence, say("Low catalog confidence (score: %s)", shown_score)
+                "REVIEW", e0, confidence, say(LOW_CONFIDENCE, shown_score)
             ),
         ),
         (
             has1 & has2 & e0_is_e1,
             _outcome(
-                "CONFIRM", e0, 0.88, say("Citation confirms E0=%s, catalog suggests %s", e1, e2)
+                "CONFIRM", e0, 0.88, say(CITATION_AGAINST_CATALOG, e1, e2)
             ),
         ),
         (
@@ -120,12 +137,12 @@ def reconcile(
                 "CONFIRM",
                 e0,
                 0.85,
-                say("Strong catalog confirms E0=%s, citation suggests %s", e2, e1),
+                say(STRONG_CATALOG, e2, e1),
             ),
         ),
         (
             has1 & has2 & e0_is_e2,
-            _outcome("REVIEW", e0, 0.70, say("Conflict: citation=%s, catalog=%s", e1, e2)),
+            _outcome("REVIEW", e0, 0.70, say(CONFLICT, e1, e2)),
         ),
         (
             has1 & has2,
@@ -133,16 +150,16 @@ def reconcile(
                 "REVIEW",
                 e0,
                 0.65,
-                say("All differ: E0=%s, citation=%s, catalog=%s", shown0, e1, e2),
+                say(ALL_DIFFER, shown0, e1, e2),
             ),
         ),
         (
             has0 & ~has2,
-            _outcome("REVIEW", e0, 0.65, say("No citation or catalog match found")),
+            _outcome("REVIEW", e0, 0.65, say(NO_MATCH)),
         ),
     ]
     return _first_rule(
-        rules, _outcome("REVIEW", e0, 0.50, say("Insufficient data for decision"))
+        rules, _outcome("REVIEW", e0, 0.50, say(INSUFFICIENT))
     )
 
 

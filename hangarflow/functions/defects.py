@@ -117,11 +117,18 @@ def combined_text(description: Column, action: Column) -> Column:
     )
 
 
+# --- fixed values: reasons of a verdict --------------------------------------------
+FOUND_INDICATOR = "Defect indicator found: '%s'"
+FOUND_ROUTINE = "Routine maintenance: '%s'"
+FOUND_NOTHING = "Default: no non-defect pattern found"
+# --- end of fixed values ----------------------------------------------------------
+
+
 def verdict_reason(indicator: Column, routine: Column) -> Column:
     return (
-        F.when(indicator != "", F.concat(F.lit("Defect indicator found: '"), indicator, F.lit("'")))
-        .when(routine != "", F.concat(F.lit("Routine maintenance: '"), routine, F.lit("'")))
-        .otherwise(F.lit("Default: no non-defect pattern found"))
+        F.when(indicator != "", F.format_string(FOUND_INDICATOR, indicator))
+        .when(routine != "", F.format_string(FOUND_ROUTINE, routine))
+        .otherwise(F.lit(FOUND_NOTHING))
     )
 
 

@@ -38,10 +38,15 @@ def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
     return df.limit(rows)
 
 
+# --- fixed values: stem of exported result tables -------------------------------------
+RESULT_STEM = "WO_ATA_checked_"
+# --- end of fixed values ---------------------------------------------------------------
+
+
 def write_results(results: DataFrame, folder: str, fmt: str = "parquet") -> str:
     """Write the result table below ``folder`` under a timestamped name."""
     stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
-    path = f"{folder.rstrip('/')}/WO_ATA_checked_{stamp}"
+    path = f"{folder.rstrip('/')}/{RESULT_STEM}{stamp}"
     options = {"header": "true", "escape": '"'} if fmt == "csv" else {}
     results.write.format(fmt).options(**options).save(path)
     return path
