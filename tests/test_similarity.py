@@ -103,6 +103,11 @@ def test_model_and_scores(spark, lines):
     salted = tfidf.cosine_scores(weights, vectors, "id", shuffle=True)
     assert {(r.id, r.ata04): r.score for r in salted.collect()} == want
 
+    # Pruning texts by their reach loses no score.
+    for least in (0.05, 0.3, 0.9):
+        pruned = {(r.id, r.ata04): r.score for r in tfidf.cosine_scores(weights, vectors, "id", least).collect()}
+        assert pruned == {pair: score for pair, score in want.items() if scores[pair] >= least}
+
     # The counted way and the vocabulary-first way agree.
     counted = tfidf.weigh(tfidf.text_terms(asked, "id"), vocabulary, "id")
     assert sorted((r.id, r.term, round(r.weight, 9)) for r in counted.collect()) == sorted(
@@ -219,3 +224,36 @@ def test_queries_without_vectors_and_absent_types(spark):
     assert [(r.query_id, r.chunk_id, r.score) for r in hits] == [(1, 1, 0.5)]
     filled = vector_ops.with_fallback(chunks.withColumn("embedding", F.lit(None).cast("array<float>")), 3).collect()
     assert filled[0].embedding == [0.0, 0.0, 0.0] and filled[0].is_fallback
+
+
+def test_other_stop_words(spark, lines):
+    """A longer list of stop words takes its words, and n-grams over them, out of model and texts."""
+    longer = [*tfidf.ENGLISH_STOP_WORDS, "oil", "fuels"]
+    plain, _ = tfidf.fit(_line_frame(spark, lines), max_features=1000, max_df=1.0)
+    fewer, vectors = tfidf.fit(_line_frame(spark, lines), stop_words=longer, max_features=1000, max_df=1.0)
+    plain, fewer_terms = ({r.term for r in v.collect()} for v in (plain, fewer))
+    assert any("oil" in t.split() for t in plain) and not any({"oil", "fuels"} & set(t.split()) for t in fewer_terms)
+    asked = spark.createDataFrame([(1, "oil fuels oil"), (2, "oil doors")], "id int, text string")
+    weights = tfidf.text_weights(asked, "id", fewer, stop_words=longer)
+    assert {r.id for r in weights.collect()} <= {2}
+    assert {r.id for r in tfidf.cosine_scores(weights, vectors, "id").collect()} <= {2}
+
+
+def test_missing_fallback_and_equal_vectors(spark):
+    """Chunks without a usable vector are not searched; any number of ties goes to the lowest ids."""
+    equal = spark.range(10_000).selectExpr(
+        "id AS chunk_id", "'TSM' AS manual_type", "'21-26' AS ata04", "array(1.0f, 0.0f, 0.0f) AS embedding", "false AS is_fallback"
+    )
+    odd = spark.createDataFrame(
+        [(-1, "TSM", "21-26", None, False), (-2, "TSM", "21-26", [0.0, 0.0, 0.0], True), (-3, "TSM", "32-47", [0.9, 0.0, 0.0], None)],
+        "chunk_id long, manual_type string, ata04 string, embedding array<float>, is_fallback boolean",
+    )
+    queries = spark.createDataFrame(
+        [(1, "21-26", [1.0, 0.0, 0.0]), (2, "32-47", [0.1, 0.0, 0.0]), (3, "21-26", None)],
+        "query_id int, ata04 string, embedding array<float>",
+    )
+    chunks = equal.unionByName(odd)
+    hits = vector_ops.knn_per_type(queries, chunks, k=4).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in hits] == [(1, 0), (1, 1), (1, 2), (1, 3), (2, -3), (2, 0), (2, 1), (2, 2)]
+    own = vector_ops.knn_by_ata(queries, chunks, k=3, prefilter=True).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in own] == [(1, 0), (1, 1), (1, 2), (2, -3)]
