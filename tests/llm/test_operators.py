@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import document_rows, page_urls
+from odd_tables import document_rows, page_urls
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
