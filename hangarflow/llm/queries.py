@@ -144,4 +144,24 @@ best AS (
    GROUP BY c.page_id)
 SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict
   FROM cut LEFT JOIN best USING (page_id)""",
+    "op10_token_group_join": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM split)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT s FROM shingles GROUP BY s HAVING count(*) > 1),
+few AS (SELECT doc_id, s FROM shingles SEMI JOIN shared USING (s)),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM few a JOIN few b ON a.s = b.s AND a.doc_id < b.doc_id
+    JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+   GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, b.y FROM reached r JOIN both_ways b ON b.x = r.y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+  FROM documents d LEFT JOIN sizes USING (doc_id)
+  JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x) c USING (doc_id)""",
 }
