@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hangarflow.llm.texts import carried, text_or_empty
+from hangarflow.llm.texts import carried
 
 HOT_ROWS = 1_000
 HOT_TEXTS = 10_000
@@ -41,8 +41,12 @@ def content_sort(
     """``row`` with text_sha256, keep_id, group_size and kept, one per input row."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
-    content = text_or_empty(text_column)
-    content = normalise(content) if normalise else content
+
+    def normalised(text: Column) -> Column:
+        text = F.coalesce(text.cast("string"), F.lit(""))
+        return normalise(text) if normalise else text
+
+    content = normalised(F.col(text_column))
     chosen = F.max if keep == "largest" else F.min
 
     hot_rows = max(HOT_ROWS, docs.count() // HOT_TEXTS)
@@ -53,17 +57,21 @@ def content_sort(
         .where(F.col("hot_size") > hot_rows)
     )
     keyed = carried(
-        docs, id=F.col(id_column), content=content, digest=F.sha2(content, 256)
+        docs,
+        id=F.col(id_column),
+        head=F.substring(content, 1, SPLITTER_CHARACTERS),
+        digest=F.sha2(content, 256),
     ).join(F.broadcast(hot), "digest", "left")
     salts = F.ceil(F.col("hot_size") / hot_rows)
     ranged = keyed.select(
         "*",
-        F.substring("content", 1, SPLITTER_CHARACTERS).alias("head"),
         F.when(F.col("hot_size").isNotNull() & F.col("id").isNotNull(), F.pmod(F.xxhash64("id"), salts))
         .otherwise(F.lit(0))
         .cast("int")
         .alias("salt"),
     ).repartitionByRange("head", "digest", "salt")
+    # Taken from the row on this side of the shuffle, so each text moves once.
+    ranged = ranged.withColumn("content", normalised(F.col("row").getField(text_column)))
 
     order = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
     # The range partitioning already holds equal keys together, so no second shuffle follows.
