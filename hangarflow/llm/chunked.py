@@ -47,8 +47,10 @@ def byte_characters() -> list[str]:
 class PieceEncoder:
     """Packed ids of texts: each piece is looked up, else encoded and remembered."""
 
-    def __init__(self, cut: Callable[[str], Sequence[str]], encode_piece: Callable[[str], list[int]]):
-        self._cut, self._encode_piece = cut, encode_piece
+    def __init__(
+        self, cut: Callable[[str], Sequence[str]], encode_piece: Callable[[str], list[int]], remembered: int
+    ):
+        self._cut, self._encode_piece, self._remembered = cut, encode_piece, remembered
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -67,7 +69,7 @@ class PieceEncoder:
         if packed is None:
             packed = array("I", self._encode_piece(piece)).tobytes()
         if len(piece) <= LONGEST_REMEMBERED:
-            if len(self._young) >= REMEMBERED_PIECES:
+            if len(self._young) >= self._remembered:
                 self._old, self._young = self._young, {}
             self._young[piece] = packed
         return packed
@@ -82,6 +84,7 @@ class TextEncoder:
         latin_cut: Callable[[str], Sequence[str]],
         any_cut: Callable[[str], Sequence[str]],
         fold: Callable[[str], str] | None = None,
+        remembered: int = REMEMBERED_PIECES,
     ):
         """``fold`` is the tokenizer's own folding of case; its result is cut when it is Latin too."""
         self._fold = fold
@@ -93,8 +96,8 @@ class TextEncoder:
         def whole_chunk(chunk: str) -> list[int]:
             return tokenizer.encode(chunk, add_special_tokens=False).ids
 
-        self._latin = PieceEncoder(latin_cut, one_match)
-        self._any = PieceEncoder(any_cut, whole_chunk)
+        self._latin = PieceEncoder(latin_cut, one_match, remembered)
+        self._any = PieceEncoder(any_cut, whole_chunk, remembered)
 
     def encode(self, text: str) -> bytes:
         if BEYOND_LATIN.search(text):

@@ -39,6 +39,8 @@ RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
 # Token addresses are looked up through pages of this many tokens.
 PAGE_TOKENS = 1 << 16
+# Pieces in each generation of a worker's table; one worker a task leaves room for many.
+REMEMBERED_PIECES = 400_000
 
 SEGMENT_SCHEMA = (
     "part int, segment int, first long, n_tokens long, doc_ids array<long>, doc_ends array<long>, "
@@ -59,7 +61,7 @@ def text_encoder(path: str) -> TextEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return TextEncoder(tokenizer, _LATIN_MATCH.findall, _CHUNK.findall, str.lower)
+    return TextEncoder(tokenizer, _LATIN_MATCH.findall, _CHUNK.findall, str.lower, REMEMBERED_PIECES)
 
 
 # ---------------------------------------------------------------------------
