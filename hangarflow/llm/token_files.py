@@ -40,7 +40,7 @@ SEGMENT_TOKENS = 1 << 20
 # Token addresses are looked up through pages of this many tokens.
 PAGE_TOKENS = 1 << 16
 # Pieces in each generation of a worker's table; one worker a task leaves room for many.
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 700_000
 
 SEGMENT_SCHEMA = (
     "part int, segment int, first long, n_tokens long, doc_ids array<long>, doc_ends array<long>, "
