@@ -42,7 +42,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Each document as often as the mix takes it, to the nearest whole number of copies."""
     sized = mixture.sizes(docs)
     sources = mixture.targets(sized, SOURCE_WEIGHTS, MIX_SHARE)
-    taken = mixture.taken_words(mixture.mix(sized, sources, MIX_SHARE), sources)
+    taken = mixture.taken_words(mixture.mix(sized, sources), sources)
     return mixture.repeat_documents(docs, taken)
 
 

@@ -2,10 +2,16 @@
 
 The mix is a sequence of slots. Slot ``j`` takes the golden-ratio point
 ``frac((j + 1) / phi)`` and falls into the source whose share of the cumulative
-targets holds it, so every stretch of slots carries the shares almost exactly.
-Slots are ranked per source. Each source's documents stand in a hash-shuffled
-order and are cut into blocks of equal word counts; the r-th slot of a source
-takes its r-th block, starting over after the last, ``MAX_PASSES`` times at most.
+targets, counted in blocks, holds it, so every stretch of slots carries the shares
+almost exactly. Slots are ranked per source. Each source's documents stand in a
+hash-shuffled order and are cut into blocks of equal word counts; the r-th slot of
+a source takes its r-th block, starting over after the last, ``MAX_PASSES`` times
+at most.
+
+A block holds 1/64 of the source's target, between 1 and ``block_words`` words, and
+each source gets the slots of its quota exactly: what the schedule gives beyond it
+is left out, what is missing follows at the end. So a source misses its target by
+half a block at most, however small it is.
 
 Running sums are taken in two levels, inside bounded hash buckets and then over
 bucket totals, so a source with a third of all rows never meets in one task.
@@ -31,6 +37,7 @@ MAX_PASSES = 2
 INVERSE_PHI = (math.sqrt(5) - 1) / 2
 BUCKET_ROWS = 4_096
 GRID = 4_096
+LEAST_BLOCKS = 64  # in a target of at least as many words
 
 
 def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
@@ -45,10 +52,10 @@ def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     )
 
 
-def targets(sized: DataFrame, weights: Sequence[float], share: float) -> DataFrame:
-    """One row per source: source_size, target, and its interval of the cumulative shares.
+def targets(sized: DataFrame, weights: Sequence[float], share: float, block_words: int = 128) -> DataFrame:
+    """One row per source: source_size, target, block_words, quota in slots, and its interval of the cumulative quotas.
 
-    A target stops at MAX_PASSES times the source's size and the rest is shared
+    Written once because the mix and its counts both read it. A target stops at MAX_PASSES times the source's size and the rest is shared
     again by weight: with sources ordered by size per weight, the level of the
     others is the largest of "what is left over the weights that are left".
     """
@@ -68,14 +75,28 @@ def targets(sized: DataFrame, weights: Sequence[float], share: float) -> DataFra
         .withColumn("level", F.max((F.col("total") - F.col("before")) / F.col("weights_left")).over(everything))
         .withColumn("target", F.least(limit, F.greatest(F.lit(0.0), F.col("level") * F.col("weight"))))
     )
+    words = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("target") / LEAST_BLOCKS))).cast("long")
+    # Whole passes take every block, the last one of a pass with fewer words than the others.
+    passes = F.floor(F.col("target") / F.col("source_size"))
+    rest = F.round((F.col("target") - passes * F.col("source_size")) / F.col("block_words"))
+    quota = F.when(F.col("source_size") > 0, passes * _blocks("block_words") + rest).otherwise(0).cast("long")
     by_place = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        level.withColumn("upto", F.sum("target").over(by_place))
-        .withColumn("all_targets", F.max("upto").over(everything))
-        .withColumn("high", F.when(F.col("all_targets") > 0, F.col("upto") / F.col("all_targets")).otherwise(F.lit(0.0)))
+    planned = (
+        level.withColumn("block_words", words)
+        .withColumn("quota", quota)
+        .withColumn("upto", F.sum("quota").over(by_place))
+        .withColumn("all_slots", F.max("upto").over(everything))
+        .withColumn("high", F.when(F.col("all_slots") > 0, F.col("upto") / F.col("all_slots")).otherwise(F.lit(0.0)))
         .withColumn("low", F.lag("high", 1, 0.0).over(Window.orderBy("place")))
-        .select("source", "source_size", "target", "low", "high")
     )
+    return stored(
+        planned.select("source", "source_size", "target", "block_words", "quota", "low", "high"), "mixture-targets"
+    )
+
+
+def _blocks(block_words: int | str) -> Column:
+    words = F.col(block_words) if isinstance(block_words, str) else F.lit(block_words)
+    return F.ceil(F.col("source_size") / words)
 
 
 def _running(df: DataFrame, keys: list[str], bucket: str, order: Sequence[Column], value: Column) -> DataFrame:
@@ -96,33 +117,54 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: Sequence[Column
     )
 
 
-def schedule(spark, sources: DataFrame, slots: int, block_words: int) -> DataFrame:
-    """slot, source, rank (from 0) and block of each slot."""
+def schedule(spark, sources: DataFrame, slots: int, block_words: int | str, grid: int = GRID) -> DataFrame:
+    """slot, source, rank (from 0) and block of each slot; ``block_words`` may name a column of ``sources``."""
     point = F.pmod((F.col("slot") + 1) * F.lit(INVERSE_PHI), F.lit(1.0))
     points = spark.range(slots).select(
-        F.col("id").alias("slot"), point.alias("point"), F.floor(point * GRID).cast("int").alias("cell")
+        F.col("id").alias("slot"), point.alias("point"), F.floor(point * grid).cast("int").alias("cell")
     )
     # Each interval lies in the grid cells it touches: one row per source plus one per cell.
     cells = sources.where(F.col("high") > F.col("low")).select(
         "source",
-        "source_size",
+        _blocks(block_words).alias("blocks"),
         "low",
         "high",
-        F.explode(F.sequence(F.floor(F.col("low") * GRID).cast("int"), F.floor(F.col("high") * GRID).cast("int"))).alias("cell"),
+        F.explode(F.sequence(F.floor(F.col("low") * grid).cast("int"), F.floor(F.col("high") * grid).cast("int"))).alias("cell"),
     )
     placed = points.join(cells, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-    chunked = placed.select("slot", "source", "source_size", F.floor(F.col("slot") / BUCKET_ROWS).alias("chunk"))
+    chunked = placed.select("slot", "source", "blocks", F.floor(F.col("slot") / BUCKET_ROWS).alias("chunk"))
     ranked = _running(chunked, ["source"], "chunk", [F.col("slot")], F.lit(1))
-    blocks = F.ceil(F.col("source_size") / block_words)
-    return ranked.where(F.col("before") < blocks * MAX_PASSES).select(
-        "slot", "source", F.col("before").alias("rank"), F.pmod(F.col("before"), blocks).alias("block")
+    return ranked.where(F.col("before") < F.col("blocks") * MAX_PASSES).select(
+        "slot", "source", F.col("before").alias("rank"), F.pmod(F.col("before"), F.col("blocks")).alias("block")
+    )
+
+
+def settle(slots: DataFrame, sources: DataFrame, end: int) -> DataFrame:
+    """The slots with exactly ``quota`` of each source: later ones go, missing ones are numbered from ``end`` on.
+
+    The schedule is off by a few slots a source, so the added rows stay near the number of sources.
+    """
+    quotas = sources.select(F.col("source").alias("source_"), "quota", _blocks("block_words").alias("blocks"))
+    same = F.col("source").eqNullSafe(F.col("source_"))
+    within = slots.join(quotas, same).where(F.col("rank") < F.col("quota")).select("slot", "source", "rank", "block")
+    placed = slots.groupBy("source").agg(F.count(F.lit(1)).alias("placed"))
+    found = F.coalesce(F.col("placed"), F.lit(0).cast("long"))
+    lacking = quotas.join(placed, same, "left").where(found < F.col("quota"))
+    ranks = lacking.select(
+        F.col("source_").alias("source"), "blocks", F.explode(F.sequence(found, F.col("quota") - 1)).alias("rank")
+    )
+    number = F.row_number().over(Window.orderBy("rank", F.col("source").asc_nulls_last()))
+    added = ranks.select(
+        (number + F.lit(end - 1)).cast("long").alias("slot"), "source", "rank", F.pmod("rank", "blocks").alias("block")
     )
+    return within.unionByName(added)
 
 
-def pieces(sized: DataFrame, block_words: int) -> DataFrame:
+def pieces(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Documents cut along their source's blocks: start, block, first word and words of each piece.
 
-    A document without words is one row whose block is null.
+    What lies behind the last block that the quota reaches is one piece. A document
+    without words is one row whose block is null.
     """
     rows = sized.count()
     shuffled = sized.select(
@@ -131,25 +173,32 @@ def pieces(sized: DataFrame, block_words: int) -> DataFrame:
     ).withColumn("bucket", F.pmod("shuffle", F.lit(max(1, rows // BUCKET_ROWS))))
     order = [F.col("shuffle"), F.col("doc_id"), F.col("size")]
     placed = _running(shuffled, ["source"], "bucket", order, F.col("size")).withColumnRenamed("before", "start")
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    cut = placed.select(
+    plan = sources.select(F.col("source").alias("source_"), "block_words", F.least("quota", _blocks("block_words")).alias("used"))
+    planned = placed.join(plan, F.col("source").eqNullSafe(F.col("source_")))
+    words = F.col("block_words")
+    first = F.least(F.col("used"), F.floor(F.col("start") / words))
+    last = F.least(F.col("used"), F.floor((F.col("start") + F.col("size") - 1) / words))
+    cut = planned.select(
         "doc_id",
         "source",
         "size",
         "start",
+        "block_words",
+        "used",
         F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))).alias("block"),
     )
-    begin = F.greatest(F.col("start"), F.col("block") * block_words)
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    return cut.select("*", (begin - F.col("start")).alias("first_word"), (end - begin).alias("words"))
+    begin = F.greatest(F.col("start"), F.col("block") * words)
+    upto = F.col("start") + F.col("size")
+    end = F.when(F.col("block") < F.col("used"), F.least(upto, (F.col("block") + 1) * words)).otherwise(upto)
+    return cut.select("*", (begin - F.col("start")).alias("first_word"), (end - begin).alias("words")).drop("block_words", "used")
 
 
-def mix(sized: DataFrame, sources: DataFrame, share: float, block_words: int = 128) -> DataFrame:
+def mix(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """The mix: one row per slot and piece of a document, plus one row with a null slot for each piece never taken."""
     spark = sized.sparkSession
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    slots = schedule(spark, sources, math.ceil(total * share / block_words), block_words)
-    cut = pieces(sized, block_words).alias("p")
+    end, count = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).first()
+    slots = settle(schedule(spark, sources, end, "block_words", max(GRID, count)), sources, end)
+    cut = pieces(sized, sources).alias("p")
     same = F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.block") == F.col("s.block"))
     return cut.join(slots.alias("s"), same, "left").select("p.*", "s.slot", "s.rank")
 

@@ -63,7 +63,7 @@ def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixture.sizes(_table(spark, sf_dir, "documents"))
     sources = mixture.targets(sized, SOURCE_WEIGHTS, MIX_SHARE)
-    mixed = mixture.mix(sized, sources, MIX_SHARE)
+    mixed = mixture.mix(sized, sources)
     return mixture.taken_words(mixed, sources).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -178,6 +178,29 @@ def test_schedule_is_even(spark):
         assert [r["rank"] for r in slots if r["source"] == s] == list(range(sum(r["source"] == s for r in slots)))
 
 
+def test_mixture_of_tiny_sources(spark):
+    """Each target is met to half a block of 1/64 of it, by sources of few words and by large ones, in one or more passes."""
+    sizes = {f"tiny{at:03}": [7, 1, 12] for at in range(300)} | {f"word{at}": [1] for at in range(20)}
+    sizes |= {f"some{at}": [90 + at] * 3 for at in range(20)} | {None: [3, 4], "big": [1000] * 100}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    rows = [(f"{s}-{at}", s, n) for s in names for at, n in enumerate(sizes[s])]
+    sized = spark.createDataFrame(rows, "doc_id string, source string, size int")
+    for weights, share in (((5, 2, 1), 0.5), ((1,), 1.5), ((5, 2, 1), 2.0)):
+        total = {s: sum(n) for s, n in sizes.items()}
+        given = {s: weights[at % len(weights)] for at, s in enumerate(names)}
+        want = _targets(total, given, share * sum(total.values()) * (1 - 1e-12))
+        sources = mixture.targets(sized, weights, share)
+        mixed = mixture.mix(sized, sources)
+        taken = collections.Counter()
+        for r in mixture.taken_words(mixed, sources).collect():
+            taken[r["source"]] += r.taken
+            assert r.taken <= 2 * r["size"]
+        for s in names:
+            assert abs(taken[s] - want[s]) <= max(0.5, want[s] / 128) + 1e-6, s
+        slots = [r.slot for r in mixed.where("slot IS NOT NULL").select("slot", "source").distinct().collect()]
+        assert len(slots) == len(set(slots)) == sources.agg(F.sum("quota")).first()[0]
+
+
 # --- 5 ---------------------------------------------------------------------------------
 def test_byte_bpe(spark, odd_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
