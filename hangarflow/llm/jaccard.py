@@ -27,7 +27,8 @@ the sets themselves.
 6. *Components* over groups and classes.
 
 Hot classes, hot shingles and large groups: copies count once per block, a shingle
-is counted from packed lists, and large groups are opened in chunks.
+is one entry per block with the number of its sets there, whatever that number is, and
+large groups are opened in chunks.
 
 Defined cases: null or blank text has an empty set, links with nothing and is its own
 component. With fewer than five words, the whole sequence is one shingle. Rows that
@@ -126,35 +127,31 @@ def _documents(docs: DataFrame, bits: int) -> DataFrame:
         yield from _half_entries(held, sequence, bits)
 
     def merge(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        if bucket >= _DOCUMENTS:
-            return group.select(["bucket", "block", "n", "counts"])
+        if group.column("bucket")[0].as_py() >= _DOCUMENTS:
+            return group
         keys = [np.cumsum(K.from_planes(k, WIDTH // 8), dtype=np.uint64) for k in group.column("keys").to_pylist()]
-        owners = [K.from_planes(o, 3).astype(np.int64) for o in group.column("counts").to_pylist()]
-        _, place, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        shared = times[place] > 1
+        counts = np.concatenate([K.unpack(c) for c in group.column("counts").to_pylist()])
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        shared = (np.bincount(place, weights=counts.astype(np.float64)) > 1)[place]
         ends = np.cumsum([len(k) for k in keys])[:-1]
-        counts = [
-            K.planes(np.bincount(owner[part]), 3) if part.any() else b""
-            for owner, part in zip(owners, np.split(shared, ends), strict=True)
-        ]
-        return pa.table(
-            {"bucket": group.column("bucket"), "block": group.column("block"), "n": group.column("n"), "counts": pa.array(counts, pa.binary())}
+        bits_of = [np.packbits(part).tobytes() for part in np.split(shared, ends)]
+        return group.set_column(group.column_names.index("keys"), "keys", pa.array([b""] * len(bits_of), pa.binary())).set_column(
+            group.column_names.index("counts"), "counts", pa.array(bits_of, pa.binary())
         )
 
     listed_rows = docs.mapInArrow(listed, K.ENTRY_SCHEMA)
-    merged = listed_rows.groupBy("bucket").applyInArrow(merge, "bucket long, block long, n long, counts binary")
-    per_block = merged.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("replies"))
+    merged = listed_rows.groupBy("bucket").applyInArrow(merge, K.ENTRY_SCHEMA)
+    per_block = merged.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "keys", "counts")).alias("replies"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in K.rows_of(batches):
-            (packed,) = [r["counts"] for r in row["replies"] if r["bucket"] >= _DOCUMENTS]
-            table = np.frombuffer(packed, _DOCUMENT)
-            shared = np.zeros(len(table), np.int64)
-            for reply in row["replies"]:
-                if reply["bucket"] < _DOCUMENTS and reply["counts"]:
-                    found = K.from_planes(reply["counts"], 3).astype(np.int64)
-                    shared[: len(found)] += found
+            (about,) = [r for r in row["replies"] if r["bucket"] >= _DOCUMENTS]
+            table = np.frombuffer(about["counts"], _DOCUMENT)
+            own = sorted((r["bucket"], r["n"], r["counts"]) for r in row["replies"] if r["bucket"] < _DOCUMENTS)
+            bits_of = [np.unpackbits(np.frombuffer(packed, np.uint8), count=many) for _, many, packed in own]
+            often, owner = _unpack_owners(about["keys"])
+            in_others = np.repeat(np.concatenate([np.zeros(0, np.uint8), *bits_of]), often).astype(bool)
+            shared = np.bincount(owner[in_others], minlength=len(table))
             n = table["n"].astype(np.int64)
             # A copy inside the block was counted with its first occurrence.
             passes = shared[table["first"]] >= table["half"] - (n - needed(n))
@@ -174,8 +171,21 @@ def _documents(docs: DataFrame, bits: int) -> DataFrame:
 _DOCUMENT = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("n", "<u4"), ("half", "<u4"), ("first", "<u4"), ("digest", "u1", 16)])
 
 
+def _pack_owners(often: np.ndarray, owner: np.ndarray) -> bytes:
+    packed = K.pack(often)
+    return len(packed).to_bytes(8, "little") + packed + K.pack(owner)
+
+
+def _unpack_owners(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    end = 8 + int.from_bytes(packed[:8], "little")
+    return K.unpack(packed[8:end]).astype(np.int64), K.unpack(packed[end:]).astype(np.int64)
+
+
 def _half_entries(held: list[tuple], sequence: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """A block's rows: its documents, and the sampled half of each distinct set with the document's number."""
+    """A block's rows: its documents with the holders of each shingle, and the distinct shingles of the sampled half.
+
+    A shingle is one entry with the number of distinct sets that hold it; which ones stays with the block.
+    """
     if not held:
         return
     block = (TaskContext.get().partitionId() << 24) + sequence
@@ -188,34 +198,20 @@ def _half_entries(held: list[tuple], sequence: int, bits: int) -> Iterator[pa.Re
         if first == at:
             tokens.append(half)
             owners.append(np.full(len(half), at, np.int64))
+    keys, owner = np.concatenate(tokens), np.concatenate(owners)
+    owner = owner[np.argsort(keys, kind="stable")]
+    keys, often = np.unique(keys, return_counts=True)
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([_DOCUMENTS + block], pa.int64()),
             pa.array([block], pa.int64()),
             pa.array([len(held)], pa.int64()),
-            pa.array([b""], pa.binary()),
+            pa.array([_pack_owners(often, owner)], pa.binary()),
             pa.array([table.tobytes()], pa.binary()),
         ],
         ["bucket", "block", "n", "keys", "counts"],
     )
-    keys, owner = np.concatenate(tokens), np.concatenate(owners)
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    inside = (keys << np.uint64(bits)) >> np.uint64(64 - WIDTH)
-    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    used = np.flatnonzero(np.diff(cuts))
-    parts = [slice(cuts[b], cuts[b + 1]) for b in used]
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(used, pa.int64()),
-            pa.array(np.full(len(used), block), pa.int64()),
-            pa.array([p.stop - p.start for p in parts], pa.int64()),
-            pa.array([K.planes(np.diff(inside[p], prepend=np.uint64(0)), WIDTH // 8) for p in parts], pa.binary()),
-            pa.array([K.planes(owner[p], 3) for p in parts], pa.binary()),
-        ],
-        ["bucket", "block", "n", "keys", "counts"],
-    )
+    yield K.entries(block, 0, keys, often, bits, WIDTH)
 
 
 # ---------------------------------------------------------------------------

@@ -420,6 +420,28 @@ def test_jaccard_join_with_small_parts(spark, monkeypatch, small):
     assert counted(jaccard.connect(docs).collect()) == counted(_components(rows))
 
 
+def test_hot_shingles_are_one_entry_a_block(monkeypatch):
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr(jaccard, "TaskContext", Task)
+    hot, own = np.arange(2, 12, 2, dtype=np.uint64) << np.uint64(40), np.uint64(1) << np.uint64(20)
+    sets = [np.r_[np.uint64(at + 1) * own, hot] for at in range(500)]
+    held = [(at, len(s), s, jaccard._digest(s)) for at, s in enumerate(sets)]
+    about, entries = jaccard._half_entries(held + held, 0, 0)
+    (keys,), (counts,) = entries.column("keys").to_pylist(), entries.column("counts").to_pylist()
+    assert entries.column("n").to_pylist() == [505] and len(keys) == 505 * jaccard.WIDTH // 8
+    assert jaccard.K.unpack(counts).tolist() == [1] * 500 + [500] * 5
+    often, owner = jaccard._unpack_owners(about.column("keys")[0].as_py())
+    assert often.tolist() == [1] * 500 + [500] * 5 and owner.tolist() == [*range(500)] * 6
+
+
 # --- pipeline ---------------------------------------------------------------------------
 def test_pipeline(spark, odd_dir):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
