@@ -17,9 +17,11 @@ from hangarflow.session import stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without a letter go.
+    """Documents with a letter in their text; null texts and texts without a letter go.
 
-    Learned from the documents' own ``lang``. If no row has one, only texts without letters go.
+    That is the only rejection: the operator calls just these texts undetermined, so neither the
+    predicted language nor its score, learned from the documents' own ``lang``, drops another row.
+    The filters are fitted and asked over all texts; the rows equal those of a search for a letter.
     """
     filters = language_id.fit(docs)
     if not filters.languages:
