@@ -8,7 +8,9 @@ match that is itself a token is taken whole. Texts travel in Arrow batches.
 Decoding looks the stand-ins up in the reversed byte table. A token may end inside
 a character, so bytes are joined for the whole document before they are read as
 UTF-8; ``token_spans`` gives the byte and character offsets of every token, where
-a character split over tokens counts for the token with its first byte.
+a character split over tokens counts for the token with its first byte. Texts are
+cut before encoding only for the pattern SPLIT; other patterns may match over any
+cut and get the whole text.
 
 Defined cases: null text is empty, an empty text has no ids and decodes to no
 bytes. Special-token strings are ordinary text. Extra columns stay in ``row``.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -77,10 +80,20 @@ def bpe_model(path: str, pattern: str):
     return tokenizer
 
 
+class WholeEncoder:
+    """Packed ids of texts, each encoded by the library in one piece."""
+
+    def __init__(self, tokenizer):
+        self._tokenizer = tokenizer
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 @cache
-def text_encoder(path: str, pattern: str) -> TextEncoder:
-    latin_cut = _LATIN_MATCH.findall if pattern == SPLIT else _CHUNK.findall
-    return TextEncoder(bpe_model(path, pattern), latin_cut, _CHUNK.findall)
+def text_encoder(path: str, pattern: str) -> TextEncoder | WholeEncoder:
+    model = bpe_model(path, pattern)
+    return TextEncoder(model, _LATIN_MATCH.findall, _CHUNK.findall) if pattern == SPLIT else WholeEncoder(model)
 
 
 def _decoded(ids: pa.ListArray, table: tuple[bytes, ...]) -> pa.Array:
@@ -92,16 +105,24 @@ def _decoded(ids: pa.ListArray, table: tuple[bytes, ...]) -> pa.Array:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, text_column: str = "text", decoded: bool = False
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    text_column: str = "text",
+    decoded: bool = False,
+    offsets: bool = False,
 ) -> DataFrame:
     """``row`` with ``ids``, and with ``decoded`` also the bytes that these ids decode to.
 
+    ``offsets`` adds ``byte_offsets`` and ``char_offsets``: where each token begins, and the text's end last.
     ``path`` must name the rank file on every executor.
     """
     source = carried(docs, content=text_or_empty(text_column))
     fields = [source.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
     if decoded:
         fields.append(T.StructField("decoded", T.BinaryType()))
+    if offsets:
+        fields += [T.StructField(name, T.ArrayType(T.IntegerType(), False)) for name in ("byte_offsets", "char_offsets")]
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +133,9 @@ def encode(
                 columns = [part.column("row"), ids]
                 if decoded:
                     columns.append(_decoded(ids, token_bytes(path)))
+                if offsets:
+                    spans = [token_spans(np.array(own, np.int64), path) for own in ids.to_pylist()]
+                    columns += [pa.array(kind, pa.list_(pa.int32())) for kind in zip(*spans, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return source.mapInArrow(run, schema)
@@ -136,7 +160,8 @@ def token_spans(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     A character belongs to the token with its first byte, so a token that holds
     only continuation bytes spans no character.
     """
-    pieces = [token_bytes(path)[i] for i in ids]
+    table = token_bytes(path)
+    pieces = [table[i] for i in ids]
     byte_offsets = np.cumsum([0, *map(len, pieces)])
     first_bytes = (np.frombuffer(b"".join(pieces), np.uint8) & 0xC0) != 0x80
     return byte_offsets, np.r_[0, np.cumsum(first_bytes)][byte_offsets]

@@ -245,6 +245,27 @@ def test_runs_and_every_character():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode_ordinary(text), ascii(text)
 
 
+@pytest.mark.parametrize("pattern", [r"\p{L}+'?\p{L}*|[^\p{L}]", r"[\s\S]{1,7}", public_tokenizers.PATTERN])
+def test_ids_and_offsets_of_any_pattern(spark, pattern):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {t: i for i, t in enumerate(byte_bpe.token_bytes(path))}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "don't, I said  twice", "naïve 😀😀 漢字\n x", " a\tb ", "word " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = byte_bpe.encode(docs, path, pattern, offsets=True).select("row.text", "ids", "byte_offsets", "char_offsets").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = r.text or ""
+        assert r.ids == library.encode_ordinary(text), text
+        in_bytes, in_characters = [0], [0]
+        for token in r.ids:
+            part = library.decode_single_token_bytes(token)
+            in_bytes.append(in_bytes[-1] + len(part))
+            in_characters.append(in_characters[-1] + sum(byte & 0xC0 != 0x80 for byte in part))
+        assert (r.byte_offsets, r.char_offsets) == (in_bytes, in_characters)
+        assert (in_bytes[-1], in_characters[-1]) == (len(text.encode()), len(text))
+
+
 # --- 6 ---------------------------------------------------------------------------------
 @pytest.mark.parametrize("hot_rows", [1_000, 5])
 def test_exact_dedup(spark, odd_dir, monkeypatch, hot_rows):
