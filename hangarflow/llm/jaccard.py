@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from hangarflow.llm import key_counts as K
 from hangarflow.llm.components import components
 from hangarflow.llm.interpolation import hashed_words
-from hangarflow.llm.texts import text_or_empty
+from hangarflow.llm.texts import carried, rows_again, text_or_empty
 from hangarflow.session import stored
 
 SHINGLE_WORDS = 5
@@ -506,7 +506,19 @@ def _smallest(joined: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows of ``docs`` that name their component, and rows without identifier."""
-    named = connect(docs, id_column, text_column).where("component_id = doc_id").select(F.col("doc_id").alias("doc_id_"))
-    kept = docs.join(named.distinct(), F.col(id_column) == F.col("doc_id_"), "left_semi")
-    return kept.unionByName(docs.where(F.col(id_column).isNull()))
+    """One row of each component of rows: the one with the smallest identifier, null last.
+
+    Rows are numbered, so identifiers may be missing or repeated: near copies among such rows leave
+    one row too. Rows of one identifier whose texts do not link all stay. Between equal identifiers
+    the hash of the text decides. Rows without words stay.
+    """
+    numbered = stored(
+        carried(docs, number=F.monotonically_increasing_id(), id=F.col(id_column), hash=F.xxhash64(text_or_empty(text_column))),
+        "jaccard-rows",
+    )
+    texts = numbered.select("number", F.col("row").getField(text_column).alias("text"))
+    named = connect(texts, "number", "text").select(F.col("doc_id").alias("number"), "component_id")
+    order = F.struct(F.col("id").isNull(), "id", "hash", "number")
+    keys = numbered.select("number", order.alias("order"))
+    first = named.join(keys, "number").groupBy("component_id").agg(F.min("order").getField("number").alias("number"))
+    return rows_again(numbered.join(first, "number", "left_semi"))

@@ -463,6 +463,24 @@ def test_hot_shingles_are_one_entry_a_block(monkeypatch):
     assert often.tolist() == [1] * 500 + [500] * 5 and owner.tolist() == [*range(500)] * 6
 
 
+def test_one_of_each_without_identifiers(spark):
+    base, other = [f"w{at}" for at in range(60)], [f"v{at}" for at in range(60)]
+
+    def near(words, at):
+        return " ".join([*words[:at], "edit", *words[at + 1 :]])
+
+    rows = [(None, near(base, at), "x") for at in range(0, 60, 9)]  # near copies, none identified
+    rows += [(None, near(other, 0), "x"), (4, near(other, 30), "x"), (9, near(other, 50), "x")]
+    rows += [(4, "a text of its own under an identifier in use", "x"), (None, None, "x"), (None, "", "x"), (12, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number string").repartition(3)
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sum((r.text or "").startswith("w") or " w1 " in (r.text or "") for r in kept.collect()) == 1
+    rest = [(i, t) for i, t in found if " w1 " not in (t or "") and not (t or "").startswith("w")]
+    assert counted(rest) == counted([(4, near(other, 30)), (4, rows[10][1]), (None, None), (None, ""), (12, " ")])
+
+
 # --- pipeline ---------------------------------------------------------------------------
 def test_pipeline(spark, odd_dir):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
