@@ -8,9 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hangarflow.llm import byte_bpe, dimension_scan, exact_dedup, interpolation, jaccard, language_id, mixture, token_files, toxicity, url_rules
+from hangarflow.llm import (
+    byte_bpe,
+    dimension_scan,
+    exact_dedup,
+    interpolation,
+    jaccard,
+    language_id,
+    mixture,
+    quality_rules,
+    token_files,
+    toxicity,
+    url_rules,
+    vector_codes,
+)
 from hangarflow.llm.texts import bucket_of_id
-from hangarflow.session import new_path
+from hangarflow.session import new_path, stored
 
 END_OF_DOCUMENT = 1
 # --- fixed values: the URL rules and the weights of the sources -------------------
@@ -109,6 +122,37 @@ def op10_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.connect(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    rows = stored(
+        coded.rows.select(F.col("row.vec_id").alias("vec_id"), F.col("row.label").alias("label"), "code", "error"),
+        "op11-codes",
+    )
+    by_label = rows.groupBy("label").agg(F.sum("error").alias("label_error"))
+    joined = rows.alias("r").join(by_label.alias("l"), F.col("r.label").eqNullSafe(F.col("l.label")))
+    return joined.select(
+        "r.vec_id",
+        "r.code",
+        "r.error",
+        F.col("l.label_error").cast("long").alias("label_error"),
+        F.lit(coded.digest()).alias("codebooks_sha256"),
+    )
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -122,6 +166,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_dimension_scan,
         op9_url_rules,
         op10_token_group_join,
+        op11_vector_codes,
+        op12_quality_rules,
     )
 }
 
@@ -164,4 +210,83 @@ reached AS (SELECT doc_id AS x, doc_id AS y FROM documents
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
   FROM documents d LEFT JOIN sizes USING (doc_id)
   JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x) c USING (doc_id)""",
+    "op11_vector_codes": """
+WITH kept AS (
+  SELECT row_number() OVER () AS rk, vec_id, label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+   WHERE embedding IS NOT NULL
+     AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < 4096)), true)),
+dims AS (SELECT greatest(1, (coalesce(max(len(v)), 0) + 15) // 16) AS p FROM kept),
+cells AS (
+  SELECT rk, (i - 1) // p AS part, (i - 1) % p AS pos, coalesce(v[i], 0) AS x
+    FROM (SELECT k.rk, k.v, d.p, unnest(range(1, 16 * d.p + 1)) AS i FROM kept k CROSS JOIN dims d)),
+firsts AS (
+  SELECT rk, entry FROM (SELECT rk, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry FROM kept)
+   WHERE entry < 64),
+c0 AS (SELECT part, entry, pos, x AS c FROM cells JOIN firsts USING (rk)),
+d1 AS (
+  SELECT a.rk, a.part, b.entry, sum((a.x - b.c) * (a.x - b.c)) AS d
+    FROM cells a JOIN c0 b USING (part, pos) GROUP BY a.rk, a.part, b.entry),
+a1 AS (SELECT rk, part, entry, d FROM d1 QUALIFY row_number() OVER (PARTITION BY rk, part ORDER BY d, entry) = 1),
+s1 AS (
+  SELECT a.part, a.entry, c.pos, sum(c.x) AS s, count(*) AS n
+    FROM a1 a JOIN cells c USING (rk, part) GROUP BY a.part, a.entry, c.pos),
+c1 AS (
+  SELECT part, entry, pos, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, c) AS c
+    FROM c0 LEFT JOIN s1 USING (part, entry, pos)),
+d2 AS (
+  SELECT a.rk, a.part, b.entry, sum((a.x - b.c) * (a.x - b.c)) AS d
+    FROM cells a JOIN c1 b USING (part, pos) GROUP BY a.rk, a.part, b.entry),
+a2 AS (SELECT rk, part, entry, d FROM d2 QUALIFY row_number() OVER (PARTITION BY rk, part ORDER BY d, entry) = 1),
+s2 AS (
+  SELECT a.part, a.entry, c.pos, sum(c.x) AS s, count(*) AS n
+    FROM a2 a JOIN cells c USING (rk, part) GROUP BY a.part, a.entry, c.pos),
+c2 AS (
+  SELECT part, entry, pos, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, c) AS c
+    FROM c1 LEFT JOIN s2 USING (part, entry, pos)),
+d3 AS (
+  SELECT a.rk, a.part, b.entry, sum((a.x - b.c) * (a.x - b.c)) AS d
+    FROM cells a JOIN c2 b USING (part, pos) GROUP BY a.rk, a.part, b.entry),
+a3 AS (SELECT rk, part, entry, d FROM d3 QUALIFY row_number() OVER (PARTITION BY rk, part ORDER BY d, entry) = 1),
+fin AS (SELECT rk, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, sum(d) AS error FROM a3 GROUP BY rk),
+coded AS (SELECT k.vec_id, k.label, f.code, f.error::BIGINT AS error FROM kept k JOIN fin f USING (rk))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c2) AS codebooks_sha256
+  FROM coded""",
+    "op12_quality_rules": r"""
+WITH sp AS (
+  SELECT row_number() OVER () AS rk, doc_id, t,
+         list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+tri AS (
+  SELECT rk, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+    FROM (SELECT rk, w, unnest(range(1, len(w) - 1)) AS i FROM sp)),
+rep AS (SELECT rk, g FROM tri GROUP BY rk, g HAVING count(*) >= 2),
+cov AS (
+  SELECT rk, count(DISTINCT i + k) AS n_repeat_words
+    FROM tri JOIN rep USING (rk, g) CROSS JOIN (VALUES (0), (1), (2)) v(k) GROUP BY rk),
+fig AS (
+  SELECT rk, doc_id, len(w) AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines,
+         len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_alpha,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS n_ellipsis,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[•*-]'))) AS n_bullets
+    FROM sp),
+judged AS (
+  SELECT fig.*, coalesce(n_repeat_words, 0) AS n_rep,
+         n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
+         word_chars / greatest(n_words, 1) AS mean_word
+    FROM fig LEFT JOIN cov USING (rk))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_rep AS n_repeat_words, base_failed,
+       NOT (base_failed OR mean_word < 3 OR mean_word > 10
+            OR n_symbols / greatest(n_words, 1) > 0.1
+            OR n_dup_lines / greatest(n_lines, 1) > 0.3
+            OR n_alpha / greatest(n_words, 1) < 0.8
+            OR n_ellipsis / greatest(n_lines, 1) > 0.3
+            OR n_bullets / greatest(n_lines, 1) > 0.9) AS kept
+  FROM judged""",
 }
