@@ -21,6 +21,7 @@ from hangarflow.llm import (
     toxicity,
     url_rules,
     vector_codes,
+    whitening,
 )
 from hangarflow.llm.texts import bucket_of_id
 from hangarflow.session import new_path, stored
@@ -153,6 +154,21 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    shares = fitted.explained()
+    explained = F.element_at(F.array(*[F.lit(x) for x in shares]), F.col("component")) if shares else F.lit(None)
+    return fitted.rows.select(
+        F.col("row.vec_id").alias("vec_id"),
+        "component",
+        F.lit(fitted.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        explained.cast("double").alias("explained"),
+        F.lit(fitted.identity_error).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -168,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_group_join,
         op11_vector_codes,
         op12_quality_rules,
+        op13_whitening,
     )
 }
 
