@@ -97,6 +97,18 @@ def _block_hits(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(frames[1:])[_HIT_COLUMNS]
 
 
+def _hit_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("manual_type", T.StringType()),
+            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
+            T.StructField("ata04", T.StringType()),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+
+
 def _candidates(
     queries: DataFrame, chunks: DataFrame, k: int, query_block: int, chunk_block: int, within: list[str]
 ) -> DataFrame:
@@ -107,15 +119,7 @@ def _candidates(
     per opposite block, and only k hits per query, type and block come out.
     ``within`` names columns that must be equal on both sides.
     """
-    hit_schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("manual_type", T.StringType()),
-            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
-            T.StructField("ata04", T.StringType()),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
+    hit_schema = _hit_schema(queries, chunks)
     n_query_blocks = max(1, -(-queries.count() // query_block))
     n_chunk_blocks = max(1, -(-chunks.count() // chunk_block))
 
@@ -139,12 +143,16 @@ def knn_per_type(
     chunks: DataFrame,
     k: int = TOP_K,
     manual_types: list[str] | None = None,
-    query_block: int = QUERY_BLOCK,
-    chunk_block: int = CHUNK_BLOCK,
+    query_block: int | None = None,
+    chunk_block: int | None = None,
     within: list[str] | None = None,
 ) -> DataFrame:
     """The k nearest chunks per query and manual type by squared L2 distance.
 
+    By default the chunks are put in a stored ball partition and stay there
+    (``ball_search``); given blocks, or ``within`` columns, every query block meets
+    every chunk block instead.
+
     ``queries(query_id, embedding)``, ``chunks(chunk_id, manual_type, ata04,
     embedding)``; ids are integers or strings. Queries without an embedding give no rows, types
     without chunks are absent, and ties go to the lower chunk id. Chunks without an embedding,
@@ -157,7 +165,12 @@ def knn_per_type(
         usable &= ~F.coalesce("is_fallback", F.lit(False))
     searched = chunks.where(usable).select("chunk_id", "manual_type", "ata04", "embedding")
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", *within)
-    hits = _candidates(asked, searched, k, query_block, chunk_block, within)
+    if within or query_block or chunk_block:
+        hits = _candidates(asked, searched, k, query_block or QUERY_BLOCK, chunk_block or CHUNK_BLOCK, within)
+    else:
+        from hangarflow.operators import ball_search
+
+        hits = ball_search.search(asked, ball_search.build(searched), k, _hit_schema(asked, searched))
     order = Window.partitionBy("query_id", "manual_type").orderBy("distance", "chunk_id")
     return (
         hits.withColumn("rank", F.row_number().over(order))
