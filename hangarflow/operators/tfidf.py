@@ -19,6 +19,9 @@ TOP_K = 3
 # --- end of fixed values ----------------------------------------------------------
 # Hex digits that cut a code's lines into ranges.
 RANGE_DIGITS = 2
+# Postings of a term per weight block, and the slack that keeps rounding from pruning a tie.
+BLOCK = 64
+SLACK = 1e-9
 
 
 def text_grams(
@@ -204,6 +207,88 @@ def cosine_scores(
     return scores.where(F.col("score") >= min_score) if min_score > 0 else scores
 
 
+def posting_blocks(catalog: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(term, block, ata04, weight, block_max)``: each term's postings by falling weight, cut into blocks."""
+    order = Window.partitionBy("term").orderBy(F.desc("weight"), "ata04")
+    ranked = catalog.select("term", "ata04", "weight").withColumn(
+        "block", F.floor((F.row_number().over(order) - 1) / block)
+    )
+    return ranked.withColumn("block_max", F.max("weight").over(Window.partitionBy("term", "block")))
+
+
+def _exact(candidates: DataFrame, queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+    """Cosine of each candidate pair (with any further columns of ``candidates``), over the query's terms."""
+    carried = [c for c in candidates.columns if c not in (key, "ata04")]
+    terms = candidates.join(queries.select(key, "term", "weight"), key)
+    found = terms.join(postings.select("term", "ata04", F.col("weight").alias("entry_weight")), ["term", "ata04"])
+    return found.groupBy(key, "ata04", *carried).agg(F.sum(F.col("weight") * F.col("entry_weight")).alias("score"))
+
+
+def bounded_scores(
+    queries: DataFrame,
+    catalog: DataFrame,
+    key: str,
+    min_score: float = 0.0,
+    k: int | None = None,
+    block: int = BLOCK,
+    report: dict | None = None,
+) -> DataFrame:
+    """``(key, ata04, score)`` of every pair that can reach ``min_score`` or, given ``k``, the k-th best score.
+
+    Max-score order over weight blocks. A query term's bound is its weight times
+    the heaviest posting of the term. Terms are taken by rising bound; those whose
+    bounds sum below the threshold are not essential: a code met only there
+    cannot reach it, so candidates come from the essential terms only, and of
+    those only from blocks whose maximum, with the bounds of all other terms,
+    can still reach the threshold. Candidates are then scored exactly over all
+    the query's terms. With ``k``, the threshold is first raised per query to the
+    k-th exact score among the first block of its strongest term, which the
+    true k-th score cannot be below. Pairs at the threshold are kept.
+
+    ``report``, if given, receives the pairs summed (``candidates``) and the pairs
+    that share a term (``sharing``), as two more jobs.
+    """
+    postings = posting_blocks(catalog, block)
+    heaviest = postings.where(F.col("block") == 0).groupBy("term").agg(F.max("weight").alias("heaviest"))
+    bounded = queries.select(key, "term", "weight").join(heaviest, "term")
+    bounded = bounded.withColumn("bound", F.col("weight") * F.col("heaviest"))
+    floor = F.lit(float(min_score))
+    if k:
+        strongest = bounded.withColumn(
+            "n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("bound"), "term"))
+        ).where("n = 1")
+        first = strongest.join(postings.where(F.col("block") == 0).select("term", "ata04"), "term").select(key, "ata04")
+        found = _exact(first, queries, postings, key)
+        kth = (
+            found.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "ata04")))
+            .where(F.col("n") == k)
+            .select(key, F.col("score").alias("kth"))
+        )
+        bounded = bounded.join(kth, key, "left")
+        floor = F.greatest(floor, F.coalesce("kth", F.lit(0.0)))
+    bounded = bounded.withColumn("theta", floor - SLACK)
+    by_key = Window.partitionBy(key)
+    rising = by_key.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    essential = (
+        bounded.withColumn("prefix", F.sum("bound").over(rising))
+        .withColumn("rest", F.sum("bound").over(by_key) - F.col("bound"))
+        .where(F.col("prefix") >= F.col("theta"))
+    )
+    blocks = postings.select("term", "block", "block_max").distinct()
+    reach = essential.join(blocks, "term").where(F.col("weight") * F.col("block_max") + F.col("rest") >= F.col("theta"))
+    candidates = (
+        reach.select(key, "term", "block", "theta")
+        .join(postings.select("term", "block", "ata04"), ["term", "block"])
+        .select(key, "ata04", "theta")
+        .distinct()
+    )
+    if report is not None:
+        report["candidates"] = candidates.count()
+        report["sharing"] = queries.select(key, "term").join(postings.select("term", "ata04"), "term").select(key, "ata04").distinct().count()
+    scored = _exact(candidates, queries, postings, key)
+    return scored.where(F.col("score") >= F.col("theta")).select(key, "ata04", "score")
+
+
 def best_match(scores: DataFrame, key: str, min_score: float = MIN_SCORE) -> DataFrame:
     """The best entry per key when it reaches ``min_score``; ties go to the lower code."""
     ranked = F.struct((-F.col("score")).alias("cost"), "ata04")
@@ -249,7 +334,7 @@ def predict_ata(
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> DataFrame:
     """Best entry per text with the entry's name and keywords."""
-    weights = text_weights(texts, key, vocabulary, text, stop_words)
-    best = best_match(cosine_scores(weights, vectors, key, min_score), key, min_score)
+    weights = stored(text_weights(texts, key, vocabulary, text, stop_words), "text-weights")
+    best = best_match(bounded_scores(weights, vectors, key, min_score), key, min_score)
     entries = catalog.select("ata04", "system_name", "keywords")
     return best.join(entries, "ata04", "left")

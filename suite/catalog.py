@@ -299,4 +299,7 @@ def predict_ata(spark, sf):
     f"{_SCORED} SELECT doc_id, ata04, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 3",
 )
 def predict_topk(spark, sf):
-    return tfidf.top_matches(_scores(spark, sf), "doc_id").withColumn("score", F.round("score", 6))
+    """The best three codes per document; pairs that cannot reach a document's third score are never summed."""
+    weights, vectors = _weights(spark, sf)
+    scores = tfidf.bounded_scores(stored(weights, "text-weights"), vectors, "doc_id", k=tfidf.TOP_K)
+    return tfidf.top_matches(scores, "doc_id").withColumn("score", F.round("score", 6))
