@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hangarflow.operators.workorders import require_columns
 from hangarflow.schema import REGISTRY
@@ -29,6 +30,41 @@ def read_work_orders(
     return spark.read.format(fmt).load(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_checked_csv(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True, null_value: str = ""
+) -> DataFrame:
+    """CSV under a declared schema, good and rejected lines from one pass.
+
+    The cells are read by position under ``schema`` (a header line is skipped), so
+    text columns keep leading zeros. A line that does not fit (a cell that does not
+    parse as its type, too many or too few cells) becomes a rejected row: its typed
+    columns are null, ``rejected`` holds the raw line and ``file`` its file. Good
+    rows have ``rejected`` null. Nothing is read twice; split the result with
+    ``rejected IS NULL`` after storing it, if both halves are used. ``null_value``
+    is the cell that means null; with the default an empty cell is null, so give
+    another one (as ``\\N``) for files that hold empty texts apart from missing ones.
+    """
+    read = (
+        spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
+        .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("multiLine", multi_line)
+        .option("escape", '"')
+        .option("nullValue", null_value)
+        .csv(path)
+    )
+    good = F.col(CORRUPT).isNull()
+    return read.select(
+        *[F.when(good, F.col(f"`{field.name}`")).alias(field.name) for field in schema],
+        F.col(CORRUPT).alias("rejected"),
+        F.col("_metadata.file_path").alias("file"),
+    )
+
+
 def load_work_orders(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Read work orders and refuse tables without the required columns."""
     return require_columns(read_work_orders(spark, path, fmt))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from hangarflow.functions import citations, codes, decisions, defects
 from hangarflow.operators import workorders as ops
+from hangarflow.session import new_path
+from hangarflow.sources import tables
 from suite.data import WO_SQL, interface_work_orders, joined, table, work_orders
 
 QUERIES, ORACLES = {}, {}
@@ -26,9 +28,14 @@ _AS_INTERFACE = """wo_id, ata_entered AS "ATA", defect_text AS "W/O Description"
        wo_type AS "Type", ac_registration AS "A/C", issued AS "Issued", closed AS "Closed", true_ata"""
 
 
-@query("wo_source", f"WITH {WO_SQL} SELECT {_AS_INTERFACE} FROM wo")
+@query("wo_source", f"WITH {WO_SQL} SELECT {_AS_INTERFACE}, CAST(NULL AS VARCHAR) AS rejected FROM wo")
 def wo_source(spark, sf):
-    return ops.require_columns(interface_work_orders(spark, sf))
+    """All work orders written as CSV and read back under their declared schema; rejected lines beside them."""
+    orders = ops.require_columns(interface_work_orders(spark, sf))
+    path = new_path(spark, "work-orders-csv")
+    orders.write.option("header", True).option("escape", '"').option("nullValue", r"\N").csv(path)
+    read = tables.read_checked_csv(spark, path, orders.schema, null_value=r"\N")
+    return read.drop("file")
 
 
 _FILLED = [

@@ -219,3 +219,37 @@ def test_sources_and_sinks(spark, orders, model, tmp_path):
     back = tables.read_chunks(spark, shards, ["TSM"])
     assert len(back.inputFiles()) == 10 and back.count() == 95
     assert tables.read_chunks(spark, shards, ["FIM"]).count() == 0
+
+
+def test_checked_csv_keeps_zeros_and_rejects_bad_lines(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from hangarflow.sources import tables
+
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    lines = [
+        "wo_id,ATA,text,issued",
+        '1,05-10,"a text, with a comma",2024-01-02',
+        '2,"",\\N,2024-01-03',
+        "x3,21-00,id is no number,2024-01-04",
+        "4,21-00,bad date,yesterday",
+        "5,21-00,too,many,cells,2024-01-05",
+        '6,00-01,"two\nlines",\\N',
+    ]
+    (folder / "part-0.csv").write_text("\n".join(lines) + "\n")
+    schema = T.StructType(
+        [
+            T.StructField("wo_id", T.LongType()),
+            T.StructField("ATA", T.StringType()),
+            T.StructField("text", T.StringType()),
+            T.StructField("issued", T.DateType()),
+        ]
+    )
+    rows = tables.read_checked_csv(spark, str(folder), schema, null_value="\\N").collect()
+    good = {r.wo_id: (r.ATA, r.text, str(r.issued)) for r in rows if r.rejected is None}
+    assert good == {1: ("05-10", "a text, with a comma", "2024-01-02"), 2: ("", None, "2024-01-03"), 6: ("00-01", "two\nlines", "None")}
+    bad = sorted(r.rejected for r in rows if r.rejected is not None)
+    assert bad == sorted([lines[3], lines[4], lines[5]])
+    assert all(r.file.endswith("part-0.csv") for r in rows)
+    assert all(r.wo_id is None and r.ATA is None for r in rows if r.rejected is not None)
