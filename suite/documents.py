@@ -39,13 +39,10 @@ def _identified(spark, sf):
 # --- scans ------------------------------------------------------------------------
 @query("manual_scan", f"""WITH {DOCS_SQL} SELECT filename FROM docs""")
 def manual_scan(spark, sf):
-    """Manuals written as files of many documents each, scanned as files, and told apart by their first lines."""
-    folder = new_path(spark, "manual-files")
-    marked = F.concat(F.lit("<!-- file: "), "filename", F.lit(" -->\n"), "markup")
-    _manuals(spark, sf).select(marked.alias("value")).write.text(folder)
-    scanned = manuals.scan_files(spark, folder, glob="part-*.txt")
-    names = F.regexp_extract_all("markup", F.lit(r"(?m)^<!-- file: (.*) -->$"), F.lit(1))
-    return scanned.select(F.explode(names).alias("filename"))
+    """Manuals written as bundle files of many records, scanned in splits that end at a record end."""
+    folder = new_path(spark, "manual-bundles")
+    manuals.write_bundles(_manuals(spark, sf), folder)
+    return manuals.scan_bundles(spark, folder).where(F.col("error").isNull()).select("filename")
 
 
 # Labelled documents count as read by an earlier run.

@@ -205,3 +205,29 @@ def test_streamed_index_equals_batch(spark, tmp_path):
     for streamed, batch in zip(ingest.read_index(spark, output), (references, chunks), strict=True):
         streamed = streamed.select(*batch.columns)
         assert sorted(map(repr, streamed.collect())) == sorted(map(repr, batch.collect()))
+
+
+def test_bundles_split_at_record_ends(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from hangarflow.sources import manuals
+
+    rows = [(f'dm/{i}"&.sgm', ("<para>x</para>" * (i * 37 % 400)) + f"<title>{i}</title>") for i in range(300)]
+    rows.append(("empty.sgm", ""))
+    df = spark.createDataFrame(rows, "filename string, markup string")
+    folder = str(tmp_path / "bundles")
+    manuals.write_bundles(df.coalesce(1), folder)
+    # Stray bytes after the last record, as in a file cut off while it was written.
+    extra = tmp_path / "bundles" / "part-zz-stray.txt"
+    extra.write_text('<manual name="cut">never ended</manual>\nnot a record at all')
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        scanned = manuals.scan_bundles(spark, folder)
+        assert scanned.rdd.getNumPartitions() > 4
+        got = scanned.select("filename", "markup", "error").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
+    good = sorted((r.filename, r.markup) for r in got if r.error is None)
+    assert good == sorted(rows + [("cut", "never ended")])
+    assert [r.error for r in got if r.error is not None] == ["not a record at all"]
