@@ -58,7 +58,12 @@ SECOND_PERSON = frozenset(
     "you your yours yourself ur u tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie usted ustedes ti tus".split()
 )
 _WORD = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$*!+|]+[^\W\d_]+)+|[0-9@$]+[^\W\d_]{2,}(?:[0-9@$*!]+[^\W\d_]*)*")
+# Matches start only where a run of letters or of digits and signs starts, and runs are taken
+# possessively: the same matches as without, in time linear in the text (a long run was
+# scanned again from each of its characters before).
+_MIXED = re.compile(
+    r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$*!+|]++[^\W\d_]++)+|(?<![0-9@$])[0-9@$]++[^\W\d_]{2,}(?:[0-9@$*!]+[^\W\d_]*)*"
+)
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _CAPITAL_WORD = re.compile(r"\b[^\W\d_a-z]{3,}\b")
 _PLAIN = str.maketrans("01345789@$!+|", "oieasTbgasiti".lower(), "*")

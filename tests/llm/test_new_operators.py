@@ -220,3 +220,29 @@ def test_whitening_of_one_vector_and_copies(spark):
     assert Q["op13_whitening"].__name__ == "op13_whitening"
     fitted = whitening.whiten(df)
     assert fitted.n == 1 and fitted.rows.collect() == []
+
+
+# --- 7: long runs ------------------------------------------------------------------------
+@pytest.mark.parametrize("piece", ["1", "@", "$", "a", "a1", "1a", "é@", "A", "!"])
+def test_toxicity_features_of_one_megabyte_runs(piece):
+    import time
+
+    from hangarflow.llm import toxicity
+
+    text = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    toxicity.features_of(text, {"a": 1.0}, {})
+    assert time.perf_counter() - began < 10
+
+
+def test_mixed_pattern_finds_what_it_found_before():
+    import random
+    import re
+
+    from hangarflow.llm import toxicity
+
+    before = re.compile(r"[^\W\d_]+(?:[0-9@$*!+|]+[^\W\d_]+)+|[0-9@$]+[^\W\d_]{2,}(?:[0-9@$*!]+[^\W\d_]*)*")
+    draw = random.Random(7)
+    for _ in range(5_000):
+        text = "".join(draw.choice("ab1@$*!+|_ Zé9x ") for _ in range(draw.randrange(40)))
+        assert toxicity._MIXED.findall(text) == before.findall(text)
