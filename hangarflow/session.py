@@ -68,18 +68,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], shuffle: bool = False) -> DataFrame:
     """Left join to a table with one row per key, safe for very frequent and for NULL keys.
 
-    Rows with a NULL key match nothing: they are split off by a filter and never
-    shuffled. The others take one plain join. Spark chooses its kind from the size
-    of ``right``; in a shuffled join, adaptive execution splits the partition of a
-    key that many left rows share. ``left`` appears once per branch, so callers
-    store a left side that is expensive to compute. ``shuffle`` asks for the
-    shuffled join, as for a table too big to broadcast.
+    By default this is one plain left join, so ``left`` is computed once. Spark
+    chooses its kind from the size of ``right``: a broadcast join moves no row of
+    ``left`` at all, NULL keys included; in a shuffled join, adaptive execution
+    splits the partition of a key that many left rows share, the one of NULL keys
+    too. ``shuffle`` asks for the shuffled join, as for a table too big to
+    broadcast; then rows with a NULL key are split off by a filter and never
+    shuffled, and ``left`` appears once per branch, so store an expensive one.
     """
     on = list(on)
+    if not shuffle:
+        return left.join(right, on, "left")
     any_null = reduce(or_, [F.col(name).isNull() for name in on])
-    known = right.hint("merge") if shuffle else right
     added = [
         F.lit(None).cast(field.dataType).alias(field.name) for field in right.schema if field.name not in on
     ]
-    found = left.where(~any_null).join(known, on, "left")
+    found = left.where(~any_null).join(right.hint("merge"), on, "left")
     return found.unionByName(left.where(any_null).select("*", *added))
