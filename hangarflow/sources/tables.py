@@ -142,6 +142,50 @@ def write_chunks(chunks: DataFrame, path: str, shard_size: int = SHARD_SIZE) ->
     )
 
 
+def write_chunk_shards(chunks: DataFrame, path: str, shard_size: int = SHARD_SIZE, order: str = "chunk_id") -> None:
+    """Index rows in shards of exactly ``shard_size`` rows per manual type (the last one fewer), one file each.
+
+    Rows are numbered within their type in ``order`` by prefix sums on two levels:
+    a range partitioning by (type, order) cuts the rows into sorted runs, the
+    driver adds up one count per run and type (partitions x types numbers), and
+    each row takes its run's offset plus its place in the run. The shard is the
+    number divided by ``shard_size``; rows of one shard go to one task, so each
+    shard is one file ``manual_type=../shard=../``, its rows by ``position``.
+    Equal ``order`` values keep the order of the range sort (ties broken by the
+    other columns' hash), so give a unique key.
+    """
+    from hangarflow.session import stored
+
+    spark = chunks.sparkSession
+    runs = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.spark_partition_id().cast("long")
+    ranged = chunks.repartitionByRange(runs, "manual_type", order).sortWithinPartitions("manual_type", order)
+    placed = stored(
+        ranged.select("*", part.alias("_run"), (F.monotonically_increasing_id() - F.shiftleft(part, 33)).alias("_at")),
+        "shards-placed",
+    )
+    counts = sorted(
+        (r["_run"], r["manual_type"], r["n"], r["first"])
+        for r in placed.groupBy("_run", "manual_type").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).collect()
+    )
+    seen, offsets = {}, []
+    for run, manual_type, n, first in counts:
+        offsets.append((run, manual_type, seen.get(manual_type, 0) - first))
+        seen[manual_type] = seen.get(manual_type, 0) + n
+    table = spark.createDataFrame(offsets, "_run long, manual_type string, _shift long")
+    position = (F.col("_at") + F.col("_shift")).alias("position")
+    numbered = placed.join(F.broadcast(table), ["_run", "manual_type"]).select(
+        *chunks.columns, position, (position / shard_size).cast("long").alias("shard")
+    ) if offsets else placed.select(*chunks.columns, F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("shard"))
+    (
+        numbered.repartition("manual_type", "shard")
+        .sortWithinPartitions("manual_type", "shard", "position")
+        .write.mode("append")
+        .partitionBy("manual_type", "shard")
+        .parquet(path)
+    )
+
+
 def read_chunks(spark: SparkSession, path: str, manual_types: list[str] | None = None) -> DataFrame:
     """All shards together; a type list prunes folders."""
     chunks = spark.read.parquet(path)

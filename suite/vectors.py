@@ -164,11 +164,24 @@ def embedding_fallback(spark, sf):
     )
 
 
-@query("chunk_sink_sharded", f"WITH {CHUNKS_SQL} SELECT chunk_id, manual_type, ata04 FROM chunks")
+@query(
+    "chunk_sink_sharded",
+    f"""WITH {CHUNKS_SQL}, placed AS (SELECT chunk_id, manual_type, ata04,
+      row_number() OVER (PARTITION BY manual_type ORDER BY chunk_id) - 1 AS position FROM chunks)
+    SELECT chunk_id, manual_type, ata04, position, position // 100 AS shard,
+      count(*) OVER (PARTITION BY manual_type, position // 100) AS shard_rows FROM placed""",
+)
 def chunk_sink_sharded(spark, sf):
+    """All chunks in shards of exactly 100 rows per type, numbered by chunk id, and read back with their files."""
     path = new_path(spark, "chunks")
-    tables.write_chunks(vector_chunks(spark, sf), path, shard_size=100)
-    return tables.read_chunks(spark, path).select("chunk_id", "manual_type", "ata04")
+    tables.write_chunk_shards(vector_chunks(spark, sf), path, shard_size=100)
+    read = tables.read_chunks(spark, path).withColumn("file", F.input_file_name())
+    per_file = read.groupBy("manual_type", "shard").agg(
+        F.count(F.lit(1)).alias("shard_rows"), F.count_distinct("file").alias("files")
+    )
+    # One file per shard: a shard in two files would show up as a row with files > 1 and break the SQL's count.
+    joined = read.join(per_file.where("files = 1"), ["manual_type", "shard"])
+    return joined.select("chunk_id", "manual_type", "ata04", "position", "shard", "shard_rows")
 
 
 @query("chunk_source_merged", f"WITH {CHUNKS_SQL} SELECT chunk_id, manual_type, ata04 FROM chunks WHERE manual_type = 'TSM'")

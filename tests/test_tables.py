@@ -253,3 +253,25 @@ def test_checked_csv_keeps_zeros_and_rejects_bad_lines(spark, tmp_path):
     assert bad == sorted([lines[3], lines[4], lines[5]])
     assert all(r.file.endswith("part-0.csv") for r in rows)
     assert all(r.wo_id is None and r.ATA is None for r in rows if r.rejected is not None)
+
+
+def test_chunk_shards_have_exact_sizes_and_one_file_each(spark, tmp_path):
+    import glob
+    import os
+
+    from hangarflow.sources import tables
+
+    rows = [(f"c{i:05d}", ["TSM", "FIM", "AMM"][i % 7 % 3], f"{i % 50:02d}-00") for i in range(1_000)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, manual_type string, ata04 string").repartition(16)
+    path = str(tmp_path / "shards")
+    tables.write_chunk_shards(chunks, path, shard_size=37)
+    got = tables.read_chunks(spark, path).select("chunk_id", "manual_type", "position", "shard").collect()
+    for manual_type in ("TSM", "FIM", "AMM"):
+        mine = sorted((r.position, r.chunk_id, r.shard) for r in got if r.manual_type == manual_type)
+        ids = sorted(c for c, t, _ in rows if t == manual_type)
+        assert [c for _, c, _ in mine] == ids
+        assert [p for p, _, _ in mine] == list(range(len(ids)))
+        assert all(s == p // 37 for p, _, s in mine)
+        folders = glob.glob(os.path.join(path, f"manual_type={manual_type}", "shard=*"))
+        assert len(folders) == -(-len(ids) // 37)
+        assert all(len(glob.glob(os.path.join(f, "*.parquet"))) == 1 for f in folders)
