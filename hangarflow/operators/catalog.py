@@ -249,6 +249,50 @@ def search_by_keyword(catalog: DataFrame, keyword: str) -> DataFrame:
     )
 
 
+def _field_values(catalog: DataFrame) -> DataFrame:
+    """Distinct ``(ata04, field, value)`` of names, keywords and warnings, in lower case."""
+    name = catalog.select("ata04", F.lit("system_name").alias("field"), F.col("system_name").alias("value"))
+    parts = [name] + [
+        catalog.select("ata04", F.lit(field).alias("field"), F.explode(field).alias("value"))
+        for field in ("keywords", "warnings")
+    ]
+    values = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return values.where(F.col("value").isNotNull() & (F.col("value") != "")).select(
+        "ata04", "field", F.lower("value").alias("value")
+    ).distinct()
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of ``n`` characters (the whole text if it is shorter)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
+
+
+def search_keywords(catalog: DataFrame, keywords: DataFrame, gram: int = 3) -> DataFrame:
+    """``(keyword, ata04, field)`` for every keyword of a table found in a name, keyword or warning, any case.
+
+    An index of the values' substrings of 1 to ``gram`` characters is met by one
+    key per keyword: its rarest ``gram``-character substring, or the keyword itself
+    when it is shorter. Every value that contains the keyword holds that key, so
+    the join finds all of them; ``contains`` then confirms each candidate. Each
+    keyword is one row of the join, however many keywords there are.
+    """
+    values = _field_values(catalog)
+    index = values.select(
+        "ata04", "field", "value", F.explode(F.flatten(F.array(*[_grams(F.col("value"), n) for n in range(1, gram + 1)]))).alias("key")
+    ).distinct()
+    counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    asked = keywords.select(F.lower("keyword").alias("keyword")).where(F.length("keyword") > 0).distinct()
+    keyed = asked.select("keyword", F.explode(_grams(F.col("keyword"), gram)).alias("key"))
+    rarest = (
+        keyed.join(counts, "key", "left")
+        .groupBy("keyword")
+        .agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("key"))
+    )
+    found = rarest.join(index, "key").where(F.contains("value", "keyword"))
+    return found.select("keyword", "ata04", "field").distinct()
+
+
 def catalog_statistics(catalog: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Entry, keyword, warning, sample and vocabulary counts in one row."""
 

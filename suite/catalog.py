@@ -196,6 +196,22 @@ def catalog_keyword_search(spark, sf):
     return _flat(ops.search_by_keyword(_saved(spark, sf), "Step"))
 
 
+@query(
+    "catalog_keyword_batch",
+    f"""{_CATALOG}, fields AS (
+      SELECT ata04, 'system_name' AS field, lower(system_name) AS value FROM saved WHERE system_name <> ''
+      UNION SELECT ata04, 'keywords', lower(unnest(keywords)) FROM saved
+      UNION SELECT ata04, 'warnings', lower(unnest(warnings)) FROM saved),
+    words AS (SELECT DISTINCT lower(w) AS keyword
+      FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM documents) WHERE w <> '')
+    SELECT DISTINCT k.keyword, f.ata04, f.field FROM words k JOIN fields f ON contains(f.value, k.keyword)""",
+)
+def catalog_keyword_batch(spark, sf):
+    """Every word of every document, as a keyword, searched in names, keywords and warnings at once."""
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("keyword"))
+    return ops.search_keywords(_saved(spark, sf), words.where(F.col("keyword") != ""))
+
+
 @query(
     "catalog_statistics",
     f"""{_MODEL} SELECT count(*) AS total_atas, CAST(sum(coalesce(len(keywords), 0)) AS BIGINT) AS total_keywords,
