@@ -178,6 +178,7 @@ def _probes(index: BallIndex, k: int, second: bool):
 def _search(probes: DataFrame, index: BallIndex, k: int, hit_schema: T.StructType) -> DataFrame:
     from hangarflow.operators.vectors import _block_hits
 
+    probes = stored(probes, "ball-probes")  # counted and joined: computed once
     blocks = probes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("long").alias("nq"))
     # Each side gets its own copy of the counts, so neither join sees the other's columns.
     asked = probes.join(blocks.select(F.col("key").alias("k_q"), F.col("nq").alias("nq_q")), F.col("key") == F.col("k_q"))
@@ -205,12 +206,21 @@ def search(
     ``report``, if given, receives the number of sub-balls probed in each round
     and the number a search of every sub-ball would probe (two more jobs).
     """
-    asked = stored(queries.select("query_id", "embedding"), "ball-queries")
     if not len(index.centres):
-        return _best(asked.sparkSession.createDataFrame([], hit_schema), k)
+        return _best(queries.sparkSession.createDataFrame([], hit_schema), k)
     probe_schema = T.StructType(
-        [asked.schema["query_id"], asked.schema["embedding"], T.StructField("key", T.LongType())]
+        [queries.schema["query_id"], queries.schema["embedding"], T.StructField("key", T.LongType())]
     )
+    used = index.types[index.members > 0]
+    if len(set(used.tolist())) == len(used):
+        # One ball per type: round one probes every ball, so there is no second round.
+        asked = queries.select("query_id", "embedding")
+        first = _search(asked.mapInPandas(_probes(index, k, False), probe_schema), index, k, hit_schema)
+        if report is not None:
+            report["first"] = asked.mapInPandas(_probes(index, k, False), probe_schema).count()
+            report["second"], report["all"] = 0, asked.count() * int(index.salts.sum())
+        return _best(first, k).drop("rank")
+    asked = stored(queries.select("query_id", "embedding"), "ball-queries")
     first = stored(_search(asked.mapInPandas(_probes(index, k, False), probe_schema), index, k, hit_schema), "ball-hits-1")
     kth = (
         _best(first, k)

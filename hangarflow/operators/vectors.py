@@ -150,8 +150,9 @@ def knn_per_type(
     """The k nearest chunks per query and manual type by squared L2 distance.
 
     By default the chunks are put in a stored ball partition and stay there
-    (``ball_search``); given blocks, or ``within`` columns, every query block meets
-    every chunk block instead.
+    (``ball_search``). When both sides fit in one block (CHUNK_BLOCK chunks,
+    QUERY_BLOCK queries), or given blocks or ``within`` columns, query blocks meet
+    chunk blocks instead; for one block each that is a single meeting per type.
 
     ``queries(query_id, embedding)``, ``chunks(chunk_id, manual_type, ata04,
     embedding)``; ids are integers or strings. Queries without an embedding give no rows, types
@@ -165,11 +166,14 @@ def knn_per_type(
         usable &= ~F.coalesce("is_fallback", F.lit(False))
     searched = chunks.where(usable).select("chunk_id", "manual_type", "ata04", "embedding")
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", *within)
-    if within or query_block or chunk_block:
+    from hangarflow.operators import ball_search
+
+    # Both sides within one block: one meeting per type, nothing copied, which a
+    # ball partition cannot beat. Above that the chunks stay in their balls.
+    small = searched.limit(CHUNK_BLOCK + 1).count() <= CHUNK_BLOCK and asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    if within or query_block or chunk_block or small:
         hits = _candidates(asked, searched, k, query_block or QUERY_BLOCK, chunk_block or CHUNK_BLOCK, within)
     else:
-        from hangarflow.operators import ball_search
-
         hits = ball_search.search(asked, ball_search.build(searched), k, _hit_schema(asked, searched))
     order = Window.partitionBy("query_id", "manual_type").orderBy("distance", "chunk_id")
     return (
