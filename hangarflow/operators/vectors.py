@@ -20,6 +20,8 @@ TOP_K_BY_ATA = 3
 POST_FILTER_FACTOR = 3
 DERIVE_TOP_K = 3
 DIMENSION = 1536
+CASCADE = ("TSM", "FIM", "AMM")
+CASCADE_MIN_SCORE = 0.5
 # --- end of fixed values ------------------------------------------------------------
 
 # Rows per block of either side (1536 floats: about 25 MB and 100 MB).
@@ -238,6 +240,40 @@ def derive_ata(hits: DataFrame) -> DataFrame:
     )
 
 
+def derive_ata_cascade(
+    queries: DataFrame,
+    chunks: DataFrame,
+    order: tuple[str, ...] = CASCADE,
+    k: int = DERIVE_TOP_K,
+    min_score: float = CASCADE_MIN_SCORE,
+) -> DataFrame:
+    """Codes derived type by type: only queries without a sure answer go on to the next type.
+
+    Each stage searches the chunks of one manual type for the queries still open,
+    derives a code by vote (``derive_ata``) and keeps answers whose score reaches
+    ``min_score``; an anti-join removes them from the next stage, and the open
+    queries are stored between stages. Returns query_id, manual_type, stage (from 1),
+    ata04, votes, score, chunk_id; queries without a sure answer in any stage have
+    no row. The vote over all types at once is ``derive_ata``.
+    """
+    from hangarflow.session import stored
+
+    open_queries = queries
+    answers = None
+    for stage, manual_type in enumerate(order, 1):
+        best = derive_ata(knn_per_type(open_queries, chunks, k, [manual_type]))
+        sure = stored(
+            best.where(F.col("score") >= min_score).select(
+                "query_id", F.lit(manual_type).alias("manual_type"), F.lit(stage).alias("stage"), "ata04", "votes", "score", "chunk_id"
+            ),
+            "cascade-answers",
+        )
+        answers = sure if answers is None else answers.unionByName(sure)
+        if stage < len(order):
+            open_queries = stored(open_queries.join(sure.select("query_id"), "query_id", "left_anti"), "cascade-open")
+    return answers
+
+
 def chunk_lookup(keys: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks by ``(chunk_id, manual_type)``; unknown keys give no row."""
     return keys.join(chunks, ["chunk_id", "manual_type"])

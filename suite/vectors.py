@@ -111,6 +111,21 @@ def rag_derive_ata(spark, sf):
     return ops.derive_ata(hits).select("query_id", "ata04", "votes", F.round("score", 6).alias("score"))
 
 
+@query(
+    "rag_cascade",
+    f"""{_PAIRS}, {_per_type(3)}, votes AS (SELECT query_id, manual_type, ata04, count(*) AS votes, max(score) AS score
+      FROM per_type WHERE ata04 IS NOT NULL GROUP BY query_id, manual_type, ata04),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id, manual_type ORDER BY votes DESC, score DESC, ata04) AS n FROM votes),
+    sure AS (SELECT *, CASE manual_type WHEN 'TSM' THEN 1 WHEN 'FIM' THEN 2 ELSE 3 END AS stage FROM best WHERE n = 1 AND score >= 0.5),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage) AS m FROM sure)
+    SELECT query_id, manual_type, CAST(stage AS INTEGER) AS stage, ata04, votes, round(score, 6) AS score FROM firsts WHERE m = 1""",
+)
+def rag_cascade(spark, sf):
+    """Codes from TSM chunks first; queries without a sure answer go on to FIM, then AMM."""
+    found = ops.derive_ata_cascade(vector_queries(spark, sf), vector_chunks(spark, sf))
+    return found.select("query_id", "manual_type", "stage", "ata04", "votes", F.round("score", 6).alias("score"))
+
+
 @query(
     "chunk_lookup",
     f"""WITH {CHUNKS_SQL} SELECT k.key_id, c.chunk_id, c.manual_type, c.ata04 FROM
