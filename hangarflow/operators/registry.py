@@ -38,9 +38,18 @@ def get_reference(keys: DataFrame, registry: DataFrame, **join) -> DataFrame:
     )
 
 
-def search_by_ata(registry: DataFrame, codes: list[str] | None = None) -> DataFrame:
-    """References of the given codes (all codes when None), ordered by type and task."""
-    rows = registry if codes is None else registry.where(F.col("ata04").isin(codes))
+def search_by_ata(registry: DataFrame, codes: list[str] | DataFrame | None = None) -> DataFrame:
+    """References of the given codes (all codes when None), ordered by type and task.
+
+    ``codes`` is a short list or a table whose first column holds the codes; a table
+    meets the registry in a semi-join, so any number of codes is asked at once and
+    a code asked many times still returns its references once.
+    """
+    if isinstance(codes, DataFrame):
+        asked = codes.select(F.col(codes.columns[0]).alias("ata04")).where(F.col("ata04").isNotNull()).distinct()
+        rows = registry.join(asked, "ata04", "left_semi")
+    else:
+        rows = registry if codes is None else registry.where(F.col("ata04").isin(codes))
     return rows.select("ata04", "manual_type", "task_number", "title").orderBy(
         "ata04", "manual_type", "task_number", "title"
     )

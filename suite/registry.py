@@ -92,6 +92,16 @@ def ref_by_ata(spark, sf):
     return ops.search_by_ata(references(spark, sf))
 
 
+@query(
+    "ref_by_ata_codes",
+    f"""WITH {WO_SQL}, {REFS_SQL} SELECT ata04, manual_type, task_number, title FROM refs
+      WHERE ata04 IN (SELECT ata_entered FROM wo)""",
+)
+def ref_by_ata_codes(spark, sf):
+    """References of every code entered, as written, on some work order, asked as one table."""
+    return ops.search_by_ata(references(spark, sf), work_orders(spark, sf).select("ata_entered"))
+
+
 @query(
     "ref_stats",
     f"""WITH {REFS_SQL} SELECT coalesce(manual_type, 'ALL') AS manual_type, count(*) AS total_references,
