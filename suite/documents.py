@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hangarflow.functions import codes
 from hangarflow.operators import documents as ops
+from hangarflow.plans import build
 from hangarflow.session import new_path, stored
 from hangarflow.sources import manuals
 from hangarflow.streaming import ingest
@@ -257,6 +258,20 @@ def document_references(spark, sf):
     return ops.document_references(_identified(spark, sf), F.col("manual_type"))
 
 
+@query("build_index", _REFERENCES_SQL)
+def build_index(spark, sf):
+    """Registry rows of all manuals, from the one parse that also gives their index chunks (``build_index_chunks``)."""
+    references, _ = build.build_index(_manuals(spark, sf))
+    return references
+
+
+@query("build_index_chunks")
+def build_index_chunks(spark, sf):
+    """The index chunks of all manuals from the same job; no SQL, like ``manual_chunks``."""
+    _, chunks = build.build_index(_manuals(spark, sf))
+    return chunks
+
+
 @query("manual_chunks")
 def manual_chunks(spark, sf):
     """Index rows of all document manuals."""
