@@ -55,3 +55,18 @@ def test_ball_search_with_one_ball_and_few_chunks(spark):
     c, q, chunks, queries = _tables(spark, draw, n_chunks=420, n_queries=20, clusters=3)
     hits = ball_search.search(q, ball_search.build(c), 500, _hit_schema(q, c))
     assert hits.count() == len(queries) * 420  # k above the chunks of a type: all of them
+
+
+def test_knn_per_type_takes_the_balls_above_one_block(spark, monkeypatch):
+    from hangarflow.operators import vectors
+
+    draw = np.random.default_rng(8)
+    c, q, chunks, queries = _tables(spark, draw, n_chunks=1_500, n_queries=60, clusters=20)
+    taken = []
+    monkeypatch.setattr(vectors, "CHUNK_BLOCK", 500)
+    monkeypatch.setattr(ball_search, "BALL_ROWS", 64)
+    real = ball_search.search
+    monkeypatch.setattr(ball_search, "search", lambda *a, **kw: taken.append(1) or real(*a, **kw))
+    hits = vectors.knn_per_type(q, c, k=4)
+    got = {(r.query_id, r.manual_type, r.chunk_id, r.rank) for r in hits.collect()}
+    assert taken and got == _brute(chunks, queries, 4)
