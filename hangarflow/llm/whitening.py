@@ -17,7 +17,7 @@ dimension × dimension entries, solved on the driver; Spark applies the result.
    complement splits V into two smaller symmetric problems, solved the same way
    until they are 1 × 1 or a multiple of the identity. σ is the mean of the
    eigenvalues, or the median of the diagonal when that does not split.
-3. Rows are whitened in Arrow batches with the broadcast components (d × k
+3. Rows are whitened in Arrow batches with the components shipped with the tasks (d × k
    doubles): (x - S/n) · u / sqrt(e); the covariance of the whitened fit list is
    measured in a second pass, and its largest departure from the identity is
    reported.
