@@ -25,7 +25,7 @@ dimension × dimension entries, solved on the driver; Spark applies the result.
 Defined cases: rows whose vector is null, holds a null or a non-finite entry, or
 an entry of absolute value ``LIMIT`` or more (so that all sums are exact) are left
 out. Shorter vectors are zero-padded to the longest kept one. Components are
-those with an eigenvalue above ``1e-12`` times the trace, at most ``components``;
+those with an eigenvalue above ``1e-12`` times the trace, at most ``most``;
 with fewer than two distinct vectors there are none and the result is empty.
 The sign of a component makes its largest entry (first of equal ones) positive.
 ``deviation`` is null where it exceeds a long. Repeated rows are returned each.
