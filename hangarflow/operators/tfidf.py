@@ -248,6 +248,10 @@ def bounded_scores(
     ``report``, if given, receives the pairs summed (``candidates``) and the pairs
     that share a term (``sharing``), as two more jobs.
     """
+    if k and not min_score and catalog.select("ata04").distinct().limit(block + 1).count() <= block:
+        # Every term's postings are one block: the extra pass that raises the threshold
+        # cannot skip a block, so the pairs that share a term are summed directly.
+        return cosine_scores(queries, catalog, key)
     postings = posting_blocks(catalog, block)
     heaviest = postings.where(F.col("block") == 0).groupBy("term").agg(F.max("weight").alias("heaviest"))
     bounded = queries.select(key, "term", "weight").join(heaviest, "term")
