@@ -61,9 +61,10 @@ def _block_hits(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     margin keeps every chunk that rounding could have pushed over the k-th place.
     Any number of ties costs index numbers only, never copies of vectors.
     """
-    frames = [pd.DataFrame({name: [] for name in _HIT_COLUMNS})]
     if not len(q) or not len(c):
-        return frames[0]
+        # Object columns: Arrow has no single empty string array of an empty float column.
+        return pd.DataFrame({name: [] for name in _HIT_COLUMNS}, dtype=object)
+    frames = []
     all_queries, all_chunks = _matrix(q["embedding"]), _matrix(c["embedding"])
     for manual_type, rows in c.reset_index(drop=True).groupby("manual_type", sort=False):
         rows = rows.sort_values("chunk_id")
@@ -96,7 +97,7 @@ def _block_hits(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
                     }
                 )
             )
-    return pd.concat(frames[1:])[_HIT_COLUMNS]
+    return pd.concat(frames)[_HIT_COLUMNS]
 
 
 def _hit_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
@@ -126,8 +127,10 @@ def _candidates(
     n_chunk_blocks = max(1, -(-chunks.count() // chunk_block))
 
     def blocked(df, key, own, n_own, other, n_other):
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
+        # Both block numbers are longs on both sides: a cogroup hashes its keys as they are,
+        # and an int and a long of the same value fall into different partitions.
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own).cast("long"))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long")))
         )
 
     q = blocked(queries, "query_id", "qb", n_query_blocks, "cb", n_chunk_blocks)

@@ -70,3 +70,25 @@ def test_knn_per_type_takes_the_balls_above_one_block(spark, monkeypatch):
     hits = vectors.knn_per_type(q, c, k=4)
     got = {(r.query_id, r.manual_type, r.chunk_id, r.rank) for r in hits.collect()}
     assert taken and got == _brute(chunks, queries, 4)
+
+
+def test_blocks_meet_when_the_shuffle_keeps_many_partitions(spark):
+    from hangarflow.operators import vectors
+
+    draw = np.random.default_rng(5)
+    c, q, chunks, queries = _tables(spark, draw, n_chunks=900, n_queries=60, clusters=6)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # Blocks of both sides in different partitions, some keys with one side only.
+        rows = vectors.knn_per_type(q, c, k=4, query_block=16, chunk_block=100).collect()
+        own = q.selectExpr("*", "lpad(cast(query_id % 9 AS string), 2, '0') || '-00' AS ata04")
+        within = vectors.knn_per_type(own, c, k=4, within=["ata04"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {(r.query_id, r.manual_type, r.chunk_id, r.rank) for r in rows} == _brute(chunks, queries, 4)
+    want = set()
+    for code in range(9):
+        same = [x for x in chunks if x[2] == f"{code:02d}-00"]
+        want |= _brute(same, [x for x in queries if x[0] % 9 == code], 4)
+    assert {(r.query_id, r.manual_type, r.chunk_id, r.rank) for r in within} == want
