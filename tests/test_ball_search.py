@@ -92,3 +92,17 @@ def test_blocks_meet_when_the_shuffle_keeps_many_partitions(spark):
         same = [x for x in chunks if x[2] == f"{code:02d}-00"]
         want |= _brute(same, [x for x in queries if x[0] % 9 == code], 4)
     assert {(r.query_id, r.manual_type, r.chunk_id, r.rank) for r in within} == want
+
+
+def test_search_within_a_column_that_one_side_lacks(spark):
+    """Groups with queries but no chunks, and with chunks but no queries, give nothing and break nothing."""
+    from hangarflow.operators import vectors
+
+    draw = np.random.default_rng(6)
+    c, q, chunks, queries = _tables(spark, draw, n_chunks=450, n_queries=20, clusters=3)
+    own = q.selectExpr("*", "CASE WHEN query_id % 2 = 0 THEN '03-00' ELSE '77-00' END AS ata04")
+    hits = vectors.knn_by_ata(own, c, k=2, prefilter=True).collect()
+    same = [x for x in chunks if x[2] == "03-00"]
+    per_type = _brute(same, [x for x in queries if x[0] % 2 == 0], 2)
+    assert {r.query_id for r in hits} == {x[0] for x in per_type}
+    assert {(r.query_id, r.manual_type, r.chunk_id) for r in hits} <= {x[:3] for x in per_type}
