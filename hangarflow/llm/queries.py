@@ -129,7 +129,9 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         coded.rows.select(F.col("row.vec_id").alias("vec_id"), F.col("row.label").alias("label"), "code", "error"),
         "op11-codes",
     )
-    by_label = rows.groupBy("label").agg(F.sum("error").alias("label_error"))
+    # Null when the errors, one of them or their sum, go beyond 64 bits.
+    whole = F.count("error") == F.count(F.lit(1))
+    by_label = rows.groupBy("label").agg(F.when(whole, F.try_sum("error")).alias("label_error"))
     joined = rows.alias("r").join(by_label.alias("l"), F.col("r.label").eqNullSafe(F.col("l.label")))
     return joined.select(
         "r.vec_id",

@@ -101,6 +101,25 @@ def test_nearest_with_wide_integers():
     assert code.tolist() == [0, 2] and dist.tolist() == [1, 0]
 
 
+def test_vector_codes_keep_rows_with_large_components(spark):
+    draw = np.random.default_rng(9)
+    vectors = draw.normal(0, 1, (200, 32)).astype(np.float32)
+    vectors[3] = 5_000.0  # in the codebook
+    vectors[70, 4] = -4_096.0
+    vectors[71] = 123_456.0
+    vectors[72, 5] = 3e7
+    vectors[73] = -2e12  # errors beyond 64 bits, an entry's mean moved by them
+    vectors[74, 0] = 3e38
+    rows = [(i, [float(c) for c in v], i % 3 or None) for i, v in enumerate(vectors)]
+    want = codes_brute(rows)
+    assert len(want) == 200
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    coded = vector_codes.compress(df)
+    got = {r["row"]["vec_id"]: (r["code"], r["error"]) for r in coded.rows.collect()}
+    assert got == {i: (c, e if e < 2**63 else None) for i, c, e, _, _ in want}
+    assert coded.digest() == want[0][4]
+
+
 # --- 12 ----------------------------------------------------------------------------------
 def quality_brute(text):
     text = text or ""
