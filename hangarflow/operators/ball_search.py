@@ -29,7 +29,7 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +40,9 @@ from hangarflow.session import stored
 BALL_ROWS = 2_048
 MAX_BALLS = 4_096
 QUERY_ROWS = 2_048
+# Vector components in one piece of probes, and cells of one distance matrix to the centres.
+PROBE_COMPONENTS = 1 << 20
+CENTRE_CELLS = 1 << 20
 SEED = 17
 SALT_BITS = 32  # key = ball << SALT_BITS | sub-ball
 
@@ -71,13 +74,16 @@ def _nearest_centre(centres: np.ndarray, types: np.ndarray):
                 rows = np.asarray(rows)
                 at = frame.index.get_indexer(rows)
                 own = by_type[manual_type]
-                vectors = np.stack(frame["embedding"].to_numpy()[at]).astype(np.float64)
                 c = centres[own]
-                squared = (vectors**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * vectors @ c.T
-                best = squared.argmin(axis=1)
-                ball[at] = own[best]
-                difference = vectors - c[best]
-                gap[at] = np.sqrt(np.einsum("ij,ij->i", difference, difference))
+                height = max(1, CENTRE_CELLS // max(len(own), c.shape[1], 1))
+                for start in range(0, len(at), height):
+                    some = at[start : start + height]
+                    vectors = np.stack(frame["embedding"].to_numpy()[some]).astype(np.float64)
+                    squared = (vectors**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * vectors @ c.T
+                    best = squared.argmin(axis=1)
+                    ball[some] = own[best]
+                    difference = vectors - c[best]
+                    gap[some] = np.sqrt(np.einsum("ij,ij->i", difference, difference))
             yield frame.assign(ball=ball, gap=gap)
 
     return run
@@ -129,48 +135,59 @@ def build(chunks: DataFrame, ball_rows: int = BALL_ROWS, max_balls: int = MAX_BA
 
 def _probes(index: BallIndex, k: int, second: bool):
     """Sub-ball keys each query probes in round one, or in round two given its k-th distances."""
-    by_type = {t: np.nonzero(index.types == t)[0] for t in set(index.types.tolist())}
     centres, radius, members, salts = index.centres, index.radius, index.members, index.salts  # not the DataFrame
-
-    def run(frames):
-        for frame in frames:
-            out_id, out_vec, out_key = [], [], []
-            if len(frame):
-                queries = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-                for manual_type, own in by_type.items():
-                    c = centres[own]
-                    squared = (queries**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * queries @ c.T
-                    near = np.sqrt(np.maximum(squared, 0.0))
-                    order = np.argsort(near, axis=1, kind="stable")
-                    held = np.cumsum(members[own][order], axis=1)
-                    first = np.minimum((held < k).sum(axis=1), len(own) - 1)  # last ball of round one
-                    if second:
-                        limits = frame["kth"].map(lambda m, t=manual_type: dict(m if m is not None else {}).get(t))
-                        limits = limits.to_numpy(dtype=float, na_value=np.nan)
-                        bound = np.sqrt(np.where(np.isnan(limits), np.inf, limits))
-                        # The product form of |q - c| may err by a few ulps of |q|² + |c|²: a
-                        # margin of that size only adds probes.
-                        slack = 1e-6 * np.sqrt((queries**2).sum(1)[:, None] + (c**2).sum(1)[None, :])
-                        reach = near - radius[own][None, :] <= bound[:, None] * (1 + 1e-9) + slack
-                        rank = np.argsort(order, axis=1)
-                        reach &= rank > first[:, None]
-                        rows, cols = np.nonzero(reach)
-                    else:
-                        rank = np.argsort(order, axis=1)
-                        rows, cols = np.nonzero(rank <= first[:, None])
-                    keep = members[own[cols]] > 0  # a centre equal to another's gets no members
-                    rows, cols = rows[keep], cols[keep]
-                    balls = own[cols]
-                    many = salts[balls].astype(np.int64)
-                    at = np.repeat(np.arange(len(balls)), many)
-                    salt = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                    out_id.append(frame["query_id"].to_numpy()[rows[at]])
-                    out_vec.append(frame["embedding"].to_numpy()[rows[at]])
-                    out_key.append((balls[at] << SALT_BITS) | salt)
-            if not out_id:
-                out_id, out_vec, out_key = [frame["query_id"].to_numpy()[:0]], [frame["embedding"].to_numpy()[:0]], [np.zeros(0, np.int64)]
-            out_id, out_vec, out_key = np.concatenate(out_id), np.concatenate(out_vec), np.concatenate(out_key)
-            yield pd.DataFrame({"query_id": out_id, "embedding": out_vec, "key": pd.Series(out_key, dtype="int64")})
+    by_type = {t: np.nonzero(index.types == t)[0] for t in set(index.types.tolist())}
+    piece = max(1, PROBE_COMPONENTS // max(1, centres.shape[1]))
+    height = max(1, piece // max(1, int(salts.sum())))
+
+    def of_slice(queries, limits):
+        """Row numbers and keys of the probes of some queries, all types."""
+        at_rows, at_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for manual_type, own in by_type.items():
+            c = centres[own]
+            squared = (queries**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * queries @ c.T
+            near = np.sqrt(np.maximum(squared, 0.0))
+            order = np.argsort(near, axis=1, kind="stable")
+            held = np.cumsum(members[own][order], axis=1)
+            first = np.minimum((held < k).sum(axis=1), len(own) - 1)  # last ball of round one
+            rank = np.argsort(order, axis=1)
+            if second:
+                kth = np.array([m.get(manual_type, np.nan) for m in limits], dtype=float)
+                bound = np.sqrt(np.where(np.isnan(kth), np.inf, kth))
+                # The product form of |q - c| may err by a few ulps of |q|² + |c|²: a
+                # margin of that size only adds probes.
+                slack = 1e-6 * np.sqrt((queries**2).sum(1)[:, None] + (c**2).sum(1)[None, :])
+                reach = near - radius[own][None, :] <= bound[:, None] * (1 + 1e-9) + slack
+                reach &= rank > first[:, None]
+                rows, cols = np.nonzero(reach)
+            else:
+                rows, cols = np.nonzero(rank <= first[:, None])
+            keep = members[own[cols]] > 0  # a centre equal to another's gets no members
+            rows, cols = rows[keep], cols[keep]
+            balls = own[cols]
+            many = salts[balls].astype(np.int64)
+            at = np.repeat(np.arange(len(balls)), many)
+            salt = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            at_rows.append(rows[at])
+            at_keys.append((balls[at] << SALT_BITS) | salt)
+        return np.concatenate(at_rows), np.concatenate(at_keys)
+
+    def run(batches):
+        # A query leaves once per probed sub-ball: a batch of queries leaves in pieces of
+        # bounded size, whatever the number of balls.
+        for batch in batches:
+            for start in range(0, batch.num_rows, height):
+                asked = batch.slice(start, height)
+                vectors = asked.column("embedding")
+                queries = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(asked.num_rows, -1)
+                limits = [dict(m or []) for m in asked.column("kth").to_pylist()] if second else None
+                rows, keys = of_slice(queries, limits)
+                for cut in range(0, len(rows), piece):
+                    at = pa.array(rows[cut : cut + piece])
+                    yield pa.RecordBatch.from_arrays(
+                        [asked.column("query_id").take(at), vectors.take(at), pa.array(keys[cut : cut + piece])],
+                        names=["query_id", "embedding", "key"],
+                    )
 
     return run
 
@@ -215,13 +232,13 @@ def search(
     if len(set(used.tolist())) == len(used):
         # One ball per type: round one probes every ball, so there is no second round.
         asked = queries.select("query_id", "embedding")
-        first = _search(asked.mapInPandas(_probes(index, k, False), probe_schema), index, k, hit_schema)
+        first = _search(asked.mapInArrow(_probes(index, k, False), probe_schema), index, k, hit_schema)
         if report is not None:
-            report["first"] = asked.mapInPandas(_probes(index, k, False), probe_schema).count()
+            report["first"] = asked.mapInArrow(_probes(index, k, False), probe_schema).count()
             report["second"], report["all"] = 0, asked.count() * int(index.salts.sum())
         return _best(first, k).drop("rank")
     asked = stored(queries.select("query_id", "embedding"), "ball-queries")
-    first = stored(_search(asked.mapInPandas(_probes(index, k, False), probe_schema), index, k, hit_schema), "ball-hits-1")
+    first = stored(_search(asked.mapInArrow(_probes(index, k, False), probe_schema), index, k, hit_schema), "ball-hits-1")
     kth = (
         _best(first, k)
         .groupBy("query_id", "manual_type")
@@ -231,9 +248,9 @@ def search(
         .agg(F.map_from_entries(F.collect_list(F.struct("manual_type", "d"))).alias("kth"))
     )
     bounded = asked.join(kth, "query_id", "left")
-    later = bounded.mapInPandas(_probes(index, k, True), probe_schema)
+    later = bounded.mapInArrow(_probes(index, k, True), probe_schema)
     if report is not None:
-        report["first"] = asked.mapInPandas(_probes(index, k, False), probe_schema).count()
+        report["first"] = asked.mapInArrow(_probes(index, k, False), probe_schema).count()
         report["second"] = later.count()
         report["all"] = asked.count() * int(index.salts.sum())
     second = _search(later, index, k, hit_schema)

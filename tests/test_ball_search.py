@@ -106,3 +106,27 @@ def test_search_within_a_column_that_one_side_lacks(spark):
     per_type = _brute(same, [x for x in queries if x[0] % 2 == 0], 2)
     assert {r.query_id for r in hits} == {x[0] for x in per_type}
     assert {(r.query_id, r.manual_type, r.chunk_id) for r in hits} <= {x[:3] for x in per_type}
+
+
+def test_probes_leave_in_bounded_pieces(monkeypatch):
+    """Many queries against many balls: no piece grows with their product."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    balls, dim, asked = 300, 4, 500
+    salts = np.ones(balls, np.int64)
+    salts[7] = 900  # one ball of many sub-balls
+    index = ball_search.BallIndex(
+        None, draw.normal(0, 1, (balls, dim)), np.array(["TSM", "AMM"] * (balls // 2), dtype=object),
+        np.full(balls, 50.0), np.full(balls, 10), salts,
+    )
+    vectors = pa.array(draw.normal(0, 1, (asked, dim)).tolist(), pa.list_(pa.float32()))
+    kth = pa.array([[("TSM", 1.0), ("AMM", 1.0)]] * asked, pa.map_(pa.string(), pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(asked)), vectors, kth], names=["query_id", "embedding", "kth"])
+    monkeypatch.setattr(ball_search, "PROBE_COMPONENTS", 1 << 12)
+    pieces = list(ball_search._probes(index, 5, True)(iter([batch])))
+    assert max(piece.num_rows for piece in pieces) * dim <= 1 << 12
+    found = {(q, key) for piece in pieces for q, key in zip(*(piece.column(n).to_pylist() for n in ("query_id", "key")))}
+    first = list(ball_search._probes(index, 5, False)(iter([batch])))
+    found |= {(q, key) for piece in first for q, key in zip(*(piece.column(n).to_pylist() for n in ("query_id", "key")))}
+    assert len(found) == asked * int(salts.sum())  # every radius reaches: all sub-balls of all balls
