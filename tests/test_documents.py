@@ -231,3 +231,23 @@ def test_bundles_split_at_record_ends(spark, tmp_path):
     good = sorted((r.filename, r.markup) for r in got if r.error is None)
     assert good == sorted(rows + [("cut", "never ended")])
     assert [r.error for r in got if r.error is not None] == ["not a record at all"]
+
+
+def test_elements_leave_before_much_markup_is_held(spark):
+    """One Arrow batch of many short documents goes back in pieces, so a worker's memory does not follow the batch."""
+    import pyarrow as pa
+
+    class Docs:
+        schema = spark.createDataFrame([], "doc_id long, markup string").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, read, schema):  # noqa: N802
+            return read
+
+    text = "<chapter><title>T</title>" + "<para>Pump of the green system shows low pressure</para>" * 70 + "</chapter>"
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1_500)), "markup": pa.array([text] * 1_500)})
+    pieces = list(ops.parse_documents(Docs())(iter([batch])))
+    assert [i for piece in pieces for i in piece.column("doc_id").to_pylist()] == list(range(1_500))
+    assert max(piece.num_rows for piece in pieces) * len(text) < 2 * 1024 * 1024
