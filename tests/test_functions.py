@@ -269,3 +269,17 @@ def test_one_citation_for_each_mention(spark, text, tasks):
     df = spark.createDataFrame([(text,)], "t string")
     found = df.select(citations.extract_citations(F.col("t"), dedup_by_span=True).alias("c")).first().c
     assert [f"{c.manual_type} {c.task_number}" for c in found] == tasks
+
+
+def test_ngrams_join_each_pair_of_words_once(spark):
+    from hangarflow.functions.text import ngrams
+
+    rows = [([], []), (["a"], []), (["a"], ["b", "c"]), (["a", "b"], ["c"]), (["a", "b", "c", "d"], [])]
+    df = spark.createDataFrame(rows, "own array<string>, following array<string>")
+    found = df.select("own", "following", ngrams(F.col("own"), F.col("following")).alias("grams"))
+    for r in found.collect():
+        ext = r.own + r.following
+        want = [" ".join(ext[i : i + n]) for n in (1, 2, 3) for i in range(len(r.own)) if i + n <= len(ext)]
+        assert sorted(r.grams) == sorted(want)
+    # Trigrams grow from the bigrams: one pass for each, no pair of words joined a second time.
+    assert found._jdf.queryExecution().analyzed().toString().count("zip_with") == 2
