@@ -156,8 +156,9 @@ def knn_per_type(
 
     By default the chunks are put in a stored ball partition and stay there
     (``ball_search``). When both sides fit in one block (CHUNK_BLOCK chunks,
-    QUERY_BLOCK queries), or given blocks or ``within`` columns, query blocks meet
-    chunk blocks instead; for one block each that is a single meeting per type.
+    QUERY_BLOCK queries), they meet once per type instead. With given blocks the
+    chunk blocks are stored and streamed past the query blocks (``block_stream``);
+    with ``within`` columns query blocks meet copies of chunk blocks.
 
     ``queries(query_id, embedding)``, ``chunks(chunk_id, manual_type, ata04,
     embedding)``; ids are integers or strings. Queries without an embedding give no rows, types
@@ -171,13 +172,17 @@ def knn_per_type(
         usable &= ~F.coalesce("is_fallback", F.lit(False))
     searched = chunks.where(usable).select("chunk_id", "manual_type", "ata04", "embedding")
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", *within)
-    from hangarflow.operators import ball_search
+    from hangarflow.operators import ball_search, block_stream
 
     # Both sides within one block: one meeting per type, nothing copied, which a
-    # ball partition cannot beat. Above that the chunks stay in their balls.
+    # ball partition cannot beat. Above that the chunks stay in their balls, or
+    # in the given blocks.
     small = searched.limit(CHUNK_BLOCK + 1).count() <= CHUNK_BLOCK and asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-    if within or query_block or chunk_block or small:
+    if within or (small and not query_block and not chunk_block):
         hits = _candidates(asked, searched, k, query_block or QUERY_BLOCK, chunk_block or CHUNK_BLOCK, within)
+    elif query_block or chunk_block:
+        sizes = query_block or QUERY_BLOCK, chunk_block or CHUNK_BLOCK
+        hits = block_stream.block_search(asked, searched, k, *sizes, _hit_schema(asked, searched))
     else:
         hits = ball_search.search(asked, ball_search.build(searched), k, _hit_schema(asked, searched))
     order = Window.partitionBy("query_id", "manual_type").orderBy("distance", "chunk_id")
