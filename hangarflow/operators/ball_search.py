@@ -10,17 +10,19 @@ share centre and radius; the sub-ball is the unit of work, so a ball that holds
 a third of all chunks is spread over many tasks. The chunks are written once
 with their sub-ball key.
 
-Search, two rounds for all queries at once:
+Search, two rounds for all queries, which the stored chunks are streamed past
+twice (``block_stream``), a task holding a block of queries and their k best so far:
 
 1. each query probes, per type, its nearest balls by centre distance until they
    hold k chunks; their exact k best give an upper bound t of the k-th distance;
 2. it then probes every other ball whose lower bound ``|q - c| - r`` does not
-   exceed t. No chunk outside these balls can be nearer than t, so the union's
-   k best are exact (ties to the lower chunk id, as in the block search).
+   exceed t, which falls as nearer chunks are found. No chunk outside these balls
+   can be nearer than t, so the k best are exact (ties to the lower chunk id, as
+   in the block search).
 
-Each round shuffles the probed chunks once and each query once per probed
-sub-ball. A sub-ball probed by many queries sees them in blocks of QUERY_ROWS,
-its chunks repeated once per block, counted in Spark without the driver.
+A skipped ball is right whatever the order in which chunks arrive; the rounds only
+make t small early. Neither probes nor chunks are copied on disk: a search writes
+the queries once (a shuffle) and k hits per query and type.
 """
 
 from __future__ import annotations
@@ -35,11 +37,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hangarflow.operators import block_stream
 from hangarflow.session import stored
 
 BALL_ROWS = 2_048
 MAX_BALLS = 4_096
-QUERY_ROWS = 2_048
 # Vector components in one piece of probes, and cells of one distance matrix to the centres.
 PROBE_COMPONENTS = 1 << 20
 CENTRE_CELLS = 1 << 20
@@ -51,7 +53,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @dataclass
 class BallIndex:
-    chunks: DataFrame  # chunk_id, manual_type, ata04, embedding, key
+    chunks: DataFrame  # packed: a row holds chunk_id, ata04 and vectors of one key, or a part of it
     centres: np.ndarray  # (balls, dimension)
     types: np.ndarray  # manual type of each ball
     radius: np.ndarray
@@ -130,7 +132,27 @@ def build(chunks: DataFrame, ball_rows: int = BALL_ROWS, max_balls: int = MAX_BA
         "embedding",
         F.shiftleft(F.col("ball"), SALT_BITS).bitwiseOR(F.pmod(F.xxhash64("chunk_id"), salt_of.cast("long"))).alias("key"),
     )
-    return BallIndex(stored(keyed, "balls"), centres, types, radius, members, salts)
+    together = keyed.repartition("key").sortWithinPartitions("key")
+    packed = block_stream.stored_chunks(together, "key", ball_rows, "balls", runs=True)
+    return BallIndex(packed, centres, types, radius, members, salts)
+
+
+def _first_balls(queries: np.ndarray, centres: np.ndarray, members: np.ndarray, k: int):
+    """Distances of the queries to the balls of one type, and which balls each query probes first."""
+    squared = (queries**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2 * queries @ centres.T
+    near = np.sqrt(np.maximum(squared, 0.0))
+    order = np.argsort(near, axis=1, kind="stable")
+    held = np.cumsum(members[order], axis=1)
+    first = np.minimum((held < k).sum(axis=1), len(centres) - 1)  # last ball of round one
+    return near, np.argsort(order, axis=1) <= first[:, None]
+
+
+def _reached(near: np.ndarray, queries: np.ndarray, centres: np.ndarray, radius: np.ndarray, kth: np.ndarray) -> np.ndarray:
+    """Which balls may hold a chunk as near as each query's k-th (a squared distance)."""
+    # The product form of |q - c| may err by a few ulps of |q|² + |c|²: a
+    # margin of that size only adds probes.
+    slack = 1e-6 * np.sqrt((queries**2).sum(1)[:, None] + (centres**2).sum(1)[None, :])
+    return near - radius[None, :] <= np.sqrt(kth)[:, None] * (1 + 1e-9) + slack
 
 
 def _probes(index: BallIndex, k: int, second: bool):
@@ -144,24 +166,13 @@ def _probes(index: BallIndex, k: int, second: bool):
         """Row numbers and keys of the probes of some queries, all types."""
         at_rows, at_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for manual_type, own in by_type.items():
-            c = centres[own]
-            squared = (queries**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * queries @ c.T
-            near = np.sqrt(np.maximum(squared, 0.0))
-            order = np.argsort(near, axis=1, kind="stable")
-            held = np.cumsum(members[own][order], axis=1)
-            first = np.minimum((held < k).sum(axis=1), len(own) - 1)  # last ball of round one
-            rank = np.argsort(order, axis=1)
+            near, first = _first_balls(queries, centres[own], members[own], k)
             if second:
                 kth = np.array([m.get(manual_type, np.nan) for m in limits], dtype=float)
-                bound = np.sqrt(np.where(np.isnan(kth), np.inf, kth))
-                # The product form of |q - c| may err by a few ulps of |q|² + |c|²: a
-                # margin of that size only adds probes.
-                slack = 1e-6 * np.sqrt((queries**2).sum(1)[:, None] + (c**2).sum(1)[None, :])
-                reach = near - radius[own][None, :] <= bound[:, None] * (1 + 1e-9) + slack
-                reach &= rank > first[:, None]
-                rows, cols = np.nonzero(reach)
+                reach = _reached(near, queries, centres[own], radius[own], np.where(np.isnan(kth), np.inf, kth))
+                rows, cols = np.nonzero(reach & ~first)
             else:
-                rows, cols = np.nonzero(rank <= first[:, None])
+                rows, cols = np.nonzero(first)
             keep = members[own[cols]] > 0  # a centre equal to another's gets no members
             rows, cols = rows[keep], cols[keep]
             balls = own[cols]
@@ -192,22 +203,43 @@ def _probes(index: BallIndex, k: int, second: bool):
     return run
 
 
-def _search(probes: DataFrame, index: BallIndex, k: int, hit_schema: T.StructType) -> DataFrame:
-    from hangarflow.operators.vectors import _block_hits
-
-    probes = stored(probes, "ball-probes")  # counted and joined: computed once
-    blocks = probes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("long").alias("nq"))
-    # Each side gets its own copy of the counts, so neither join sees the other's columns.
-    asked = probes.join(blocks.select(F.col("key").alias("k_q"), F.col("nq").alias("nq_q")), F.col("key") == F.col("k_q"))
-    asked = asked.select("*", F.pmod(F.xxhash64("query_id"), F.col("nq_q")).alias("qb")).drop("k_q", "nq_q")
-    held = index.chunks.join(blocks.select(F.col("key").alias("k_c"), F.col("nq").alias("nq_c")), F.col("key") == F.col("k_c"))
-    held = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq_c") - 1)).alias("qb")).drop("k_c", "nq_c")
-
-    def meet(q, c):
-        return _block_hits(q, c, k)
-
-    keys = ["key", "qb"]
-    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, hit_schema)
+def _meeting(index: BallIndex, k: int):
+    """Lets a query block meet the rows of the index: in round one those of its first balls, then the others in reach."""
+    centres, radius, members = index.centres, index.radius, index.members  # not the DataFrame
+    types, by_type = index.types, {t: np.nonzero(index.types == t)[0] for t in set(index.types.tolist())}
+
+    def first_of(queries):
+        first = np.zeros((len(queries), len(types)), bool)
+        height = max(1, CENTRE_CELLS // max(1, len(types)))
+        for own in by_type.values():
+            for start in range(0, len(queries), height):
+                some = slice(start, start + height)
+                first[some, own] = _first_balls(queries[some], centres[own], members[own], k)[1]
+        return first
+
+    def meet(best, batch, rows):
+        if best.first is None:
+            best.first = first_of(best.vectors)
+        for i in rows:
+            ball = batch.column("key")[i].as_py() >> SALT_BITS
+            kind, asking = types[ball], best.first[:, ball]
+            if batch.column("round")[i].as_py() == 2:
+                if np.isinf(best.limit(kind)).any():
+                    best.settle(kind)  # the hits of round one bound round two
+                own = slice(ball, ball + 1)
+                near = np.sqrt(((best.vectors - centres[ball]) ** 2).sum(axis=1))[:, None]
+                asking = ~asking & _reached(near, best.vectors, centres[own], radius[own], best.limit(kind))[:, 0]
+            asking = np.flatnonzero(asking)
+            if len(asking):
+                best.add(kind, asking, *block_stream.chunk_block(batch, [i]))
+
+    return meet
+
+
+def _search(queries: DataFrame, index: BallIndex, k: int, hit_schema: T.StructType, rounds: int) -> DataFrame:
+    passes = [index.chunks.withColumn("round", F.lit(i + 1)) for i in range(rounds)]
+    chunks = passes[0] if rounds == 1 else passes[0].unionByName(passes[1])
+    return block_stream.passed(queries.select("query_id", "embedding"), chunks, _meeting(index, k), k, hit_schema)
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -220,38 +252,32 @@ def search(
 ) -> DataFrame:
     """The k best (query_id, manual_type, chunk_id, ata04, distance) of every query and type, exact.
 
-    ``report``, if given, receives the number of sub-balls probed in each round
-    and the number a search of every sub-ball would probe (two more jobs).
+    ``report``, if given, receives the number of sub-balls probed in each round, the
+    second with the k-th distances of the first, and the number a search of every
+    sub-ball would probe (counted by jobs of their own).
     """
     if not len(index.centres):
         return _best(queries.sparkSession.createDataFrame([], hit_schema), k)
-    probe_schema = T.StructType(
-        [queries.schema["query_id"], queries.schema["embedding"], T.StructField("key", T.LongType())]
-    )
     used = index.types[index.members > 0]
-    if len(set(used.tolist())) == len(used):
-        # One ball per type: round one probes every ball, so there is no second round.
-        asked = queries.select("query_id", "embedding")
-        first = _search(asked.mapInArrow(_probes(index, k, False), probe_schema), index, k, hit_schema)
-        if report is not None:
-            report["first"] = asked.mapInArrow(_probes(index, k, False), probe_schema).count()
-            report["second"], report["all"] = 0, asked.count() * int(index.salts.sum())
-        return _best(first, k).drop("rank")
-    asked = stored(queries.select("query_id", "embedding"), "ball-queries")
-    first = stored(_search(asked.mapInArrow(_probes(index, k, False), probe_schema), index, k, hit_schema), "ball-hits-1")
+    # With one ball per type round one probes every ball, so there is no second round.
+    rounds = 1 if len(set(used.tolist())) == len(used) else 2
+    if report is not None:
+        _count_probes(queries.select("query_id", "embedding"), index, k, hit_schema, rounds, report)
+    return _best(_search(queries, index, k, hit_schema, rounds), k).drop("rank")
+
+
+def _count_probes(asked: DataFrame, index: BallIndex, k: int, hit_schema: T.StructType, rounds: int, report: dict) -> None:
+    probe_schema = T.StructType([*asked.schema.fields, T.StructField("key", T.LongType())])
+    report["first"] = asked.mapInArrow(_probes(index, k, False), probe_schema).count()
+    report["second"], report["all"] = 0, asked.count() * int(index.salts.sum())
+    if rounds == 1:
+        return
     kth = (
-        _best(first, k)
+        _best(_search(asked, index, k, hit_schema, 1), k)
         .groupBy("query_id", "manual_type")
         .agg(F.max("distance").alias("d"), F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= k)
         .groupBy("query_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("manual_type", "d"))).alias("kth"))
     )
-    bounded = asked.join(kth, "query_id", "left")
-    later = bounded.mapInArrow(_probes(index, k, True), probe_schema)
-    if report is not None:
-        report["first"] = asked.mapInArrow(_probes(index, k, False), probe_schema).count()
-        report["second"] = later.count()
-        report["all"] = asked.count() * int(index.salts.sum())
-    second = _search(later, index, k, hit_schema)
-    return _best(first.unionByName(second), k).drop("rank")
+    report["second"] = asked.join(kth, "query_id", "left").mapInArrow(_probes(index, k, True), probe_schema).count()

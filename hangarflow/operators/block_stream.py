@@ -119,6 +119,7 @@ class Best:
         self.norms = np.einsum("ij,ij->i", vectors, vectors)
         self.scaled = np.hstack([-2.0 * vectors, np.ones((len(vectors), 1))])
         self.limits, self.found, self.waiting = {}, {}, {}
+        self.first = None  # ball search: the balls of round one
 
     def limit(self, kind) -> np.ndarray:
         """The k-th distance so far of every query; infinite while there are fewer than k."""

@@ -7,8 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hangarflow.operators import block_stream, vectors
-from hangarflow.session import shared_dir
+from hangarflow import session
+from hangarflow.operators import ball_search, block_stream, vectors
 
 
 def _nodes(plan):
@@ -24,16 +24,29 @@ def _nodes(plan):
 
 
 def _stored_bytes(spark):
-    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(shared_dir(spark)) for f in files)
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(session.shared_dir(spark)) for f in files)
+
+
+def _collected(df):
+    """The rows of a table, and the bytes shuffled for them."""
+    rows = df.collect()
+    metrics = [node.metrics().get("shuffleBytesWritten") for node in _nodes(df._jdf.queryExecution().executedPlan())]
+    return rows, sum(x.get().value() for x in metrics if x.isDefined())
 
 
 def _written(spark, search):
-    """Rows of a search, and the bytes it stored and shuffled."""
-    before = _stored_bytes(spark)
-    found = search()
-    rows = found.collect()
-    metrics = [node.metrics().get("shuffleBytesWritten") for node in _nodes(found._jdf.queryExecution().executedPlan())]
-    return rows, _stored_bytes(spark) - before + sum(x.get().value() for x in metrics if x.isDefined())
+    """Rows of a search, and the bytes it stored and shuffled; shuffles of the stages it stores count too."""
+    before, shuffled, real = _stored_bytes(spark), [], session.stored
+
+    def counted(df, label, **options):
+        if label == "cascade-answers":
+            shuffled.append(_collected(df)[1])
+        return real(df, label, **options)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(session, "stored", counted)
+        rows, last = _collected(search())
+    return rows, _stored_bytes(spark) - before + sum(shuffled) + last
 
 
 def _scattered(spark, n, dim=8):
@@ -60,6 +73,20 @@ def test_blocks_write_in_proportion_to_the_rows(spark, monkeypatch):
     assert _growth(spark, lambda q, c: vectors.knn_per_type(q, c, k=3, query_block=64, chunk_block=64)) < 6
 
 
+SEARCHES = {
+    "knn_by_ata": lambda q, c: vectors.knn_by_ata(q, c, k=1),
+}
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_balls_write_in_proportion_to_the_rows(spark, monkeypatch, name):
+    """The same for the ball search over vectors whose balls cannot be skipped."""
+    monkeypatch.setattr(block_stream, "TASK_QUERIES", 64)
+    monkeypatch.setattr(vectors, "CHUNK_BLOCK", 100)
+    monkeypatch.setattr(ball_search.build, "__defaults__", (64, ball_search.MAX_BALLS))
+    assert _growth(spark, SEARCHES[name]) < 6
+
+
 @pytest.mark.parametrize("number", ["float", "double"])
 def test_blocks_give_repeated_and_missing_ids_as_one_block_does(spark, monkeypatch, number):
     """Ids and rows that come twice, missing ids, codes and components: the same rows as one meeting per type gives."""
