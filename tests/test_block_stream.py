@@ -75,6 +75,7 @@ def test_blocks_write_in_proportion_to_the_rows(spark, monkeypatch):
 
 SEARCHES = {
     "knn_by_ata": lambda q, c: vectors.knn_by_ata(q, c, k=1),
+    "knn_per_type": lambda q, c: vectors.knn_per_type(q, c, k=3),
 }
 
 
