@@ -77,6 +77,7 @@ SEARCHES = {
     "knn_by_ata": lambda q, c: vectors.knn_by_ata(q, c, k=1),
     "knn_per_type": lambda q, c: vectors.knn_per_type(q, c, k=3),
     "knn_merged": lambda q, c: vectors.knn_merged(vectors.knn_per_type(q, c, k=3), 9),
+    "rag_derive_ata": lambda q, c: vectors.derive_ata(vectors.knn_per_type(q, c, k=3)),
 }
 
 
