@@ -78,6 +78,7 @@ SEARCHES = {
     "knn_per_type": lambda q, c: vectors.knn_per_type(q, c, k=3),
     "knn_merged": lambda q, c: vectors.knn_merged(vectors.knn_per_type(q, c, k=3), 9),
     "rag_derive_ata": lambda q, c: vectors.derive_ata(vectors.knn_per_type(q, c, k=3)),
+    "rag_cascade": lambda q, c: vectors.derive_ata_cascade(q, c, min_score=0.9),
 }
 
 
