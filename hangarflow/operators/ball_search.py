@@ -21,7 +21,9 @@ twice (``block_stream``), a task holding a block of queries and their k best so
    in the block search).
 
 A skipped ball is right whatever the order in which chunks arrive; the rounds only
-make t small early. Neither probes nor chunks are copied on disk: a search writes
+make t small early. Queries too few to keep the cores busy meet shares of the chunks
+in several tasks; then round one is a pass of its own, whose t all tasks of the
+second pass start from. Neither probes nor chunks are copied on disk: a search writes
 the queries once (a shuffle) and k hits per query and type.
 """
 
@@ -46,6 +48,7 @@ MAX_BALLS = 4_096
 PROBE_COMPONENTS = 1 << 20
 CENTRE_CELLS = 1 << 20
 SEED = 17
+FIRST, SECOND, BOTH = 1, 2, 3  # rounds a row of chunks is read for
 SALT_BITS = 32  # key = ball << SALT_BITS | sub-ball
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -222,13 +225,14 @@ def _meeting(index: BallIndex, k: int):
             best.first = first_of(best.vectors)
         for i in rows:
             ball = batch.column("key")[i].as_py() >> SALT_BITS
-            kind, asking = types[ball], best.first[:, ball]
-            if batch.column("round")[i].as_py() == 2:
+            kind, asking, number = types[ball], best.first[:, ball], batch.column("round")[i].as_py()
+            if number != FIRST:
                 if np.isinf(best.limit(kind)).any():
                     best.settle(kind)  # the hits of round one bound round two
                 own = slice(ball, ball + 1)
                 near = np.sqrt(((best.vectors - centres[ball]) ** 2).sum(axis=1))[:, None]
-                asking = ~asking & _reached(near, best.vectors, centres[own], radius[own], best.limit(kind))[:, 0]
+                reach = _reached(near, best.vectors, centres[own], radius[own], best.limit(kind))[:, 0]
+                asking = reach if number == BOTH else reach & ~asking
             asking = np.flatnonzero(asking)
             if len(asking):
                 best.add(kind, asking, *block_stream.chunk_block(batch, [i]))
@@ -236,10 +240,23 @@ def _meeting(index: BallIndex, k: int):
     return meet
 
 
-def _search(queries: DataFrame, index: BallIndex, k: int, hit_schema: T.StructType, rounds: int) -> DataFrame:
-    passes = [index.chunks.withColumn("round", F.lit(i + 1)) for i in range(rounds)]
-    chunks = passes[0] if rounds == 1 else passes[0].unionByName(passes[1])
-    return block_stream.passed(queries.select("query_id", "embedding"), chunks, _meeting(index, k), k, hit_schema)
+def _pass(queries: DataFrame, index: BallIndex, k: int, hit_schema: T.StructType, rounds: list[int], dealt_to) -> DataFrame:
+    passes = [index.chunks.withColumn("round", F.lit(x)) for x in rounds]
+    chunks = passes[0] if len(passes) == 1 else passes[0].unionByName(passes[1])
+    return block_stream.passed(queries, chunks, _meeting(index, k), k, hit_schema, dealt_to)
+
+
+def _bounds(queries: DataFrame, index: BallIndex, k: int, hit_schema: T.StructType, dealt_to) -> DataFrame:
+    """The queries with the k-th distances of round one, for types in which it finds k chunks."""
+    kth = (
+        _best(_pass(queries, index, k, hit_schema, [FIRST], dealt_to), k)
+        .groupBy("query_id", "manual_type")
+        .agg(F.max("distance").alias("d"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= k)
+        .groupBy("query_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("manual_type", "d"))).alias("kth"))
+    )
+    return queries.join(kth, "query_id", "left")
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -259,25 +276,21 @@ def search(
     if not len(index.centres):
         return _best(queries.sparkSession.createDataFrame([], hit_schema), k)
     used = index.types[index.members > 0]
+    asked = queries.select("query_id", "embedding")
+    dealt_to = block_stream.layout(asked)
     # With one ball per type round one probes every ball, so there is no second round.
-    rounds = 1 if len(set(used.tolist())) == len(used) else 2
+    one_round = len(set(used.tolist())) == len(used)
     if report is not None:
-        _count_probes(queries.select("query_id", "embedding"), index, k, hit_schema, rounds, report)
-    return _best(_search(queries, index, k, hit_schema, rounds), k).drop("rank")
-
-
-def _count_probes(asked: DataFrame, index: BallIndex, k: int, hit_schema: T.StructType, rounds: int, report: dict) -> None:
-    probe_schema = T.StructType([*asked.schema.fields, T.StructField("key", T.LongType())])
-    report["first"] = asked.mapInArrow(_probes(index, k, False), probe_schema).count()
-    report["second"], report["all"] = 0, asked.count() * int(index.salts.sum())
-    if rounds == 1:
-        return
-    kth = (
-        _best(_search(asked, index, k, hit_schema, 1), k)
-        .groupBy("query_id", "manual_type")
-        .agg(F.max("distance").alias("d"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= k)
-        .groupBy("query_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("manual_type", "d"))).alias("kth"))
-    )
-    report["second"] = asked.join(kth, "query_id", "left").mapInArrow(_probes(index, k, True), probe_schema).count()
+        probe_schema = T.StructType([*asked.schema.fields, T.StructField("key", T.LongType())])
+        report["first"] = asked.mapInArrow(_probes(index, k, False), probe_schema).count()
+        report["second"], report["all"] = 0, asked.count() * int(index.salts.sum())
+        if not one_round:
+            bounded = _bounds(asked, index, k, hit_schema, dealt_to)
+            report["second"] = bounded.mapInArrow(_probes(index, k, True), probe_schema).count()
+    if one_round:
+        hits = _pass(asked, index, k, hit_schema, [FIRST], dealt_to)
+    elif dealt_to[1] == 1:
+        hits = _pass(asked, index, k, hit_schema, [FIRST, SECOND], dealt_to)
+    else:
+        hits = _pass(_bounds(asked, index, k, hit_schema, dealt_to), index, k, hit_schema, [BOTH], dealt_to)
+    return _best(hits, k).drop("rank")

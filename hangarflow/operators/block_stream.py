@@ -114,16 +114,20 @@ def stored_chunks(chunks: DataFrame, by: str, block: int, label: str, runs: bool
 class Best:
     """The k nearest chunks so far of every query of a block, per manual type."""
 
-    def __init__(self, ids: pa.Array, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, k: int, kth: list | None = None):
+        self.ids, self.vectors, self.k, self.kth = ids, vectors, k, [dict(x or []) for x in kth or []]
         self.norms = np.einsum("ij,ij->i", vectors, vectors)
         self.scaled = np.hstack([-2.0 * vectors, np.ones((len(vectors), 1))])
         self.limits, self.found, self.waiting = {}, {}, {}
         self.first = None  # ball search: the balls of round one
 
     def limit(self, kind) -> np.ndarray:
-        """The k-th distance so far of every query; infinite while there are fewer than k."""
-        return self.limits.setdefault(kind, np.full(len(self.vectors), np.inf))
+        """The k-th distance so far of every query, or the one it came with; infinite while there are fewer than k."""
+        if kind not in self.limits:
+            # Another pass may have summed the same distance in another order.
+            given = [x.get(kind, np.inf) * (1 + 1e-9) for x in self.kth]
+            self.limits[kind] = np.array(given) if given else np.full(len(self.vectors), np.inf)
+        return self.limits[kind]
 
     def add(self, kind, rows: np.ndarray, vectors: np.ndarray, ids: pa.Array, codes: pa.Array) -> None:
         """Lets some queries meet some chunks of one type.
@@ -166,7 +170,8 @@ class Best:
         row = table.column("row").to_numpy()[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         last = place == self.k - 1
-        self.limit(kind)[row[last]] = table.column("distance").to_numpy()[order[last]]
+        limit, kth = self.limit(kind), table.column("distance").to_numpy()[order[last]]
+        limit[row[last]] = np.minimum(limit[row[last]], kth)
         self.found[kind] = [table.take(pa.array(order[place < self.k]))]
 
     def hits(self):
@@ -208,7 +213,8 @@ def _passing(meet: Callable, k: int):
                 if numbers[i] not in known:
                     element = batch.column("query_element")[int(i)].as_py()
                     ids = batch.column("query_id")[int(i)].values
-                    known[numbers[i]] = Best(ids, _vectors(batch, "query_vectors", element, int(i)), k)
+                    kth = batch.column("kth")[int(i)].as_py() if "kth" in batch.schema.names else None
+                    known[numbers[i]] = Best(ids, _vectors(batch, "query_vectors", element, int(i)), k, kth)
             for number in np.unique(numbers):
                 if number not in known:
                     raise RuntimeError("a block of queries came without its vectors")
@@ -219,21 +225,35 @@ def _passing(meet: Callable, k: int):
     return run
 
 
+def layout(queries: DataFrame) -> tuple[int, int]:
+    """Partitions of the queries, and shares of the chunks that keep the cores busy when those are few."""
+    parts = max(1, -(-queries.count() // TASK_QUERIES))
+    return parts, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // parts)
+
+
 def passed(
-    queries: DataFrame, chunks: DataFrame, meet: Callable, k: int, hit_schema: T.StructType, query_block: int = TASK_QUERIES
+    queries: DataFrame,
+    chunks: DataFrame,
+    meet: Callable,
+    k: int,
+    hit_schema: T.StructType,
+    dealt_to: tuple[int, int],
+    query_block: int = TASK_QUERIES,
 ) -> DataFrame:
     """Hits of all queries, every query block meeting every row of ``chunks`` (from ``stored_chunks``) in one task.
 
     ``meet(best, batch, rows)`` lets a query block (``Best``) meet the packed rows
-    with these numbers. At most k hits per query, type and share of the chunks
-    come out; the caller ranks them.
+    with these numbers. ``dealt_to`` comes from ``layout``; there is one task per
+    partition of queries and share of chunks. At most k hits per query, type and
+    share come out; the caller ranks them. Queries may bring ``kth``, a map of types
+    to a distance that their k-th chunk does not exceed.
     """
-    parts = max(1, -(-queries.count() // TASK_QUERIES))
-    shares = -(-2 * queries.sparkSession.sparkContext.defaultParallelism // parts)
-    dealt = queries.repartition(parts, "query_id", "embedding")
-    asked = pack(dealt, ["query_id"], None, query_block, QUERY_COMPONENTS).select(
+    parts, shares = dealt_to
+    lists = [x for x in ("query_id", "kth") if x in queries.columns]
+    # Dealt out in turn, so that no value of any column gathers in one partition.
+    asked = pack(queries.repartition(parts), lists, None, query_block, QUERY_COMPONENTS).select(
         F.monotonically_increasing_id().alias("query_block"),
-        "query_id",
+        *lists,
         F.col("vectors").alias("query_vectors"),
         F.lit(_element(queries)).alias("query_element"),
     )
@@ -267,4 +287,5 @@ def block_search(
 ) -> DataFrame:
     """Every query block meets every chunk block; up to k hits per query, type and share of the chunks."""
     blocks = stored_chunks(chunks, "manual_type", chunk_block, "chunk-blocks")
-    return passed(queries.select("query_id", "embedding"), blocks, _meet_blocks, k, hit_schema, query_block)
+    asked = queries.select("query_id", "embedding")
+    return passed(asked, blocks, _meet_blocks, k, hit_schema, layout(asked), query_block)

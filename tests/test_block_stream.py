@@ -142,3 +142,41 @@ def test_a_query_block_waits_for_few_candidates():
         assert not best.waiting.get("TSM")
     found = pa.Table.from_batches(list(best.hits()))
     assert found.num_rows == 64 * 3 and set(found.column("chunk_id").to_pylist()) == {0, 1, 2}
+
+
+@pytest.mark.parametrize("kth, met", [([[("TSM", 0.5)]], False), ([[("AMM", 0.5)]], True), ([None], True), (None, True)])
+def test_a_share_starts_from_the_bound_of_round_one(kth, met):
+    """Few queries meet shares of the chunks: a far ball is skipped though its task has seen no near chunk."""
+    far = ball_search.BallIndex(
+        None, np.array([[0.0, 0.0], [100.0, 0.0]]), np.array(["TSM", "TSM"], dtype=object), np.ones(2), np.full(2, 2), np.ones(2, int)
+    )
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "key": [1 << ball_search.SALT_BITS], "round": [ball_search.BOTH], "chunk_id": [[5, 6]], "ata04": [["21-00", None]],
+            "vectors": [np.array([[100, 1], [100, 0]], "<f4").tobytes()], "chunk_element": ["<f4"],
+        }
+    )
+    best = block_stream.Best(pa.array([1]), np.zeros((1, 2)), 1, kth)
+    ball_search._meeting(far, 1)(best, batch, [0])
+    hits = [x for part in best.hits() for x in part.to_pylist()]
+    assert [x["chunk_id"] for x in hits] == ([6] if met else [])
+
+
+def test_equal_queries_are_dealt_out(spark, monkeypatch):
+    """Queries that are all the same row make tasks of the usual size."""
+    monkeypatch.setattr(block_stream, "TASK_QUERIES", 50)
+    queries = spark.range(400).selectExpr("cast(null AS long) AS query_id", "array(1.0f, 2.0f) AS embedding")
+    chunks = spark.createDataFrame(
+        [(7, "TSM", "21-00", [1.0, 2.0])], "chunk_id long, manual_type string, ata04 string, embedding array<float>"
+    )
+    sizes = []
+    real = block_stream.pack
+
+    def packed(rows, *rest):
+        if "query_id" in rows.columns:
+            sizes.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+        return real(rows, *rest)
+
+    monkeypatch.setattr(block_stream, "pack", packed)
+    hits = vectors.knn_per_type(queries, chunks, k=2, query_block=20, chunk_block=20).collect()
+    assert sum(sizes) == 400 and max(sizes) <= 100 and [r.chunk_id for r in hits] == [7, 7]
